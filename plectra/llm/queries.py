@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from plectra.llm import minhash
+from plectra.llm import minhash, packing, quality, token_files
 
 QUERIES = {
     "op1_minhash_odd_sketch": minhash.op1,
+    "op2_token_files": token_files.op2,
+    "op7_swap_packing": packing.op7,
+    "op10_suffix_quality": quality.op10,
 }
 
 #: DuckDB SQL over the same tables, where SQL can express the result.
