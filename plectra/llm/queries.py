@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from plectra.llm import minhash, packing, quality, token_files
+from plectra.llm import decontam, minhash, packing, quality, secret_scan, sharding, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_minhash_odd_sketch": minhash.op1,
     "op2_token_files": token_files.op2,
+    "op3_spaced_seed_decontam": decontam.op3,
+    "op4_extendible_sharding": sharding.op4,
+    "op5_secret_worklist": secret_scan.op5,
+    "op6_toxicity_grammar": toxicity.op6,
     "op7_swap_packing": packing.op7,
+    "op9_temporal_url_filter": url_filter.op9,
     "op10_suffix_quality": quality.op10,
 }
 
 #: DuckDB SQL over the same tables, where SQL can express the result.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_extendible_sharding": sharding.ORACLE,
+    "op9_temporal_url_filter": url_filter.ORACLE,
+}
