@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plectra.llm import decontam, minhash, packing, quality, secret_scan, sharding, token_files, toxicity, url_filter
+from plectra.llm import decontam, line_dedup, minhash, packing, quality, secret_scan, sharding, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_minhash_odd_sketch": minhash.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_secret_worklist": secret_scan.op5,
     "op6_toxicity_grammar": toxicity.op6,
     "op7_swap_packing": packing.op7,
+    "op8_fuzzy_lines": line_dedup.op8,
     "op9_temporal_url_filter": url_filter.op9,
     "op10_suffix_quality": quality.op10,
 }
@@ -19,5 +20,6 @@ QUERIES = {
 #: DuckDB SQL over the same tables, where SQL can express the result.
 ORACLES: dict[str, str] = {
     "op4_extendible_sharding": sharding.ORACLE,
+    "op8_fuzzy_lines": line_dedup.op8,
     "op9_temporal_url_filter": url_filter.ORACLE,
 }
