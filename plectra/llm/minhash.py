@@ -10,9 +10,11 @@ similarity of 0.75 or more, and a component is what links connect.
 3. The samples are folded into a 512-bit odd sketch. The population count of the XOR of two sketches
    estimates how many samples differ; only pairs whose estimate is clearly under the threshold are dropped
    (more than five standard deviations), the others are confirmed on their full sets.
-4. No bucket is expanded into all pairs: every member is compared with the bucket's busiest member. Only
-   where the other members then still lie in different components do these members go through an exact
-   prefix-filtered join (rarest shingles first), so that no link between different texts is lost.
+4. No bucket is expanded into all pairs: every member is compared with the bucket's busiest member, then,
+   where the other members still lie in different components, with a random one of them, a few times.
+   What is then still torn is finished exactly, so that no link between different texts is lost: pairs of
+   different components in buckets of a few members, and comparisons of blocks of members, inside tasks
+   that only give links, for larger ones.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -30,6 +33,10 @@ from plectra.llm.common import components, small_batches, stored
 WORDS, SAMPLES, BAND, SKETCH_BITS = 5, 200, 5, 512
 #: Differing sketch bits above which a pair's similarity is taken to be under 0.55.
 SKETCH_MOST = int(SKETCH_BITS / 2 * (1 - np.exp(-2 * (2 * SAMPLES * 0.45) / SKETCH_BITS)))
+#: Turns with random centres, and members of a bucket that is still paired directly after them.
+TURNS, SMALL = 1, 8
+#: Shingles meant for a block of the exact finish.
+BLOCK = 1_000_000
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(0, 2**31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _XOR = _rng.integers(0, 2**32, SAMPLES, dtype=np.uint32)
@@ -134,26 +141,73 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(100 * both >= 75 * union).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _prefix_pairs(sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Exact candidates between components: pairs that share one of their rarest quarter of shingles."""
-    every = sets.select("id", F.size("set").alias("n"), F.explode("set").alias("s"))
-    frequency = every.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-    shared = every.join(frequency, "s").select("id", "s", "df", "n")
-    # Shingles of one document alone are the rarest: they fill the prefix first and never match.
-    own = shared.groupBy("id").agg((F.first("n") - F.count("*")).alias("own"))
-    ranked = shared.groupBy("id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "s"))).alias("o"))
-    room = (F.col("n") - F.ceil(F.col("n") * 0.75 - 1e-9) + 1 - F.col("own")).cast("int")
-    prefix = (
-        ranked.join(own, "id")
-        .select("id", F.explode(F.slice("o", 1, F.greatest(room, F.lit(0)))).alias("x"))
-        .select("id", F.col("x.s").alias("s"))
-        .join(roots, "id")
+def _block_links(length_cap: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """Links between components in two blocks of members: sketches first, then intersections of bit rows."""
+        rows = rows.sort_values("id", kind="stable")
+        ids, roots, side = (rows[c].to_numpy() for c in ("id", "root", "side"))
+        sets = [np.asarray(x) for x in rows["set"]]
+        sketch = np.stack([np.asarray(x) for x in rows["sketch"]]).view(np.uint64)
+        size = np.array([len(x) for x in sets])
+        values, back, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        column = np.cumsum(times > 1) - 1
+        width = -(-int((times > 1).sum()) // 64)
+        table = None
+        if width * len(ids) <= length_cap:
+            packed = np.zeros((len(ids), width), np.uint64)
+            at = 0
+            for i, n in enumerate(size):
+                mine = back[at : at + n]
+                mine = column[mine[times[mine] > 1]]
+                np.bitwise_or.at(packed[i], mine >> 6, np.uint64(1) << (mine & 63).astype(np.uint64))
+                at += n
+            table = packed
+        out: set[tuple[int, int]] = set()
+        both = len(np.unique(side)) > 1
+        for i in range(len(ids)):
+            other = (roots != roots[i]) & (np.arange(len(ids)) > i) & (4 * np.minimum(size, size[i]) >= 3 * np.maximum(size, size[i]))
+            if both:
+                other &= side != side[i]
+            near = np.flatnonzero(other)
+            near = near[np.bitwise_count(sketch[near] ^ sketch[i]).sum(axis=1) <= SKETCH_MOST]
+            if not len(near):
+                continue
+            if table is not None:
+                common = np.bitwise_count(table[near] & table[i]).sum(axis=1).astype(np.int64)
+            else:
+                common = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for j in near])
+            good = near[100 * common >= 75 * (size[i] + size[near] - common)]
+            for root in np.unique(roots[good]):  # one link between a document and a component is enough
+                out.add((int(ids[i]), int(ids[good[roots[good] == root][0]])))
+        return pd.DataFrame(sorted(out), columns=["u", "v"], dtype="int64")
+
+    return run
+
+
+def _torn_links(torn: DataFrame, plain: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Every link between components inside clusters of torn buckets, in pairs of bounded blocks.
+
+    Buckets that share a member form a cluster. Its members are dealt into blocks of about BLOCK shingles, those
+    of its largest component apart from the rest, and each pair of blocks, but for two of the largest
+    component, is compared in one task. Links alone leave it, one a document and component at most.
+    """
+    centre = torn.groupBy("key").agg(F.min("id").alias("c"))
+    cluster = components(torn.join(centre, "key").select(F.col("id").alias("u"), F.col("c").alias("v")))
+    ids = stored(torn.select("id", "root").distinct().join(cluster.select(F.col("node").alias("id"), F.col("root").alias("g")), "id"))
+    full = _full_sets(plain, ids.select("id")).join(ids, "id").join(sketches, "id")
+    counts = stored(full.groupBy("g", "root").agg(F.sum(F.size("set")).alias("n")))
+    large = counts.groupBy("g").agg(F.max(F.struct("n", "root")).alias("x")).select("g", F.col("x.root").alias("largest"))
+    flagged = counts.join(large, "g").withColumn("rest", (F.col("root") != F.col("largest")).cast("int"))
+    sizes = flagged.groupBy("g", "largest").agg(
+        *(F.ceil(F.sum(F.when(F.col("rest") == f, F.col("n")).otherwise(0)) / BLOCK).cast("int").alias(f"b{f}") for f in (0, 1))
     )
-    mixed = prefix.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s")
-    prefix = stored(prefix.join(mixed, "s"))
-    left = prefix.select("s", F.col("id").alias("a"), F.col("root").alias("ra"))
-    right = prefix.select("s", F.col("id").alias("b"), F.col("root").alias("rb"))
-    return left.join(right, "s").where("a < b and ra <> rb").select("a", "b").distinct()
+    placed = full.join(sizes, "g").withColumn("rest", (F.col("root") != F.col("largest")).cast("int"))
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("rest") == 1, F.col("b1")).otherwise(F.col("b0"))).cast("int") + F.when(F.col("rest") == 1, F.col("b0")).otherwise(0)
+    first = F.when(F.col("rest") == 1, F.lit(0)).otherwise(F.col("b0"))
+    partners = F.sequence(first, F.col("b0") + F.col("b1") - 1)
+    dealt = placed.withColumn("side", own).withColumn("partner", F.explode(partners))
+    dealt = dealt.select("g", F.least("side", "partner").alias("i"), F.greatest("side", "partner").alias("j"), "id", "root", "side", "set", "sketch")
+    return dealt.groupBy("g", "i", "j").applyInPandas(_block_links(1 << 24), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -168,37 +222,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     plain = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     schema = "id long, n long, k1 long, k2 long, bands array<long>, sketch array<long>"
     feats = stored(plain.mapInArrow(_features, schema), "lz4")
-    classes = stored(
-        feats.where("n > 0 and id is not null")
-        .groupBy("k1", "k2")
-        .agg(F.min("id").alias("rep"))
-    )
-    reps = feats.join(classes.select("k1", "k2", F.col("rep").alias("id")), ["k1", "k2", "id"]).dropDuplicates(["k1", "k2"])
-    reps = stored(reps.select("id", "bands", "sketch"), "lz4")
-    rows = reps.select("id", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
-    members = stored(rows.join(shared.select("key", "c"), "key"))
-    busy = members.groupBy("id").agg(F.sum("c").alias("w"))
-    centres = (
-        members.join(busy, "id")
-        .groupBy("key")
-        .agg(F.max(F.struct("w", (-F.col("id")).alias("order"), "id")).getField("id").alias("centre"))
-    )
-    around = stored(members.select("key", "id").join(centres, "key").where("id <> centre"))
+    one = F.min_by(F.struct("id", "bands", "sketch"), "id").alias("x")
+    reps = stored(feats.where("n > 0 and id is not null").groupBy("k1", "k2").agg(one).select("k1", "k2", "x.*"), "lz4")
+    classes = reps.select("k1", "k2", F.col("id").alias("rep"))
     sketches = reps.select("id", "sketch")
-    pairs = stored(_likely(around.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), sketches))
-    links = stored(_confirmed(pairs, _full_sets(plain, pairs.select(F.explode(F.array("a", "b")).alias("id")))))
+    around, links = _starred(reps, plain, sketches)
     found = components(links)
-    rooted = around.join(found.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    torn = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    open_ids = stored(rooted.join(torn, "key").select("id", "root").distinct())
-    if not open_ids.isEmpty():
-        sets = _full_sets(plain, open_ids.select("id"))
-        more = stored(_likely(_prefix_pairs(sets, open_ids), sketches))
-        if not more.isEmpty():
-            extra = _confirmed(more, sets)
-            links = stored(links.union(extra))
-            found = components(links)
+    for turn in range(TURNS):
+        torn = _torn(around, found)
+        if torn.isEmpty():
+            break
+        pick = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "root")).alias("x")
+        centres = torn.groupBy("key").agg(pick).select("key", F.col("x.id").alias("a"), F.col("x.root").alias("r"))
+        pairs = torn.join(centres, "key").where("root <> r").select("a", F.col("id").alias("b")).distinct()
+        links = stored(links.union(_linked(pairs, plain, sketches)))
+        found = components(links)
+    else:
+        torn = _torn(around, found)
+    if not torn.isEmpty():
+        sizes = torn.groupBy("key").agg(F.count("*").alias("m"))
+        torn = stored(torn.join(sizes, "key"))
+        small = torn.where(F.col("m") <= SMALL)
+        left = small.select("key", F.col("id").alias("a"), F.col("root").alias("ra"))
+        right = small.select("key", F.col("id").alias("b"), F.col("root").alias("rb"))
+        pairs = left.join(right, "key").where("a < b and ra <> rb").select("a", "b")
+        links = links.union(_linked(pairs.distinct(), plain, sketches))
+        wide = torn.where(F.col("m") > SMALL).select("key", "id", "root")
+        if not wide.isEmpty():
+            links = links.union(_torn_links(wide, plain, sketches))
+        links = stored(links)
+        found = components(links)
     # Components of classes, named by their smallest document.
     least = found.groupBy("root").agg(F.least(F.min("node"), F.min("root")).alias("component"))
     named = found.join(least, "root").select(F.col("node").alias("rep"), "component")
@@ -211,6 +264,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def _starred(reps: DataFrame, plain: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, id) of each bucket's members but its busiest, and the links found between these and the busiest."""
+    rows = reps.select("id", F.explode("bands").alias("key"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
+    members = stored(rows.join(shared.select("key", "c"), "key"))
+    busy = members.groupBy("id").agg(F.sum("c").alias("w"))
+    order = F.struct("w", (-F.col("id")).alias("order"), "id")
+    centres = members.join(busy, "id").groupBy("key").agg(F.max(order).getField("id").alias("centre"))
+    around = stored(members.select("key", "id").join(centres, "key").where("id <> centre"))
+    pairs = around.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    return around.select("key", "id"), stored(_linked(pairs, plain, sketches))
+
+
+def _torn(around: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, id, root) of buckets whose members, the centre aside, lie in several components."""
+    roots = found.select(F.col("node").alias("id"), "root")
+    rooted = around.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    split = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    return stored(rooted.join(split.select("key"), "key"))
+
+
+def _linked(pairs: DataFrame, plain: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Links (u, v) among candidate pairs (a, b): odd sketches first, then full sets."""
+    likely = stored(_likely(pairs, sketches))
+    return _confirmed(likely, _full_sets(plain, likely.select(F.explode(F.array("a", "b")).alias("id"))))
+
+
 def _full_sets(plain: DataFrame, ids: DataFrame) -> DataFrame:
     """Full sets of the documents that take part in a candidate pair."""
     wanted = plain.where("id is not null").join(ids.distinct(), "id", "left_semi").dropDuplicates(["id", "text"])
