@@ -51,7 +51,7 @@ BOOK.add(
 )
 BOOK.add("src_pairs_bin", lambda s, d: R.unpacked(stored(R.packed(_pairs(s, d)))), "SELECT strand1, strand2, chr1, pos1, pos1 // 1000 AS frag1, chr2, pos2, pos2 // 1000 AS frag2 FROM pairs")
 BOOK.add("src_pairs_bn", lambda s, d: R.unpacked(stored(R.packed(_pairs(s, d), R.SHORT)), R.SHORT), "SELECT strand1, strand2, chr1, pos1, chr2, pos2 FROM pairs")
-BOOK.add("sink_pairs_bin", lambda s, d: R.packed(_pairs(s, d)).select(F.sum(F.length("content")).alias("bytes")), "SELECT CAST(count(*) * 26 + count(*) * 8 AS BIGINT) AS bytes FROM pairs")
+BOOK.add("sink_pairs_bin", lambda s, d: R.packed(_pairs(s, d)).select(F.sum(F.length("content")).alias("bytes")), "SELECT CAST(count(*) * 26 AS BIGINT) AS bytes FROM pairs")
 
 
 def _lines(df, *columns, sep="\t"):
