@@ -35,8 +35,8 @@ WORDS, SAMPLES, BAND, SKETCH_BITS = 5, 200, 5, 512
 SKETCH_MOST = int(SKETCH_BITS / 2 * (1 - np.exp(-2 * (2 * SAMPLES * 0.45) / SKETCH_BITS)))
 #: Turns with random centres, and members of a bucket that is still paired directly after them.
 TURNS, SMALL = 1, 8
-#: Shingles meant for a block of the exact finish.
-BLOCK = 1_000_000
+#: Shingles meant for a block of the exact finish, and bits of the bitmap of candidate documents (16 MB).
+BLOCK, ID_BITS = 1_000_000, 1 << 27
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(0, 2**31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _XOR = _rng.integers(0, 2**32, SAMPLES, dtype=np.uint32)
@@ -113,7 +113,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1).cast(pa.binary()).to_pylist()
         found = [shingles(t or b"").view(np.int64) for t in texts]
@@ -292,9 +292,29 @@ def _linked(pairs: DataFrame, plain: DataFrame, sketches: DataFrame) -> DataFram
 
 
 def _full_sets(plain: DataFrame, ids: DataFrame) -> DataFrame:
-    """Full sets of the documents that take part in a candidate pair."""
-    wanted = plain.where("id is not null").join(ids.distinct(), "id", "left_semi").dropDuplicates(["id", "text"])
-    return stored(wanted.mapInArrow(_sets, "id long, set array<long>"), "lz4")
+    """(id, set) of the documents with these ids, and a few others.
+
+    The ids go to the tasks as a bitmap of their hashes, which has a fixed size, so no text is shuffled;
+    documents that only share a bit fall away in the joins that follow.
+    """
+    spark = plain.sparkSession
+    place = F.pmod(F.xxhash64("id"), F.lit(ID_BITS))
+    maps = ids.groupBy(F.bitmap_bucket_number(place + 1).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place + 1)).alias("m"))
+    bits = np.zeros(ID_BITS // 8, np.uint8)
+    for row in maps.collect():  # ID_BITS bits at most
+        bits[(row.b - 1) * 4096 : row.b * 4096] = np.frombuffer(row.m, np.uint8)
+    wanted = spark.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = wanted.value
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            own = np.flatnonzero(held[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            if len(own):
+                yield from _sets([batch.select([0, 1]).take(pa.array(own))])
+
+    marked = plain.where("id is not null").select("id", "text", place.alias("place"))
+    return stored(marked.mapInArrow(run, "id long, set array<long>").dropDuplicates(["id", "set"]), "lz4")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
