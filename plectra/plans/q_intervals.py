@@ -70,4 +70,8 @@ mv AS (SELECT b AS bin, CASE WHEN inverted THEN (cur_start + length - 1 - p + 2
 SELECT CAST(1 AS BIGINT) AS chr1, CAST(1 AS BIGINT) AS chr2, CAST(2000 AS BIGINT) AS bin_size, least(coalesce(a.nb, x), coalesce(b.nb, y)) AS bin_x, greatest(coalesce(a.nb, x), coalesce(b.nb, y)) AS bin_y, sum(counts) AS counts FROM c2 LEFT JOIN mv a ON a.bin = x LEFT JOIN mv b ON b.bin = y GROUP BY ALL""")
 BOOK.add("iv_scaffold_lift", lambda s, d: L._lift_axis(_cells1(s, d), fx.scaffolds(s, d), 2000, "bin_x").select("bin_x", F.col("bin_x__").alias("new_x")).distinct(), """, mv AS (SELECT b AS bin, CASE WHEN inverted THEN (cur_start + length - 1 - p + 2 - 2000 + orig_start - 1 - 1) // 2000 ELSE (cur_start + p - orig_start - 1) // 2000 END AS nb FROM (SELECT unnest(range(0, 100)) AS b, b * 2000 + 1 AS p) JOIN scaffolds ON p >= orig_start AND p < orig_start + length)
 SELECT DISTINCT least(pos1 // 2000, pos2 // 2000) AS bin_x, nb AS new_x FROM flip JOIN mv ON bin = least(pos1 // 2000, pos2 // 2000) WHERE chr1 = 1 AND chr2 = 1""")
-BOOK.add("asm_place", lambda s, d: L.place_scaffolds(fx.scaffolds(s, d).select(F.col("cur_start").alias("ord"), F.when(F.col("inverted"), -F.col("id")).otherwise(F.col("id")).alias("signed_id"), (F.col("length") + F.col("id")).alias("length"), (F.col("id") % 2 == 0).alias("was_inverted"))), """SELECT cur_start AS ord, id, length + id AS length, coalesce(sum(length + id) OVER (ORDER BY cur_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + 1 AS cur_start, inverted <> (id % 2 = 0) AS inverted FROM scaffolds""")
+BOOK.add(
+    "asm_place",
+    lambda s, d: L.place_scaffolds(fx.table(s, d, "supplier").selectExpr("cast(s_suppkey as bigint) AS ord", "cast(if(s_suppkey % 3 = 0, -1, 1) * (s_suppkey + 1) as bigint) AS signed_id", "cast(1000 + s_nationkey * 10 as bigint) AS length", "s_suppkey % 2 = 0 AS was_inverted")),
+    "SELECT CAST(s_suppkey AS BIGINT) AS ord, CAST(s_suppkey AS BIGINT) + 1 AS id, CAST(1000 + s_nationkey * 10 AS BIGINT) AS length, coalesce(sum(1000 + s_nationkey * 10) OVER (ORDER BY s_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + 1 AS cur_start, (s_suppkey % 3 = 0) <> (s_suppkey % 2 = 0) AS inverted FROM supplier",
+)

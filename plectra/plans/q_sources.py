@@ -59,7 +59,7 @@ def _lines(df, *columns, sep="\t"):
 
 
 BOOK.add("src_triples", lambda s, d: T.parse_triples(_lines(contacts(s, d, sizes=(5000,)), "bin_x", "bin_y", F.col("counts").cast("string"))), "SELECT bin_x, bin_y, counts FROM contacts WHERE bin_size = 5000")
-BOOK.add("src_chrom_sizes", lambda s, d: T.parse_sizes(_lines(fx.table(s, d, "nation"), "n_name", F.col("n_nationkey") * 1000)), "SELECT n_name AS name, CAST(n_nationkey AS BIGINT) * 1000 AS len FROM nation")
+BOOK.add("src_chrom_sizes", lambda s, d: T.parse_sizes(_lines(fx.table(s, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("n"), (F.col("s_suppkey") * 1000).alias("l")), "n", "l")), "SELECT 's' || s_suppkey AS name, CAST(s_suppkey AS BIGINT) * 1000 AS len FROM supplier")
 BOOK.add("src_sites", lambda s, d: T.parse_sites(_lines(fx.loci_b(s, d).select(F.concat(F.lit("c"), "x1").alias("c"), "x1", "x2"), "c", "x1", "x2", sep=" ")), "SELECT 'c' || x1 AS chr, CAST(0 AS BIGINT) AS site_idx, x1 AS pos FROM loci_b UNION ALL SELECT 'c' || x1, 1, x2 FROM loci_b")
 BOOK.add("src_bed", lambda s, d: T.parse_bed(_lines(fx.loci_a(s, d), F.concat(F.lit("chr"), "chr"), "x1", "x2", "name")), "SELECT DISTINCT 'chr' || chr AS chr, x1, x2 FROM loci_a")
 _HEAD = ["c1", "s1", "e1", "c2", "s2", "e2", "name", "score", "st1", "st2", "color", "key"]
@@ -80,14 +80,14 @@ BOOK.add(
     "SELECT 'c' || chr AS chr, x1 + 100 AS x1, x2 + 100 AS x2, true AS strand, CAST(1.5 AS DOUBLE) AS score, CAST(0.25 AS DOUBLE) AS p, CAST(0.5 AS DOUBLE) AS q, name AS sequence FROM loci_a",
 )
 BOOK.add("src_genes", lambda s, d: T.parse_genes(_lines(fx.loci_a(s, d), "name", "chr", "x1", "x2")), "SELECT name, CAST(chr AS VARCHAR) AS chr, x1 + 1 AS x1, x2 - 1 AS x2 FROM loci_a")
-BOOK.add("src_assembly", lambda s, d: T.parse_scaffolds(_lines(fx.scaffolds(s, d), F.concat(F.lit(">s"), "id"), "id", "length", sep=" ")), "SELECT 's' || id AS name, id, length, (id - 1) * 8000 + 1 AS orig_start FROM scaffolds")
+BOOK.add("src_assembly", lambda s, d: T.parse_scaffolds(_lines(fx.table(s, d, "supplier").select(F.col("s_suppkey").alias("id")), F.concat(F.lit(">s"), "id"), "id", F.lit("500"), sep=" ")), "SELECT 's' || s_suppkey AS name, CAST(s_suppkey AS BIGINT) AS id, CAST(500 AS BIGINT) AS length, (row_number() OVER (ORDER BY s_suppkey) - 1) * 500 + 1 AS orig_start FROM supplier")
 BOOK.add("src_wig", lambda s, d: T.parse_wig(fx.loci_a(s, d).select(F.expr("x1 div 10").alias("line"), F.col("score").cast("string").alias("value")), "chr1", 100, 10), "SELECT 'chr1' AS chr, 100 + (x1 // 10) * 10 AS start, 110 + (x1 // 10) * 10 AS \"end\", score AS value FROM loci_a")
 BOOK.add("src_vector_file", lambda s, d: rounded(T.parse_wig(fx.loci_b(s, d).select(F.expr("x1 div 10").alias("line"), F.col("x2").cast("string").alias("value")), "v", 0, 1), "value"), "SELECT 'v' AS chr, x1 // 10 AS start, x1 // 10 + 1 AS \"end\", CAST(x2 AS DOUBLE) AS value FROM loci_b")
 BOOK.add("sink_text_triples", lambda s, d: T.triples_text(contacts(s, d, sizes=(10000,))), "SELECT (bin_x * 10000)::VARCHAR || chr(9) || (bin_y * 10000)::VARCHAR || chr(9) || CAST(counts AS DECIMAL(20,2))::VARCHAR AS value FROM contacts WHERE bin_size = 10000")
 BOOK.add("sink_bedpe", lambda s, d: T.tab_lines(fx.feat_b(s, d), ["chr1", "start1", "end1", "chr2", "start2", "end2"]), "SELECT concat_ws(chr(9), chr1, start1, end1, chr2, start2, end2) AS value FROM feat_b")
 BOOK.add("sink_bed", lambda s, d: T.tab_lines(fx.loci_a(s, d), ["chr", "x1", "x2", "name"]), "SELECT concat_ws(chr(9), chr, x1, x2, name) AS value FROM loci_a")
-BOOK.add("sink_assembly", lambda s, d: fx.scaffolds(s, d).select(F.concat(F.lit(">s"), "id", F.lit(" "), "id", F.lit(" "), "length").alias("value")), "SELECT '>s' || id || ' ' || id || ' ' || length AS value FROM scaffolds")
-BOOK.add("flt_chrom_lookup", lambda s, d: fx.table(s, d, "nation").select("n_name", T.clean_chromosome(F.concat(F.lit("chr"), "n_name")).alias("name")), "SELECT n_name, lower(n_name) AS name FROM nation")
+BOOK.add("sink_assembly", lambda s, d: fx.table(s, d, "supplier").select(F.concat(F.lit(">s"), "s_suppkey", F.lit(" "), "s_suppkey", F.lit(" 500")).alias("value")), "SELECT '>s' || s_suppkey || ' ' || s_suppkey || ' 500' AS value FROM supplier")
+BOOK.add("flt_chrom_lookup", lambda s, d: fx.table(s, d, "customer").select("c_custkey", T.clean_chromosome(F.concat(F.lit("chr"), F.col("c_mktsegment"))).alias("name")), "SELECT c_custkey, lower(c_mktsegment) AS name FROM customer")
 BOOK.add("flt_resolution_pick", lambda s, d: fx.loci_b(s, d).select((F.col("x2") - F.col("x1")).alias("wanted")).distinct().select("wanted", F.array_min(F.transform(F.array(*(F.lit(x) for x in (500, 1000, 2500))), lambda r: F.struct(F.abs(r - F.col("wanted")).alias("d"), r.alias("r")))).getField("r").cast("long").alias("resolution")), "SELECT DISTINCT w AS wanted, CAST(CASE WHEN abs(w - 500) <= abs(w - 1000) AND abs(w - 500) <= abs(w - 2500) THEN 500 WHEN abs(w - 1000) <= abs(w - 2500) THEN 1000 ELSE 2500 END AS BIGINT) AS resolution FROM (SELECT x2 - x1 AS w FROM loci_b)")
 BOOK.add("set_zoom_chrom_intersection", lambda s, d: contacts(s, d).select("bin_size", "chr1").distinct().intersect(contacts(s, d, True).where("chr1 <> 2").select("bin_size", "chr1")), "SELECT DISTINCT bin_size, chr1 FROM contacts INTERSECT SELECT DISTINCT bin_size, chr1 FROM ctrl WHERE chr1 <> 2")
 BOOK.add("sink_parquet_map", lambda s, d: B.region(stored(contacts(s, d)), 1, 0, 50000, 1, 0, 50000), "SELECT chr1, chr2, bin_size, bin_x, bin_y, counts FROM contacts WHERE chr1 = 1 AND chr2 = 1 AND bin_x * bin_size <= 50000 AND bin_y * bin_size <= 50000")
