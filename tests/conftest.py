@@ -12,7 +12,7 @@ os.environ["PYTHONPATH"] = os.pathsep.join(p for p in (ROOT, os.environ.get("PYT
 def spark():
     from plectra.plans.session import local_session
 
-    session = local_session(4, memory="4g", app="tests")
+    session = local_session(int(os.environ.get("TEST_CPUS", "4")), memory="4g", app="tests")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
