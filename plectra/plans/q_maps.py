@@ -12,6 +12,7 @@ from plectra.operators import tracks as T
 from plectra.operators import views as V
 from plectra.plans import fixtures as fx
 from plectra.plans.book import Book, rounded
+from plectra.plans.storage import stored
 
 BOOK = Book()
 KEYS = "chr1, chr2, bin_size, bin_x, bin_y"
@@ -21,6 +22,11 @@ def contacts(spark, d, control=False, sizes=fx.SIZES):
     return B.bin_contacts(fx.pairs(spark, d, control), list(sizes))
 
 
+def held(spark, d, control=False, sizes=fx.SIZES):
+    """Cells written once, as a map in the store is: several parts of a view read them."""
+    return stored(contacts(spark, d, control, sizes))
+
+
 def _q(name, f, sql, sizes=fx.SIZES):
     BOOK.add(name, lambda s, d: f(s, contacts(s, d, sizes=sizes)), sql)
 
@@ -105,11 +111,11 @@ _FINITE = "value IS NOT NULL AND NOT isnan(value) AND NOT isinf(value)"
 
 
 def _two(s, d):
-    return V.two_maps(contacts(s, d), contacts(s, d, True), fx.chroms(s))
+    return V.two_maps(held(s, d), held(s, d, True), fx.chroms(s))
 
 
 for _name, _sql in _ONE_SQL.items():
-    BOOK.add(_name, lambda s, d, n=_name: rounded(V.view(V.one_map(contacts(s, d), fx.chroms(s)), V.one_map_views()[n]), "value"), f"SELECT {KEYS}, round(value, 6) AS value FROM (SELECT *, {_sql} AS value FROM one) WHERE {_FINITE}")
+    BOOK.add(_name, lambda s, d, n=_name: rounded(V.view(V.one_map(held(s, d), fx.chroms(s)), V.one_map_views()[n]), "value"), f"SELECT {KEYS}, round(value, 6) AS value FROM (SELECT *, {_sql} AS value FROM one) WHERE {_FINITE}")
 for _name, _sql in _TWO_SQL.items():
     BOOK.add(_name, lambda s, d, n=_name: rounded(V.view(_two(s, d), V.two_map_views()[n]), "value"), f"SELECT {KEYS}, round(value, 6) AS value FROM (SELECT *, {_sql} AS value FROM two) WHERE {_FINITE}")
 _VS_SQL = {
@@ -125,7 +131,7 @@ for _name, (_up, _low) in _VS_SQL.items():
         UNION ALL SELECT chr1, bin_size, bin_y, bin_x, {_low} FROM two WHERE chr1 = chr2 AND bin_x <> bin_y) WHERE {_FINITE}""",
     )
 BOOK.add("join_control", lambda s, d: contacts(s, d).join(contacts(s, d, True).withColumnRenamed("counts", "control"), KEYS.split(", ")), f"SELECT {KEYS}, o AS counts, c AS control FROM two")
-_q("q_oe_region", lambda s, c: rounded(V.view(B.region(V.one_map(c, fx.chroms(s)), 1, 0, 100000, 1, 0, 100000), V.one_map_views()["q_oe"]), "value"), f"SELECT {KEYS}, round(o / e, 6) AS value FROM one WHERE chr1 = 1 AND chr2 = 1 AND bin_x * bin_size <= 100000 AND bin_y * bin_size <= 100000 AND e <> 0")
+BOOK.add("q_oe_region", lambda s, d: rounded(V.view(B.region(V.one_map(held(s, d), fx.chroms(s)), 1, 0, 100000, 1, 0, 100000), V.one_map_views()["q_oe"]), "value"), f"SELECT {KEYS}, round(o / e, 6) AS value FROM one WHERE chr1 = 1 AND chr2 = 1 AND bin_x * bin_size <= 100000 AND bin_y * bin_size <= 100000 AND e <> 0")
 
 
 def entry_region_oe(s, d):
