@@ -58,7 +58,7 @@ def _encoded(path: str, end: int):
         coder, squeeze, last = tokens.encoder(path), zstandard.ZstdCompressor(level=3), np.array([end], "<u4").tobytes()
         for batch in batches:
             ids = coder.encode([t or "" for t in batch.column(1).to_pylist()])
-            ids = [squeeze.compress((x + last)) for x in ids]
+            ids = [squeeze.compress(x + last) for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["id", "ids"])
 
     return run

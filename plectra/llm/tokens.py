@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import os
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 
-#: Distinct words whose ids a worker remembers before it starts over.
-REMEMBERED = 500_000
+#: Distinct words whose ids a worker remembers before it starts over, and new words in one call of the library.
+REMEMBERED, TOGETHER = 1_000_000, 200
+#: Marks a word that no blank precedes.
+_BARE = "\x02"
+#: Characters that are an id sequence of their own behind letters at the end of a word.
+_ENDS = ".,;:!?"
 
 
 def default_vocabulary() -> str:
@@ -17,12 +21,20 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _plain(text: str) -> bool:
+    """Whether all white space is single blanks and line feeds between other characters."""
+    if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        return False
+    return text.replace("\n", "").isprintable()  # no other white space, no control characters
+
+
 class Encoder:
     """Ids of whole texts, equal to the library's own.
 
     The byte-level pre-tokenizer always cuts before a single blank, and around a single line feed, that
-    stands between two characters that are no white space. The pieces between such cuts are encoded by the
-    library once and remembered; a text with any other white space goes to the library as a whole.
+    stands between two characters that are no white space, and between letters and what follows them. The
+    pieces between such cuts are encoded by the library once and remembered; a text with any other white
+    space goes to the library as a whole.
     """
 
     def __init__(self, path: str):
@@ -30,35 +42,65 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.after: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
-        self.feed = self._ids(["\n"])[0]
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def _learn(self, memory: dict[str, bytes], words: set[str], blank: str) -> None:
-        if len(memory) > REMEMBERED:
-            memory.clear()
-        new = list(words - memory.keys())
-        memory.update(zip(new, self._ids([blank + w for w in new]), strict=True))
+        self.known: dict[str, bytes] = {}
+        self.feed = self._library(["\n"])[0]
+        self.known["\n"] = self.feed
+        self.feed_id = int.from_bytes(self.feed, "little") if len(self.feed) == 4 else -1
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn(self, new: set[str]) -> None:
+        """Remembers new words, each given with its mark or without (after a blank)."""
+        known = self.known
+        # A word of letters with one more character behind it is known by its parts.
+        pairs: list[tuple[str, str]] = []
+        wanted: set[str] = set()
+        for w in new:
+            if w[-1] in _ENDS and (w[1:-1] if w[0] == _BARE else w[:-1]).isalpha():
+                stem = w[:-1]
+                pairs.append((w, stem))
+                if stem not in known:
+                    wanted.add(stem)
+            else:
+                wanted.add(w)
+        fresh = list(wanted.union([_BARE + c for c in _ENDS if _BARE + c not in known]))
+        for at in range(0, len(fresh), TOGETHER):
+            some = fresh[at : at + TOGETHER]
+            joined = ("\n ".join(some) + "\n\x00").replace(" " + _BARE, "")
+            ids = np.array(self.library.encode((" " + joined) if some[0][0] != _BARE else joined[1:], add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(ids == self.feed_id).tolist()
+            if len(cuts) == len(some):
+                raw = ids.tobytes()
+                begins = [0, *(4 * c + 4 for c in cuts)]
+                known.update(zip(some, [raw[x : 4 * y] for x, y in zip(begins, cuts, strict=False)], strict=True))
+            else:  # a vocabulary in which a line feed is no id of its own
+                known.update(zip(some, self._library([w[1:] if w[0] == _BARE else " " + w for w in some]), strict=True))
+        ends = {c: known[_BARE + c] for c in _ENDS}
+        for w, stem in pairs:
+            known[w] = known[stem] + ends[w[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut: list[list[list[str]] | None] = []
-        for text in texts:
-            lines = [line.split(" ") for line in text.split("\n")]
-            cut.append(lines if list(chain.from_iterable(lines)) == text.split() else None)
-        plain = [lines for lines in cut if lines]
-        self._learn(self.bare, {line[0] for lines in plain for line in lines}, "")
-        self._learn(self.after, {w for lines in plain for line in lines for w in line[1:]}, " ")
-        whole = iter(self._ids([t for t, lines in zip(texts, cut, strict=True) if not lines]))
-        bare, after = self.bare, self.after.__getitem__
-        return [
-            self.feed.join([bare[line[0]] + b"".join(map(after, line[1:])) for line in lines]) if lines else next(whole)
-            for lines in cut
-        ]
+        plain = [_plain(t) for t in texts]
+        whole = iter(self._library([t for t, p in zip(texts, plain, strict=True) if not p]))
+        cut = iter(self._remembered([_BARE + t for t, p in zip(texts, plain, strict=True) if p]))
+        return [next(cut if p else whole) for p in plain]
+
+    def _remembered(self, texts: list[str]) -> list[bytes]:
+        cut = [t.replace("\n", " \n " + _BARE).split(" ") for t in texts]
+        words = list(chain.from_iterable(cut))
+        if len(self.known) > REMEMBERED:
+            self.known = {"\n": self.feed}
+        found = list(map(self.known.get, words))
+        missing = [i for i, x in enumerate(found) if x is None]
+        if missing:
+            self._learn({words[i] for i in missing})
+            known = self.known
+            for i in missing:
+                found[i] = known[words[i]]
+        ends = list(accumulate(map(len, cut)))
+        return [b"".join(found[e - len(units) : e]) for units, e in zip(cut, ends, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
