@@ -323,6 +323,72 @@ def test_line_links_against_brute_force(spark, documents):
             assert any(m != n and abs(len(m) - len(n)) <= 0.25 * len(n) and near(m, n) for m in lines)
 
 
+def brute_removed(rows, least=line_dedup.LEAST):
+    """(doc, line) that go: every pair of distinct lines is compared."""
+    places = collections.defaultdict(list)
+    for d, text in rows:
+        for i, line in enumerate((text or "").split("\n")):
+            n = tuple(w for w in line.lower().translate(str.maketrans(line_dedup._FROM, line_dedup._TO)).split(" ") if w)
+            if len(n) >= least:
+                places[n].append((d, i))
+
+    def edits(a, b, most):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            diagonal, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
+            if min(row) > most:
+                return most + 1
+        return row[-1]
+
+    def linked(a, b):
+        longer = max(len(a), len(b))
+        most = longer // 5
+        bags = collections.Counter(a), collections.Counter(b)
+        if min(len(a), len(b)) < line_dedup.LEAST or longer - (bags[0] & bags[1]).total() > most:
+            return False
+        return edits(a, b, most) <= most
+
+    names = sorted(places)
+    root = brute_components(dict(enumerate(names)), linked)
+    groups = collections.defaultdict(list)
+    for k, n in enumerate(names):
+        groups[root[k]] += places[n]
+    return {p for found in groups.values() for p in found if p != min(found)}
+
+
+def near_lines(seed):
+    """Documents of copies with up to two tenths of the words changed, left out or put in, and lines with one common phrase."""
+    random.seed(seed)
+    word = lambda: f"w{chr(97 + random.randrange(26))}{chr(97 + random.randrange(26))}"
+    bases = [[word() for _ in range(n)] for n in (5, 5, 6, 7, 9, 10, 11, 14, 15, 19, 24, 25, 40, 64)] + [["la"] * 11, ["la", "lo"] * 8]
+    rows = []
+    for d in range(120):
+        own = []
+        for _ in range(3):
+            w = list(random.choice(bases))
+            for _ in range(random.randrange(0, len(w) // 4 + 2)):
+                at = random.randrange(len(w))
+                w[at : at + random.randrange(0, 2)] = [word()] * random.randrange(0, 2)
+            own.append(" ".join(w))
+        own.append("this phrase is in every page " + " ".join(word() for _ in range(random.randrange(1, 9))))
+        rows.append((d, "\n".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_every_linked_line_goes(spark, seed):
+    rows = near_lines(seed)
+    got = {(r.doc, r.line) for r in line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_removed(rows)
+
+
+def test_every_linked_line_of_the_documents_goes(documents):
+    rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()]
+    assert {(r.doc, r.line) for r in line_dedup.repeated_lines(documents).collect()} == brute_removed(rows)
+
+
 def test_simhash_is_the_majority_of_bits(spark):
     words = [[f"w{i}" for i in range(n)] for n in (5, 6, 40, 254, 300)]
     df = spark.createDataFrame([(k, w) for k, w in enumerate(words)], "k int, words array<string>")
