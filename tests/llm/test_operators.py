@@ -389,6 +389,19 @@ def test_every_linked_line_of_the_documents_goes(documents):
     assert {(r.doc, r.line) for r in line_dedup.repeated_lines(documents).collect()} == brute_removed(rows)
 
 
+def test_short_repeats_go_and_their_documents_stay(spark, tmp_path):
+    import corpus_pipeline
+
+    long_line = "the quick brown fox jumps over the lazy dog again"
+    rows = [(1, f"{long_line}\nShare this\n\u65e5\u672c\u8a9e\u306e\u9577\u3044\u884c"), (2, f"{long_line}\nonly here\nshare THIS!"), (3, f"{long_line}\n--\n"), (4, "\u65e5\u672c\u8a9e\u306e\u9577\u3044\u884c\n\n--\n\nx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.op8(spark, str(tmp_path)).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("only here", 2), 3: ("--\n", 1), 4: ("\n--\n\nx", 1)}
+    kept = corpus_pipeline.line_dedup_stage(spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id: r.text for r in kept} == {d: t for d, (t, _) in got.items() if d != 3}
+
+
 def test_simhash_is_the_majority_of_bits(spark):
     words = [[f"w{i}" for i in range(n)] for n in (5, 6, 40, 254, 300)]
     df = spark.createDataFrame([(k, w) for k, w in enumerate(words)], "k int, words array<string>")
