@@ -20,6 +20,5 @@ QUERIES = {
 #: DuckDB SQL over the same tables, where SQL can express the result.
 ORACLES: dict[str, str] = {
     "op4_extendible_sharding": sharding.ORACLE,
-    "op8_fuzzy_lines": line_dedup.op8,
     "op9_temporal_url_filter": url_filter.ORACLE,
 }

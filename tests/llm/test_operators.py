@@ -384,6 +384,12 @@ def test_every_linked_line_goes(spark, seed):
     assert got == brute_removed(rows)
 
 
+def test_oracles_are_sql():
+    from plectra.llm import queries
+
+    assert set(queries.ORACLES) <= set(queries.QUERIES) and all(isinstance(x, str) for x in queries.ORACLES.values())
+
+
 def test_every_linked_line_of_the_documents_goes(documents):
     rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()]
     assert {(r.doc, r.line) for r in line_dedup.repeated_lines(documents).collect()} == brute_removed(rows)
