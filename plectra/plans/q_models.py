@@ -65,7 +65,7 @@ _q("loop_enriched", lambda s, c: rounded(_enriched(s, c).select("chr", "i", "j",
 _q("loop_filter", lambda s, c: M.loop_filter(_kernel(s, c), 1.1, 1.2, 1.3).select("chr", "i", "j", "observed"), None, (2500,))
 _q("loop_coalesce", lambda s, c: M.loop_coalesce(M.loop_filter(_kernel(s, c), 1.1, 1.2, 1.3), 2500, 5000), None, (2500,))
 _q("loop_lowmapq", lambda s, c: M.loop_low_coverage(M.loop_filter(_kernel(s, c), 1.1, 1.2, 1.3), N.row_sums(c).where("value < 300").select("chr", "bin"), 2).select("chr", "i", "j", "observed"), None, (2500,))
-_q("loop_pvalue", lambda s, c: rounded(M.loop_pvalues(_kernel(s, c).where("i < 20")), "p_bl", "p_donut", "p_h", "p_v"), None, (2500,))
+_q("loop_pvalue", lambda s, c: rounded(M.loop_pvalues(_kernel(s, c)), "p_bl", "p_donut", "p_h", "p_v"), None, (2500,))
 
 
 def _loops(s, d):
