@@ -25,7 +25,7 @@ def _oe(s, c):
 
 
 _q("norm_scale", lambda s, c: rounded(N.balance(c), "value", digits=3))
-_q("norm_kr", lambda s, c: rounded(N.balance(c, tolerance=1e-6, rounds=60, least_cells=2), "value", digits=4))
+_q("norm_kr", lambda s, c: rounded(N.balance(c, tolerance=1e-6, least_cells=2), "value", digits=4))
 _q("norm_gw", lambda s, c: rounded(N.split_vector(N.balance(N.offset_contacts(c, fx.chroms(s))), fx.chroms(s)), "value", digits=3))
 _q("norm_inter", lambda s, c: rounded(N.split_vector(N.balance(N.offset_contacts(c, fx.chroms(s), between_only=True)), fx.chroms(s)), "value", digits=3))
 _q("mat_pearson", lambda s, c: rounded(M.pearson(_oe(s, c), fx.chroms(s)), "value"), """, oe AS (SELECT chr1 AS chr, bin_x AS i, bin_y AS j, o / e AS v FROM one WHERE chr1 = chr2 AND bin_size = 10000 AND e <> 0),

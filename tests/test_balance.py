@@ -1,0 +1,23 @@
+"""Balancing: a vector is either balanced or says that it is not."""
+
+import math
+
+import numpy as np
+
+from plectra.operators import norm
+
+COLUMNS = "chr1 long, chr2 long, bin_size long, bin_x long, bin_y long, counts double"
+
+
+def test_balanced_or_nan(spark):
+    """Chromosome 1 is a star, which no scaling balances; 2 is a full block."""
+    rng = np.random.default_rng(5)
+    block = [(2, 2, 10, i, j, float(rng.integers(1, 9))) for i in range(6) for j in range(i, 6)]
+    rows = [(1, 1, 10, 0, k, 1.0) for k in (1, 2, 3)] + block
+    got = {(r.chr, r.bin): r.value for r in norm.balance(spark.createDataFrame(rows, COLUMNS).coalesce(1)).collect()}
+    assert set(got) == {(1, k) for k in range(4)} | {(2, k) for k in range(6)}
+    assert all(math.isnan(got[1, k]) for k in range(4))
+    m = np.zeros((6, 6))
+    for _, _, _, i, j, x in block:
+        m[i, j] = m[j, i] = x / (got[2, i] * got[2, j])
+    assert np.ptp(m.sum(0)) <= 2e-3 * m.sum(0).mean()
