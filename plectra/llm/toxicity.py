@@ -1,20 +1,23 @@
 """Toxicity: a weighted finite-state grammar over clauses.
 
-A lexicon turns each word into a symbol: insult, threat, target, negation, reporting verb, clause break or
-anything else. Three small transducers annotate the symbols: negation holds for a few words, reported speech
-until the clause ends, a target near an insult or threat. They are composed into one table, which a clause
-runs through; each insult or threat leaves a matched pattern (kind, targeted, negated, reported). A document
-is scored by its matched patterns alone, with weights fitted on labelled rows.
-
-Insults and threats beyond the few that are given are learned from the labelled rows, too: words whose
-share of toxic documents' words is well over their share of others. Each document spreads one unit of
-evidence over its distinct words, so long documents do not drown short ones, and documents that share their
-smallest word hash, as copies of one text do, count once.
+A lexicon turns each word into a symbol: one of four kinds of trigger (a given insult or threat, a learned stem
+that is nearly or mostly found in toxic texts), target, negation, reporting verb, clause break or anything else. Three
+small transducers annotate the symbols: negation holds for a few words, reported speech until the clause ends,
+a target near a trigger. They are composed into one table, which a clause runs through; each trigger leaves a
+matched pattern (kind, negated, reported, targeted). A document is scored by its matched patterns alone - which
+occur, how often, and how often for its length - with weights fitted on labelled rows.
+
+The given words are English. The lexicon of other languages, and what else marks an insult or threat, is learned
+from the labelled rows as stems: whole words and beginnings of words, so that inflected forms count together. A
+stem is learned if documents that use it, or use it heavily, are mostly toxic. Words that stand before triggers
+are learned the same way: those found there mostly in clean texts act as negation, those mostly in toxic ones
+as targets. Copies of a text count once.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import product
 
@@ -26,18 +29,25 @@ from pyspark.sql import functions as F
 
 from plectra.llm.common import small_batches, stored
 
-#: Labelled rows that are fitted on at most (by a hash of doc_id), and learned words at most.
-TRAIN_ROWS, LEXICON = 20_000, 5_000
-#: Least log ratio of a learned word's shares, their smoothing, toxic documents that it must occur in (copies
-#: once), and the least part of the documents with it that are toxic.
-LOG_RATIO, SMOOTH, OCCURS, PURE = 1.0, 2e-4, 4, 0.7
+#: Labelled rows that are fitted on at most (by a hash of doc_id).
+TRAIN_ROWS = 20_000
+#: Toxic documents (copies once) that a stem must occur in, or be used heavily in; the least part of the documents with it that
+#: are toxic, also for a strong one; and how often toxic documents use it, as a multiple of how often others do.
+OCCURS, HEAVY, PURE, STRONG, RATIO = 4, 3, 0.7, 0.95, 4.0
+#: Lengths of beginnings of words, and the uses and the share of a text's words that make a use heavy.
+SHORTEST, LONGEST = 4, 8
+HEAVY_USES, HEAVY_SHARE, ONE_SHARE = 2, 0.004, 0.02
+#: Documents in which a word must stand before a trigger to be learned as a target or as a negation.
+CONTEXTS = 20
 INSULT = "idiot moron stupid fool dumb loser scum trash pathetic worthless disgusting clown imbecile jerk"
 THREAT = "kill hurt destroy murder beat punish stab shoot"
 TARGET = "you your youre he she they him her them his their this that these those"
 NEGATION = "not no never nor neither without isnt arent wasnt dont doesnt didnt"
 REPORTING = "said says say wrote writes claimed claims called quoted reported alleged told"
-OTHER, BREAK, NEG, REP, TGT, INS, THR = range(7)
-SYMBOLS = 7
+OTHER, BREAK, NEG, REP, TGT, INS, THR, SURE, LIKELY = range(9)
+SYMBOLS, KINDS, REACH = 9, 4, 4
+#: Words whose symbols a worker remembers.
+REMEMBERED = 200_000
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n]")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -73,35 +83,54 @@ def composed(parts: list[Transducer]) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Negation reaches four words, reported speech to the end of the clause, a target six words.
-FOLLOWING, BITS = (x.tolist() for x in composed([window_transducer(NEG, 4, False), window_transducer(REP, 1, True), window_transducer(TGT, 6, False)]))
-#: Two kinds by eight annotations, each as "at all" and as a logarithm of the count.
-PATTERNS = 16
-
-
-def lexicon(learned: dict[str, float]) -> dict[str, int]:
-    out = dict.fromkeys(learned, INS)
-    for words, symbol in ((INSULT, INS), (THREAT, THR), (TARGET, TGT), (NEGATION, NEG), (REPORTING, REP)):
-        out |= dict.fromkeys(words.split(), symbol)
-    return out | dict.fromkeys(".!?;\n", BREAK)
-
-
-def matched(text: str, symbol_of: dict[str, int], triggers: set[str]) -> list[int] | None:
-    """Counts of the 16 patterns in a text; None where no insult or threat occurs."""
-    text = text.lower()
-    if triggers.isdisjoint(_WORD.findall(text)):
-        return None
-    counts = [0] * PATTERNS
-    state = 0
-    for token in _TOKEN.findall(text):
-        symbol = symbol_of.get(token, OTHER)
+FOLLOWING, BITS = (x.tolist() for x in composed([window_transducer(NEG, REACH, False), window_transducer(REP, 1, True), window_transducer(TGT, 6, False)]))
+#: Kinds of trigger by eight annotations.
+PATTERNS = 8 * KINDS
+
+
+class Lexicon:
+    """The symbol of each word: given words first, then the longest learned stem that the word begins with."""
+
+    def __init__(self, stems: dict[str, int], context: dict[str, int]):
+        self.stems = stems
+        self.fixed = dict(context)
+        for words, symbol in ((INSULT, INS), (THREAT, THR), (TARGET, TGT), (NEGATION, NEG), (REPORTING, REP)):
+            self.fixed |= dict.fromkeys(words.split(), symbol)
+        self.fixed |= dict.fromkeys(".!?;\n", BREAK)
+        self.known: dict[str, int] = {}
+
+    def symbol(self, word: str) -> int:
+        found = self.known.get(word)
+        if found is None:
+            found = self.fixed.get(word, -1)
+            if found < 0:
+                found = next((self.stems[x] for x in reversed(stems_of(word)) if x in self.stems), OTHER)
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[word] = found
+        return found
+
+
+def stems_of(word: str) -> list[str]:
+    """The beginnings of a word, and the word itself, by length."""
+    return [*(word[:k] for k in range(SHORTEST, min(LONGEST, len(word) - 1) + 1)), word]
+
+
+def matched(text: str, lexicon: Lexicon) -> tuple[list[int], int]:
+    """Counts of the patterns in a text, and its number of words."""
+    tokens = _TOKEN.findall(text.lower())
+    counts, state, n = [0] * PATTERNS, 0, 0
+    for symbol in map(lexicon.symbol, tokens):
         if symbol >= INS:
             counts[8 * (symbol - INS) + BITS[state][symbol]] += 1
+        n += symbol != BREAK
         state = FOLLOWING[state][symbol]
-    return counts
+    return counts, n
 
 
-def features(counts: np.ndarray) -> np.ndarray:
-    return np.concatenate([counts > 0, np.log1p(counts), np.ones((len(counts), 1))], axis=1).astype(float)
+def features(counts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    rate = counts / (words[:, None] + 20)
+    return np.concatenate([counts > 0, np.log1p(counts), np.log1p(200 * rate), np.ones((len(counts), 1))], axis=1).astype(float)
 
 
 def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
@@ -119,23 +148,64 @@ def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) ->
     return w
 
 
+def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the smallest word hash of each text, which copies of a text share."""
+    for batch in batches:
+        own = [set(_WORD.findall((t or "").lower())) for t in batch.column(1).to_pylist()]
+        copy = [min(map(xxhash.xxh3_64_intdigest, w)) >> 1 if w else 0 for w in own]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(copy, pa.int64())], names=["id", "text", "toxic", "copy"])
+
+
 def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per stem and batch: documents that use it and use it heavily, toxic and not."""
     for batch in batches:
-        words, toxic, mass, copy = [], [], [], []
+        seen: dict[str, list[int]] = {}
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = set(_WORD.findall((text or "").lower()))
-            words += own
-            toxic += [label] * len(own)
-            mass += [1 / len(own)] * len(own) if own else []
-            copy += [min(map(xxhash.xxh3_64_intdigest, own)) >> 1] * len(own) if own else []
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.int32()), pa.array(mass, pa.float64()), pa.array(copy, pa.int64())], names=["word", "toxic", "mass", "copy"])
+            words = _WORD.findall((text or "").lower())
+            uses: Counter[str] = Counter()
+            for word, c in Counter(words).items():
+                for stem in stems_of(word):
+                    uses[stem] += c
+            for stem, c in uses.items():
+                share = c / len(words)
+                row = seen.setdefault(stem, [0, 0, 0, 0])
+                row[label] += 1
+                row[2 + label] += (c >= HEAVY_USES and share >= HEAVY_SHARE) or share >= ONE_SHARE
+        columns = [pa.array([r[i] for r in seen.values()], pa.int64()) for i in range(4)]
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), *columns], names=["stem", "used0", "used1", "heavy0", "heavy1"])
+
+
+def _contexts(lexicon: Lexicon):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row per document and word of no symbol that stands up to REACH words before a trigger."""
+        for batch in batches:
+            words: list[str] = []
+            toxic: list[int] = []
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                near: set[str] = set()
+                tokens = _TOKEN.findall((text or "").lower())
+                symbols = list(map(lexicon.symbol, tokens))
+                for i, symbol in enumerate(symbols):
+                    if symbol >= INS:
+                        for k in range(i - 1, max(i - REACH, 0) - 1, -1):
+                            if symbols[k] == BREAK:
+                                break
+                            if symbols[k] == OTHER:
+                                near.add(tokens[k])
+                words += near
+                toxic += [label] * len(near)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.int64())], names=["word", "toxic"])
+
+    return run
 
 
-def _counted(symbol_of, triggers, keep: str):
+def _counted(lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [matched(t or "", symbol_of, triggers) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.list_(pa.int64()))], names=[keep, "counts"])
+            found = [matched(t or "", lexicon) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(1), pa.array([c for c, _ in found], pa.list_(pa.int64())), pa.array([n for _, n in found], pa.int64())], names=["toxic", "counts", "n"]
+            )
 
     return run
 
@@ -143,50 +213,77 @@ def _counted(symbol_of, triggers, keep: str):
 class Model:
     """What is learned: the lexicon and the weights of patterns."""
 
-    def __init__(self, learned: dict[str, float], weights: np.ndarray):
-        self.symbol_of = lexicon(learned)
-        self.triggers = {w for w, s in self.symbol_of.items() if s >= INS}
+    def __init__(self, lexicon: Lexicon, weights: np.ndarray):
+        self.lexicon = lexicon
         self.weights = weights
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        found = [matched(t or "", self.symbol_of, self.triggers) or [0] * PATTERNS for t in texts]
-        return 1 / (1 + np.exp(-np.clip(features(np.array(found, float).reshape(-1, PATTERNS)) @ self.weights, -30, 30)))
+        found = [matched(t or "", self.lexicon) for t in texts]
+        counts = np.array([c for c, _ in found], float).reshape(-1, PATTERNS)
+        x = features(counts, np.array([n for _, n in found], float))
+        return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
 
 def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
+def learned_stems(texts: DataFrame, toxic: int, clean: int) -> dict[str, int]:
+    """The symbol of each learned stem; longer ones that say the same as one of their beginnings are left out."""
+    sums = [F.sum(c).alias(c) for c in ("used0", "used1", "heavy0", "heavy1")]
+    seen = texts.select("text", "toxic").mapInArrow(_evidence, "stem string, used0 long, used1 long, heavy0 long, heavy1 long").groupBy("stem").agg(*sums)
+
+    def telling(kind: str, least: int) -> F.Column:
+        one, other = F.col(f"{kind}1"), F.col(f"{kind}0")
+        often = (one + 0.5) / (toxic + 1) >= RATIO * (other + 0.5) / (clean + 1)
+        return (one >= least) & (one >= PURE * (one + other)) & often
+
+    strong = F.col("used1") >= STRONG * (F.col("used0") + F.col("used1"))
+    found = seen.where(telling("used", OCCURS) | telling("heavy", HEAVY)).select("stem", F.when(strong, SURE).otherwise(LIKELY).alias("symbol"))
+    # Each of these is in OCCURS or HEAVY of at most TRAIN_ROWS texts, so their number is bounded.
+    every = {r.stem: r.symbol for r in found.collect()}
+    return {s: k for s, k in every.items() if all(every.get(x, k) != k or x not in every for x in stems_of(s)[:-1])}
+
+
+def learned_context(texts: DataFrame, lexicon: Lexicon) -> dict[str, int]:
+    """Words before triggers that tell toxic uses from others: targets and negations."""
+    rows = texts.select("text", "toxic").mapInArrow(_contexts(lexicon), "word string, toxic long").groupBy("word").agg(F.sum("toxic").alias("one"), F.sum(1 - F.col("toxic")).alias("other"))
+    total = rows.agg(F.sum("one").alias("one"), F.sum("other").alias("other")).first()
+    if not total.one or not total.other:
+        return {}
+    ratio = ((F.col("one") + 0.5) / (total.one + 1)) / ((F.col("other") + 0.5) / (total.other + 1))
+    kind = F.when(ratio >= RATIO, TGT).when(ratio * RATIO <= 1, NEG)
+    return {r.word: r.kind for r in rows.where(F.col("one") + F.col("other") >= CONTEXTS).select("word", kind.alias("kind")).where("kind is not null").collect()}
+
+
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Learns from labelled rows that are not held out, at most train_rows of them."""
+    small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(~held_out() & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    train = stored(texts.join(known, "doc_id").select("text", "toxic"))
-    sizes = {r.toxic: r.n for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    # At most train_rows rows of two numbers, so they are sent to the texts.
+    train = stored(texts.join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic").mapInArrow(_copies, "id long, text string, toxic int, copy long"))
+    firsts = train.groupBy("copy", "toxic").agg(F.min("id").alias("id"))
+    once = train.join(F.broadcast(firsts), ["copy", "toxic", "id"], "left_semi")
+    sizes = {r.toxic: r.n for r in firsts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         share = 0.5 if not sizes else float(bool(sizes.get(1)))
-        return Model({}, np.r_[np.zeros(2 * PATTERNS), np.log((share + 0.01) / (1.01 - share))])
-    texts_of = train.mapInArrow(_evidence, "word string, toxic int, mass double, copy long").groupBy("word", "copy", "toxic").agg(F.max("mass").alias("mass"))
-    mass = texts_of.groupBy("word").agg(
-        F.sum(F.col("mass") * F.col("toxic")).alias("pos"), F.sum(F.col("mass") * (1 - F.col("toxic"))).alias("neg"), F.sum("toxic").alias("n"), F.count("*").alias("all")
-    )
-    ratio = F.log((F.col("pos") / sizes[1] + SMOOTH) / (F.col("neg") / sizes[0] + SMOOTH))
-    top = mass.where((F.col("n") >= OCCURS) & (F.col("n") >= PURE * F.col("all"))).select("word", F.round(ratio, 9).alias("r")).where(F.col("r") >= LOG_RATIO)
-    learned = {r.word: r.r for r in top.orderBy(F.desc("r"), "word").limit(LEXICON).collect()}
-    symbol_of = lexicon(learned)
-    triggers = {w for w, s in symbol_of.items() if s >= INS}
-    rows = train.select("toxic", "text").mapInArrow(_counted(symbol_of, triggers, "toxic"), "toxic int, counts array<long>").collect()
-    x = features(np.array([r.counts or [0] * PATTERNS for r in rows], float))
-    return Model(learned, fitted(x, np.array([r.toxic for r in rows], float)))
+        return Model(Lexicon({}, {}), np.r_[np.zeros(3 * PATTERNS), np.log((share + 0.01) / (1.01 - share))])
+    stems = learned_stems(once, sizes[1], sizes[0])
+    lexicon = Lexicon(stems, learned_context(once, Lexicon(stems, {})))
+    rows = train.select("text", "toxic").mapInArrow(_counted(lexicon), "toxic int, counts array<long>, n long").collect()  # train_rows at most, but for repeated ids
+    x = features(np.array([r.counts for r in rows], float), np.array([r.n for r in rows], float))
+    return Model(lexicon, fitted(x, np.array([r.toxic for r in rows], float)))
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, held_out, score, predicted), a row per row; no shuffle.
 
-    Null and empty texts get the score of a text without matches. Rows without a doc_id are not held out.
-    Other columns are left out and never read.
+    Null and empty texts get the score of a text without matches. Rows without a doc_id are not held out; rows
+    that repeat one are scored each. Very long texts are scored whole, with nothing kept per word. There are no ties:
+    equal texts get equal scores. Other columns are left out and never read; an empty table gives none.
     """
     small_batches(docs.sparkSession)
 

@@ -259,29 +259,50 @@ def test_secret_base_spans_against_plain_regexes(documents, odd, empty):
 
 
 def test_grammar_states():
-    symbol_of, triggers = toxicity.lexicon({}), set(toxicity.INSULT.split())
+    lexicon = toxicity.Lexicon({"bomente": toxicity.SURE}, {})
 
     def hit(text):
-        counts = toxicity.matched(text, symbol_of, triggers)
+        counts, _ = toxicity.matched(text, lexicon)
         return [i for i, c in enumerate(counts) if c]
 
     assert hit("an idiot") == [0] and hit("not an idiot") == [1] and hit("they said an idiot")[0] & 2 and hit("you idiot") == [4]
-    assert hit("not. an idiot") == [0] and toxicity.matched("fine words", symbol_of, triggers) is None
+    assert hit("not. an idiot") == [0] and toxicity.matched("fine words", lexicon) == ([0] * toxicity.PATTERNS, 2)
+    assert hit("Bomentera") == [16] and hit("bomen") == [] and toxicity.matched("", lexicon)[1] == 0
 
 
 def test_toxicity_held_out(spark, odd, empty):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit(docs, labels)
-    rows = toxicity.score_documents(docs, model).toPandas().merge(labels.toPandas(), on="doc_id")
+    rows = toxicity.score_documents(docs, model).toPandas().merge(labels.toPandas(), on="doc_id").merge(docs.select("doc_id", "lang").toPandas(), on="doc_id")
     assert (rows["held_out"] == [zlib.crc32(str(d).encode()) % 5 == 0 for d in rows["doc_id"]]).all()
     assert ((rows["score"] >= 0.5).astype(int) == rows["predicted"]).all()
     test = rows[rows["held_out"]]
-    assert (test["predicted"] == test["toxic"]).mean() > 0.9
+    assert test[test["toxic"] == 0]["predicted"].mean() < 0.01
+    recall = test[test["toxic"] == 1].groupby("lang")["predicted"].mean()
+    assert set(recall.index) == {"de", "en", "es", "fr"} and recall.min() > 0.75
     assert toxicity.score_documents(odd, model).count() == odd.count() and toxicity.score_documents(empty, model).count() == 0
     blank = toxicity.fit(docs.where("false"), labels.where("false"))
     assert toxicity.score_documents(odd, blank).where("score between 0 and 1").count() == odd.count()
 
 
+def test_toxicity_patterns_carry_weight(spark):
+    """The same words, negated or aimed at someone: only the matched patterns tell these texts apart."""
+    random.seed(5)
+    some = lambda n: " ".join(f"w{chr(97 + random.randrange(26))}{chr(97 + random.randrange(26))}" for _ in range(n))
+    rows = []
+    for d in range(400):
+        toxic = d % 2
+        foul = random.choice(["idiot", "moron", "murder"])
+        rows.append((d, f"{some(9)}. {'you are' if toxic else 'never'} {foul} {some(3)}. {some(9)}", toxic))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(table.drop("toxic"), table.select("doc_id", "toxic"))
+    test = [("you total idiot. " + some(20), 1), ("never an idiot. " + some(20), 0), ("you moron. " + some(20), 1), ("he is not a moron. " + some(20), 0), (some(30), 0)]
+    found = model.scores([t for t, _ in test])
+    assert found[[0, 2]].min() > found[[1]].max()
+    negated, aimed = model.weights[[0 + 1, 32 + 1, 64 + 1]].sum(), model.weights[[0 + 4, 32 + 4, 64 + 4]].sum()
+    assert aimed > 0 > negated
+
+
 def test_line_dedup(spark, odd, empty):
     a = "the quick brown fox jumps over the lazy dog again and again today while rain falls on the old stone bridge"
     b = a.replace("lazy", "sleepy")
