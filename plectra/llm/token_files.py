@@ -15,7 +15,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -54,50 +53,56 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def _encoded(path: str, end: int):
+    """A row per document with its ids, and at the end of a task one row with its counts of ids."""
+
+    def row(doc: list[int | None], ids: list[bytes | None], counts: list[bytes | None]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], names=["id", "ids", "counts"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, squeeze, last = tokens.encoder(path), zstandard.ZstdCompressor(level=3), np.array([end], "<u4").tobytes()
+        coder = tokens.encoder(path)
+        last = np.array([end], coder.kind).tobytes()
+        total = np.zeros(0, np.int64)
         for batch in batches:
-            ids = coder.encode([t or "" for t in batch.column(1).to_pylist()])
-            ids = [squeeze.compress(x + last) for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["id", "ids"])
+            ids = [x + last for x in coder.encode([t or "" for t in batch.column(1).to_pylist()])]
+            found = np.bincount(np.frombuffer(b"".join(ids), coder.kind), minlength=len(total))
+            found[: len(total)] += total
+            total = found
+            yield row(batch.column(0).to_pylist(), ids, [None] * len(ids))
+        yield row([None], [None], [total.astype("<i8").tobytes()])
 
     return run
 
 
-def _opened(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<u4")
-
-
 def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
     for batch in batches:
-        for blob in batch.column(0).to_pylist():
-            found = np.bincount(_opened(blob), minlength=len(total))
-            found[: len(total)] += total
-            total = found
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["token", "c"])
+        for counts in batch.column(0).to_pylist():
+            total = np.frombuffer(counts, "<i8")
+            used = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["token", "c"])
 
 
-def _blocks(rank_of):
+def _blocks(rank_of, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, part, block = rank_of.value, TaskContext.get().partitionId(), 0
         ids: list[int | None] = []
-        held: list[np.ndarray] = []
+        held: list[bytes] = []
+        size = 0
 
         def closed() -> pa.RecordBatch:
-            control, data = pack(np.concatenate(held))
-            row = [[part], [block], [ids], [[len(x) for x in held]], [control], [data]]
+            control, data = pack(ranks[np.frombuffer(b"".join(held), kind)])
+            width = np.dtype(kind).itemsize
+            row = [[part], [block], [ids], [[len(x) // width for x in held]], [control], [data]]
             kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["part", "block", "ids", "lengths", "control", "data"])
 
         for batch in batches:
-            for doc, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids.append(doc)
-                held.append(ranks[_opened(blob)])
-                if sum(map(len, held)) >= BLOCK:
+                held.append(found)
+                size += len(found)
+                if size >= BLOCK * np.dtype(kind).itemsize:
                     yield closed()
-                    ids, held, block = [], [], block + 1
+                    ids, held, size, block = [], [], 0, block + 1
         if held:
             yield closed()
 
@@ -107,15 +112,18 @@ def _blocks(rank_of):
 def write_tokens(docs: DataFrame, path: str | None = None, vocabulary: str | None = None, end: int = END) -> str:
     """Tokenizes whole texts (null: empty), appends `end`, and writes path/blocks and path/ranks; gives path.
 
-    Rows without a doc_id come first; rows that repeat one stand side by side. Other columns are left out.
-    An empty table gives empty tables.
+    Rows without a doc_id come first; rows that repeat one stand side by side, ordered by a hash of their ids. Ids
+    that are used equally often are ranked by themselves. Very long texts are blocks of their own. Other columns
+    are left out. An empty table gives empty tables.
     """
     spark = docs.sparkSession
     small_batches(spark)
     path = path or scratch_dir(spark)
     plain = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    coded = stored(plain.mapInArrow(_encoded(vocabulary or tokens.default_vocabulary(), end), "id long, ids binary"), "none")
-    counts = coded.select("ids").mapInArrow(_histogram, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    vocabulary = vocabulary or tokens.default_vocabulary()
+    kind = tokens.encoder(vocabulary).kind
+    coded = stored(plain.mapInArrow(_encoded(vocabulary, end), "id long, ids binary, counts binary"))
+    counts = coded.where("counts is not null").select("counts").mapInArrow(_histogram, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
     used = counts.orderBy(F.desc("c"), "token").collect()  # one row a vocabulary entry, however large the corpus
     order = np.array([r.token for r in used], np.int64)
     rank_of = np.zeros(int(order.max(initial=0)) + 1, np.uint32)
@@ -123,8 +131,8 @@ def write_tokens(docs: DataFrame, path: str | None = None, vocabulary: str | Non
     table = [(i, int(t)) for i, t in enumerate(order)]
     spark.createDataFrame(table, "rank int, token long").coalesce(1).write.parquet(f"{path}/ranks")
     files = max(1, -(-sum(r.c for r in used) // FILE))
-    laid = coded.repartitionByRange(files, "id", F.xxhash64("ids")).sortWithinPartitions("id")
-    rows = laid.mapInArrow(_blocks(spark.sparkContext.broadcast(rank_of)), "part int, block int, ids array<long>, lengths array<long>, control binary, data binary")
+    laid = coded.where("counts is null").select("id", "ids").repartitionByRange(files, "id", F.xxhash64("ids")).sortWithinPartitions("id", F.xxhash64("ids"))
+    rows = laid.mapInArrow(_blocks(spark.sparkContext.broadcast(rank_of), kind), "part int, block int, ids array<long>, lengths array<long>, control binary, data binary")
     rows.write.option("compression", "none").parquet(f"{path}/blocks")
     return path
 
@@ -132,23 +140,21 @@ def write_tokens(docs: DataFrame, path: str | None = None, vocabulary: str | Non
 def _decoded(token_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = token_of.value
-        for batch in batches:
-            for row in batch.to_pylist():
-                n = np.array(row["lengths"], np.int64)
-                ids = table[unpack(row["control"], row["data"], int(n.sum()))]
-                ends = np.cumsum(n)
-                crc = [zlib.crc32(ids[e - k : e].tobytes()) for k, e in zip(n, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(n), row["part"], np.int32)), pa.array(np.full(len(n), row["block"], np.int32)), pa.array(row["ids"], pa.int64()), pa.array(ends - n), pa.array(n), pa.array(crc, pa.int64())],
-                    names=["part", "block", "doc_id", "offset", "n_tokens", "ids_crc32"],
-                )
+        for row in (row for batch in batches for i in range(len(batch)) for row in batch.slice(i, 1).to_pylist()):
+            n = np.array(row["lengths"], np.int64)
+            ids = table[unpack(row["control"], row["data"], int(n.sum()))]
+            ends = np.cumsum(n)
+            crc = [zlib.crc32(ids[e - k : e].tobytes()) for k, e in zip(n, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(n), row["part"], np.int32)), pa.array(np.full(len(n), row["block"], np.int32)), pa.array(row["ids"], pa.int64()), pa.array(ends - n), pa.array(n), pa.array(crc, pa.int64())],
+                names=["part", "block", "doc_id", "offset", "n_tokens", "ids_crc32"],
+            )
 
     return run
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the files."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     blocks = spark.read.parquet(f"{path}/blocks")
     ranks = spark.read.parquet(f"{path}/ranks").orderBy("rank").collect()
     token_of = spark.sparkContext.broadcast(np.array([r.token for r in ranks], "<u4"))
