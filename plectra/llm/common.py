@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import gc
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,20 +21,51 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one only where that setting is unset (tests)."""
+    """A new folder below spark.checkpoint.dir, which all machines share.
+
+    Where that setting is unset, a local master gets a temporary folder of its own; anywhere else that is an
+    error, as executors would not see the driver's folder.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
+        base = _local_dir()
     return f"{base.rstrip('/')}/plectra-{uuid.uuid4().hex}"
 
 
+@functools.cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Writes the rows to the shared folder and reads them back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = scratch_dir(spark)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+#: The folders of tables that are still referred to.
+_paths: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that stored() made and whose readers have all been stored themselves."""
+    for table in tables:
+        path = _paths.pop(table)
+        jvm = table.sparkSession.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def released(spark: SparkSession) -> None:
+    """Spark drops the shuffle files and broadcasts of ended jobs once their plans are garbage, which can take long on an idle driver."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -55,7 +89,7 @@ def components(edges: DataFrame) -> DataFrame:
             degree.select("u", rank.alias("own")).join(near, "u").select("u", F.least("own", "near").getField("m").alias("m"))
         )
         maps.append(best)
-        live = stored(
+        after = stored(
             live.join(best, "u")
             .select(F.col("v").alias("u"), F.col("m").alias("a"))
             .join(best, "u")
@@ -63,6 +97,8 @@ def components(edges: DataFrame) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
+        discard(live, degree)
+        live = after
     if not maps:
         return live.select(F.col("u").alias("node"), F.col("v").alias("root"))
     out = maps[0].select(F.col("u").alias("node"), F.col("m").alias("root"))
