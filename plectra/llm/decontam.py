@@ -4,9 +4,10 @@ Words are runs of anything but ASCII white space and punctuation, ASCII letters
 five of up to eight neighbouring words and ignores the others, so a substituted word breaks some seeds of a
 passage but not all. Seeds of the benchmark are joined with seeds of the documents; a fixed-size bitmap of
 the benchmark's seeds goes to the tasks first, so that only seeds that may match are shuffled. Around every
-hit the two texts are laid side by side, and the best overlap is the stretch with the highest score (one
-for an equal word, minus four for a different one: four of five words at least are equal). A document is
-contaminated by an item if such an overlap has 13 equal words, or all words of a shorter item.
+hit the two texts are laid side by side, and the best overlap is, of all stretches in which at least four of five
+words are equal, the one with the most equal words. A document is contaminated by an item if such an overlap has 13
+equal words, or four of five words of a shorter item; items of under eight words have seeds without a gap alone, so
+all their words must be equal, and items of under five have none.
 """
 
 from __future__ import annotations
@@ -73,12 +74,22 @@ def _seed_rows(bitmap):
 
 
 def best_overlap(equal: np.ndarray) -> tuple[int, int, int]:
-    """(start, end, equal words) of the stretch with the highest score."""
+    """(start, end, equal words) of the stretch with the most equal words, at least four of five of its words; the first of several."""
     score = np.r_[0, np.cumsum(np.where(equal, 1, -DIFFERENT))]
-    low = np.minimum.accumulate(score)
-    end = int(np.argmax(score - low))
-    start = int(np.flatnonzero(score[: end + 1] == low[end])[-1])
-    return start, end, int(equal[start:end].sum())
+    count = np.r_[0, np.cumsum(equal)]
+    # From each start, the last end at which the score has not fallen below the start's.
+    later = np.maximum.accumulate(score[::-1])[::-1]
+    last = np.searchsorted(-later, -score, side="right") - 1
+    start = int(np.argmax(count[last] - count))
+    inside = np.flatnonzero(equal[start : last[start]])
+    if not len(inside):
+        return 0, 0, 0
+    return start + int(inside[0]), start + int(inside[-1]) + 1, len(inside)
+
+
+def needed(words_of_item: int) -> int:
+    """Equal words that make an overlap with an item of so many words."""
+    return min(EQUAL, words_of_item - words_of_item // (DIFFERENT + 1) if words_of_item >= 8 else words_of_item)
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +104,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 start, end, n = best_overlap(a[first + diagonal : last + diagonal] == b[first:last])
                 best = max(best, (n, first + diagonal + start, first + start, end - start))
-            if best[0] and best[0] >= min(EQUAL, len(b)):
+            if best[0] and best[0] >= needed(len(b)):
                 out.append((row["doc_id"], row["item_id"], *best))
         names = ["doc_id", "item_id", "n_equal", "doc_start", "item_start", "n_words"]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(6)], names=names)
@@ -104,7 +115,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Columns: doc_id, item_id, n_equal, doc_start, item_start, n_words (the longest overlap, in words).
     Null and empty texts, and items of under five words, match nothing; rows without an id are not searched,
-    rows that repeat an id count as one. Other columns are left out; an empty table on either side gives none.
+    rows that repeat an id count as one: the best overlap of any of them. Very long texts are searched whole. Of
+    overlaps with equally many equal words the one furthest into the document counts. Other columns are left out; an
+    empty table on either side gives none.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -117,9 +130,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bits = np.zeros(BITS // 8, np.uint8)
     for row in maps.collect():  # BITS bits at most
         bits[(row.b - 1) * 4096 : row.b * 4096] = np.frombuffer(row.m, np.uint8)
-    found = plain.mapInArrow(_seed_rows(spark.sparkContext.broadcast(bits)), schema)
+    held = spark.sparkContext.broadcast(bits)
+    found = plain.mapInArrow(_seed_rows(held), schema)
     hits = found.select(F.col("id").alias("doc_id"), "seed", F.col("at").alias("d")).join(known.select(F.col("id").alias("item_id"), "seed", F.col("at").alias("i")), "seed")
     pairs = stored(hits.groupBy("doc_id", "item_id").agg(F.collect_set(F.col("d") - F.col("i")).alias("diagonals")))
+    held.destroy()  # else every worker keeps it
     sides = pairs.join(plain.select(F.col("id").alias("doc_id"), "text"), "doc_id").join(items.select(F.col("id").alias("item_id"), F.col("text").alias("item")), "item_id")
     rows = sides.select("doc_id", "item_id", "diagonals", "text", "item").mapInArrow(_verified, "doc_id long, item_id long, n_equal long, doc_start long, item_start long, n_words long")
     best = F.max(F.struct("n_equal", "doc_start", "item_start", "n_words")).alias("x")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plectra.llm.common import components, small_batches, stored
+from plectra.llm.common import components, discard, released, small_batches, stored
 
 WORDS, SAMPLES, BAND, SKETCH_BITS = 5, 200, 5, 512
 #: Differing sketch bits above which a pair's similarity is taken to be under 0.55.
@@ -274,7 +274,9 @@ def _starred(reps: DataFrame, plain: DataFrame, sketches: DataFrame) -> tuple[Da
     centres = members.join(busy, "id").groupBy("key").agg(F.max(order).getField("id").alias("centre"))
     around = stored(members.select("key", "id").join(centres, "key").where("id <> centre"))
     pairs = around.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    return around.select("key", "id"), stored(_linked(pairs, plain, sketches))
+    links = _linked(pairs, plain, sketches)
+    discard(members)
+    return around.select("key", "id"), links
 
 
 def _torn(around: DataFrame, found: DataFrame) -> DataFrame:
@@ -288,7 +290,11 @@ def _torn(around: DataFrame, found: DataFrame) -> DataFrame:
 def _linked(pairs: DataFrame, plain: DataFrame, sketches: DataFrame) -> DataFrame:
     """Links (u, v) among candidate pairs (a, b): odd sketches first, then full sets."""
     likely = stored(_likely(pairs, sketches))
-    return _confirmed(likely, _full_sets(plain, likely.select(F.explode(F.array("a", "b")).alias("id"))))
+    sets = _full_sets(plain, likely.select(F.explode(F.array("a", "b")).alias("id")))
+    links = stored(_confirmed(likely, sets))
+    discard(likely, sets)
+    released(plain.sparkSession)
+    return links
 
 
 def _full_sets(plain: DataFrame, ids: DataFrame) -> DataFrame:
@@ -314,7 +320,9 @@ def _full_sets(plain: DataFrame, ids: DataFrame) -> DataFrame:
                 yield from _sets([batch.select([0, 1]).take(pa.array(own))])
 
     marked = plain.where("id is not null").select("id", "text", place.alias("place"))
-    return stored(marked.mapInArrow(run, "id long, set array<long>").dropDuplicates(["id", "set"]), "lz4")
+    out = stored(marked.mapInArrow(run, "id long, set array<long>").dropDuplicates(["id", "set"]), "lz4")
+    wanted.destroy()  # else every worker keeps it
+    return out
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -204,6 +204,48 @@ def test_decontamination(spark, odd, empty):
     assert decontam.contaminated(docs, bench.where("false")).count() == 0
 
 
+def brute_overlap(doc, item):
+    """Most equal words of any stretch of any diagonal with four of five words equal, by trying all stretches."""
+    best = 0
+    for diagonal in range(1 - len(item), len(doc)):
+        same = [doc[k + diagonal] == w for k, w in enumerate(item) if 0 <= k + diagonal < len(doc)]
+        for i in range(len(same)):
+            n = 0
+            for j in range(i, len(same)):
+                n += same[j]
+                if 5 * n >= 4 * (j - i + 1):
+                    best = max(best, n)
+    return best
+
+
+def test_substituted_passages_against_brute_force(spark):
+    """Passages with words substituted: every pair that the rule names is found but for a few that break every seed, and no other."""
+    random.seed(11)
+    word = lambda: f"v{random.randrange(400)}"
+    items = [[word() for _ in range(n)] for n in (8, 9, 10, 12, 13, 15, 20, 30, 60, 60)]
+    docs = []
+    for item in items:
+        for share in (0, 0.05, 0.1, 0.15, 0.2, 0.25):
+            docs.append([word() for _ in range(random.randrange(0, 20))] + [word() if random.random() < share else w for w in item] + [word() for _ in range(random.randrange(0, 20))])
+    docs.append([w if k % 5 != 2 else word() for k, w in enumerate(items[-1])])  # every fifth word
+    docs += [[word() for _ in range(50)] for _ in range(10)]
+    bench = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")
+    table = spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_equal for r in decontam.contaminated(table, bench).collect()}
+    found = {(d, i): brute_overlap(doc, item) for d, doc in enumerate(docs) for i, item in enumerate(items)}
+    want = {pair: n for pair, n in found.items() if n >= decontam.needed(len(items[pair[1]]))}
+    assert set(got) <= set(want) and all(n <= want[pair] for pair, n in got.items())
+    assert len(got) >= 0.95 * len(want) and (60, 9) in got
+
+
+def test_decontamination_ids(spark):
+    """Items without an id or with a repeated one; documents that repeat an id are one."""
+    words = [f"b{i}" for i in range(20)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (1, "other words entirely that nobody has written down yet today"), (None, " ".join(words))], "item_id long, text string")
+    docs = spark.createDataFrame([(5, "nothing"), (5, " ".join(words)), (None, " ".join(words))], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id, r.n_equal) for r in decontam.contaminated(docs, bench).collect()] == [(5, 1, 20)]
+
+
 def test_decontamination_finds_every_passage(spark, sf_dir, documents):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     items = {r.item_id: decontam.words(r.text.encode()) for r in bench.collect()}
@@ -243,6 +285,27 @@ def test_secret_scan_layers():
     assert secret_scan.scan("")[0] == [] and secret_scan.digest([("hex", 5, 9), ("assign", 5, 7)]) == "assign:5:7,hex:5:9"
 
 
+def test_secret_scan_finds_wrapped_layers():
+    inner = 'password = "hunter2abc"'
+    plain, zipped = base64.b64encode(inner.encode()).decode(), gzip.compress(inner.encode(), mtime=0)
+    nested = inner.encode()
+    for _ in range(70):
+        nested = zlib.compress(nested)
+    members = gzip.compress(b"nothing to see here", mtime=0) + zipped
+    cases = [
+        (f"https://h/{plain}", plain),
+        (f"id-{plain}", plain),
+        (f"x_{base64.urlsafe_b64encode(inner.encode()).decode()}", plain),
+        *((x, x) for x in (base64.b64encode(b).decode() for b in (inner.encode("utf-16-le"), inner.encode("utf-16-be"), nested, members, b"\xff" + inner.encode()))),
+        *((x, x) for x in ("".join(f"%{b:02x}" for b in zipped), "".join(f"\\x{b:02X}" for b in zipped))),
+    ]
+    for text, wrapped in cases:
+        base, every, unfinished = secret_scan.scan(text)
+        assert {text[a:b].rstrip("=") for k, a, b in every if k == "assign"} == {wrapped.rstrip("=")} and unfinished == 0 and not [b for b in base if b[0] == "assign"]
+    bomb = base64.b64encode(zlib.compress(b"ab " * (secret_scan.UNPACKED // 3 + 10) + inner.encode())).decode()
+    assert secret_scan.scan(bomb)[2] == 1
+
+
 def test_secret_base_spans_against_plain_regexes(documents, odd, empty):
     kinds = (
         ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6),
