@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -39,30 +41,26 @@ def raw_expected(contacts: DataFrame, chroms: DataFrame) -> DataFrame:
 
 
 def smoothed(actual: np.ndarray, possible: np.ndarray) -> np.ndarray:
-    """Density by distance, each from the smallest centred window with ENOUGH counts.
+    """Density by distance, each over a window of distances with ENOUGH counts; all sums are differences of running totals.
 
-    The window [lo, hi] grows to the right until it has enough; once grown, both ends are dropped while enough
-    would remain; then it moves on, two to the right (one at the end).
+    A window with too few counts ends where it first has enough, or behind the last distance. One with
+    enough loses as many distances at both ends as leave it enough. The next distance's window ends two further.
     """
     n = len(actual)
-    a, p = np.r_[actual, 0.0], np.r_[possible, 0.0]
-    out = np.empty(n)
-    num, den, lo, hi = a[0], p[0], 0, 0
+    counts, pairs = (np.r_[0.0, np.cumsum(np.r_[x, 0.0])] for x in (actual, possible))
+    enough_at = np.minimum(np.searchsorted(counts, counts + ENOUGH) - 1, n)
+    first, last = 0, 0
+    ends = np.empty((n, 2), np.int64)
     for i in range(n):
-        if num < ENOUGH:
-            while num < ENOUGH and hi < n:
-                hi += 1
-                num, den = num + a[hi], den + p[hi]
+        if counts[last + 1] - counts[first] < ENOUGH:
+            last = max(last, int(enough_at[first]))
         else:
-            while hi > lo and num - a[lo] - a[hi] >= ENOUGH:
-                num, den = num - a[lo] - a[hi], den - p[lo] - p[hi]
-                lo, hi = lo + 1, hi - 1
-        out[i] = num / den if den else np.nan
-        for _ in range(2 if hi + 2 < n else 1):
-            if hi + 1 < n:
-                hi += 1
-                num, den = num + a[hi], den + p[hi]
-    return out
+            scant = bisect_left(range(1, (last - first) // 2 + 1), True, key=lambda k: counts[last + 1 - k] - counts[first + k] < ENOUGH)
+            first, last = first + scant, last - scant
+        ends[i] = first, last
+        last = max(last, min(last + 2, n - 1))
+    total, places = (x[ends[:, 1] + 1] - x[ends[:, 0]] for x in (counts, pairs))
+    return np.divide(total, places, out=np.full(n, np.nan), where=places != 0)
 
 
 def smooth_expected(contacts: DataFrame, chroms: DataFrame) -> DataFrame:

@@ -99,24 +99,21 @@ def duplicate_counts(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def library_size(unique: int, duplicates: int) -> int | None:
-    """Distinct molecules X of a library with c/X = 1 - exp(-n/X), c unique among n reads, by bisection."""
+    """Distinct molecules X of a library with c/X = 1 - exp(-n/X), c unique among n reads.
+
+    With u = n/X this is the root over 0 of the concave 1 - exp(-u) - u c/n. Newton steps from u = n/c, where it
+    is negative, fall to the root without passing it.
+    """
     n = unique + duplicates
     if unique <= 0 or duplicates <= 0:
         return None
-
-    def f(x: float) -> float:
-        return unique / x - 1 + math.exp(-n / x)
-
-    low, high = 1.0, 100.0
-    while f(high * unique) >= 0:
-        high *= 10
-    for _ in range(1000):
-        mid = (low + high) / 2
-        value = f(mid * unique)
-        if value == 0 or high - low < 1e-12:
-            break
-        low, high = (mid, high) if value > 0 else (low, mid)
-    return int(unique * (low + high) / 2)
+    share = unique / n
+    u = 1 / share
+    while True:
+        move = (-math.expm1(-u) - share * u) / (math.exp(-u) - share)
+        if move <= 1e-15 * u:
+            return int(n / u)
+        u -= move
 
 
 def library_size_of(pairs: DataFrame, keys: list[str]) -> DataFrame:
