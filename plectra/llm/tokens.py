@@ -9,8 +9,8 @@ from itertools import accumulate, chain
 
 import numpy as np
 
-#: Words whose ids a worker remembers as lately used, and as used before those: some 100 MB together.
-REMEMBERED = 250_000
+#: Words whose ids a worker remembers as lately used, and as used before those: some 200 MB together.
+REMEMBERED = 500_000
 #: Marks a word that no blank precedes.
 _BARE = "\x02"
 #: Characters that are an id sequence of their own behind letters at the end of a word.
