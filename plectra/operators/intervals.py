@@ -76,19 +76,23 @@ def keep_intersecting(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def hits(base: DataFrame, motifs: DataFrame) -> DataFrame:
-    """Motifs (chr, x1, x2, score) by the base locus (b1, b2) that they overlap, with how many that locus has."""
+    """Motifs (chr, x1, x2, score) by the base locus (b1, b2) that they overlap."""
     loci = base.select("chr", F.col("x1").alias("b1"), F.col("x2").alias("b2")).distinct()
-    hit = overlap_join(motifs.select("chr", "x1", "x2", "score"), loci, other=("b1", "b2"))
-    return hit.withColumn("n", F.count("*").over(Window.partitionBy("chr", "b1", "b2")))
+    return overlap_join(motifs.select("chr", "x1", "x2", "score"), loci, other=("b1", "b2"))
+
+
+def _counted_hits(base: DataFrame, motifs: DataFrame) -> DataFrame:
+    """hits() with how many motifs the base locus has."""
+    return hits(base, motifs).withColumn("n", F.count("*").over(Window.partitionBy("chr", "b1", "b2")))
 
 
 def retain_unique(base: DataFrame, motifs: DataFrame) -> DataFrame:
     """Motifs that are the only one at a base locus."""
-    return hits(base, motifs).where("n = 1").select("chr", "x1", "x2", "score").distinct()
+    return _counted_hits(base, motifs).where("n = 1").select("chr", "x1", "x2", "score").distinct()
 
 
 def retain_multi(base: DataFrame, motifs: DataFrame) -> DataFrame:
-    return hits(base, motifs).where("n > 1").select("chr", "x1", "x2", "score").distinct()
+    return _counted_hits(base, motifs).where("n > 1").select("chr", "x1", "x2", "score").distinct()
 
 
 def retain_best(base: DataFrame, motifs: DataFrame) -> DataFrame:

@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 
 
+@functools.cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Written below spark.checkpoint.dir and read back; a temporary folder only where that is unset (tests)."""
+    """Written below spark.checkpoint.dir and read back.
+
+    Where that setting is unset, a local master gets a temporary folder of its own; anywhere else that is an
+    error, as executors would not see the driver's folder.
+    """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
+        base = _local_dir()
     path = f"{base.rstrip('/')}/plectra-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -27,9 +27,9 @@ def parse_sizes(lines: DataFrame) -> DataFrame:
 
 
 def parse_sites(lines: DataFrame) -> DataFrame:
-    """chr site1 site2 ... -> (chr, site_idx, pos)."""
+    """chr site1 site2 ... -> (chr, site_idx, pos); a site that is no number has no position."""
     rows = _tokens(lines).select(F.get("t", 0).alias("chr"), F.posexplode(F.slice("t", 2, F.size("t"))).alias("site_idx", "pos"))
-    return rows.select("chr", F.col("site_idx").cast("long").alias("site_idx"), F.col("pos").cast("long").alias("pos"))
+    return rows.select("chr", F.col("site_idx").cast("long").alias("site_idx"), F.col("pos").try_cast("long").alias("pos"))
 
 
 def parse_bed(lines: DataFrame) -> DataFrame:

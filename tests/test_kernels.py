@@ -94,3 +94,16 @@ def test_balanced_rows_are_even(spark, sf_dir):
     normed = norm.normalize(cells.where("chr1 = chr2"), norm.balance(cells, tolerance=1e-4))
     for _, part in norm.row_sums(normed).toPandas().groupby("chr"):
         assert part["value"].std() / part["value"].mean() < 5e-3
+
+
+def test_sites_that_are_no_numbers(spark):
+    from plectra.sources.features_text import parse_sites
+
+    lines = spark.createDataFrame([("1 100 x 300",), ("2",)], "value string")
+    assert sorted((r.chr, r.site_idx, r.pos or -1) for r in parse_sites(lines).collect()) == [("1", 0, 100), ("1", 1, -1), ("1", 2, 300)]
+
+
+def test_tables_are_stored_without_a_checkpoint_folder(spark):
+    from plectra.plans.storage import stored
+
+    assert stored(spark.range(3)).count() == 3
