@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plectra.functions.ieee import ieee_div
@@ -22,8 +24,15 @@ def windows(contacts: DataFrame, features: DataFrame, bin_size: int, half: int)
 
 
 def stack(found: DataFrame, half: int) -> DataFrame:
-    """(i, j, raw, mean_normed, centre_normed) summed over features, every place of the window."""
+    """(i, j, raw, mean_normed, centre_normed, ranked) summed over features, every place of the window.
+
+    ranked: 100 times the share of the window's places with a smaller count; empty places stay 0.
+    """
     n = float((2 * half + 1) ** 2)
+    own = ["chr1", "chr2", "m1", "m2"]
+    stored, positive = Window.partitionBy(*own), F.col("counts") > 0
+    below = n - F.count_if(positive).over(stored) + F.rank().over(stored.orderBy("counts")) - 1 - F.count_if(~positive).over(stored)
+    found = found.withColumn("rank__", F.when(positive, below * 100.0 / n).otherwise(0.0))
     per = found.groupBy("chr1", "chr2", "m1", "m2").agg(
         F.greatest(F.lit(1.0), F.sum("counts") / n).alias("mean"),
         F.max(F.when((F.col("i") == half) & (F.col("j") == half), F.col("counts"))).alias("centre"),
@@ -32,11 +41,12 @@ def stack(found: DataFrame, half: int) -> DataFrame:
     scaled = found.join(per, ["chr1", "chr2", "m1", "m2"])
     centre = F.coalesce(F.when(F.col("centre") > 0, F.col("centre")), F.col("least"), F.lit(1.0))
     sums = scaled.groupBy("i", "j").agg(
-        F.sum("counts").alias("raw"), F.sum(F.col("counts") / F.col("mean")).alias("mean_normed"), F.sum(F.col("counts") / centre).alias("centre_normed")
+        F.sum("counts").alias("raw"), F.sum(F.col("counts") / F.col("mean")).alias("mean_normed"), F.sum(F.col("counts") / centre).alias("centre_normed"),
+        F.sum("rank__").alias("ranked"),
     )
     spark = found.sparkSession
     places = spark.range((2 * half + 1) ** 2).select(F.expr(f"id div {2 * half + 1}").alias("i"), (F.col("id") % (2 * half + 1)).alias("j"))
-    zero = {c: F.coalesce(c, F.lit(0.0)) for c in ("raw", "mean_normed", "centre_normed")}
+    zero = {c: F.coalesce(c, F.lit(0.0)) for c in ("raw", "mean_normed", "centre_normed", "ranked")}
     return places.join(F.broadcast(sums), ["i", "j"], "left").select("i", "j", *(v.alias(c) for c, v in zero.items()))
 
 
@@ -66,3 +76,40 @@ def by_distance(contacts: DataFrame, features: DataFrame, bin_size: int, half: i
         (F.sum(F.when((F.col("i") >= last) & (F.col("j") < corner), F.col("counts")).otherwise(0.0)) / corner**2).alias("ll"),
     )
     return sums.select("bucket", "features", ieee_div("centre", "ll").alias("p2ll"))
+
+
+def enhancements(found: DataFrame, half: int) -> DataFrame:
+    """(chr1, chr2, m1, m2, enhancement): each window's centre over the mean of its other places."""
+    centre = F.sum(F.when((F.col("i") == half) & (F.col("j") == half), F.col("counts")).otherwise(0.0))
+    sums = found.groupBy("chr1", "chr2", "m1", "m2").agg(centre.alias("c"), F.sum("counts").alias("t"))
+    rest = (F.col("t") - F.col("c")) / float((2 * half + 1) ** 2 - 1)
+    return sums.select("chr1", "chr2", "m1", "m2", ieee_div(F.col("c"), rest).alias("enhancement"))
+
+
+def enlarged(found: DataFrame, size: int, folds: int) -> DataFrame:
+    """Windows of size x size places, each place made folds x folds, by linear interpolation between places.
+
+    Place k lies at k * folds; behind the last one its value is repeated. Each cell is spread to the places
+    that it weighs in, so the work is a sum by place, and empty places cost nothing.
+    """
+    spread = found
+    for axis in ("i", "j"):
+        reach = f"sequence(greatest(0L, ({axis} - 1) * {folds} + 1), least({size * folds - 1}L, ({axis} + 1) * {folds} - 1))"
+        spread = spread.withColumn(f"{axis}__", F.explode(F.expr(reach)))
+        far = F.abs(F.col(f"{axis}__") - F.col(axis) * folds) / float(folds)
+        behind = (F.col(axis) == size - 1) & (F.col(f"{axis}__") > F.col(axis) * folds)
+        spread = spread.withColumn("counts", F.col("counts") * F.when(behind, 1.0).otherwise(1.0 - far))
+    sums = spread.groupBy("chr1", "chr2", "m1", "m2", "i__", "j__").agg(F.sum("counts").alias("counts"))
+    return sums.withColumnsRenamed({"i__": "i", "j__": "j"})
+
+
+def reduced(found: DataFrame, box: int) -> DataFrame:
+    """The largest count of each box x box places (0 or more, as places without a cell are 0)."""
+    at = [F.expr(f"{axis} div {box}").alias(axis) for axis in ("i", "j")]
+    return found.groupBy("chr1", "chr2", "m1", "m2", *at).agg(F.greatest(F.lit(0.0), F.max("counts")).alias("counts"))
+
+
+def resized(found: DataFrame, size: int, target: int) -> DataFrame:
+    """Windows of size x size places as target x target: enlarged to the least common multiple, then reduced."""
+    both = math.lcm(size, target)
+    return reduced(enlarged(found, size, both // size), both // target)

@@ -141,3 +141,24 @@ def top_neighbors(contacts: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("chr1", "bin_size", "i").orderBy(F.desc("counts"), "j")
     rows = mirrored(contacts.where("chr1 = chr2")).withColumn("rank", F.row_number().over(order))
     return rows.where(F.col("rank") <= k).select(F.col("chr1").alias("chr"), "bin_size", "i", "j", "counts", F.col("rank").cast("long").alias("rank"))
+
+
+def chromosome_pairs(chroms: DataFrame) -> DataFrame:
+    """(chr1, chr2) of all chromosomes with chr1 <= chr2; the table holds one row a chromosome."""
+    a, b = chroms.select(F.col("idx").alias("chr1")), chroms.select(F.col("idx").alias("chr2"))
+    return a.crossJoin(F.broadcast(b)).where("chr1 <= chr2")
+
+
+def validated(contacts: DataFrame, chroms: DataFrame, sizes: list[int], block: int) -> DataFrame:
+    """(chr1, chr2, bin_size, cells, bad, first_block, good) of every chromosome pair and bin size that a map should hold.
+
+    bad: cells without a positive count, below the diagonal, or behind a chromosome's end; first_block: cells of the
+    first `block` bins of both axes. good: cells are there, none is bad, and the first block is not empty.
+    """
+    due = chromosome_pairs(chroms).withColumn("bin_size", F.explode(F.array(*(F.lit(x).cast("long") for x in sizes))))
+    ends = [chroms.select(F.col("idx").alias(f"chr{k}"), F.col("len").alias(f"len{k}")) for k in (1, 2)]
+    cells = contacts.join(F.broadcast(ends[0]), "chr1").join(F.broadcast(ends[1]), "chr2")
+    bad = F.expr("counts <= 0 or isnan(counts) or (chr1 = chr2 and bin_x > bin_y) or bin_x * bin_size >= len1 or bin_y * bin_size >= len2")
+    found = cells.groupBy("chr1", "chr2", "bin_size").agg(F.count("*").alias("cells"), F.count_if(bad).alias("bad"), F.count_if((F.col("bin_x") < block) & (F.col("bin_y") < block)).alias("first_block"))
+    all_ = due.join(found, ["chr1", "chr2", "bin_size"], "left").na.fill(0, ["cells", "bad", "first_block"])
+    return all_.withColumn("good", F.expr("cells > 0 and bad = 0 and first_block > 0"))

@@ -44,6 +44,32 @@ def sliding_average(vector: DataFrame, radius: int) -> DataFrame:
     return vector.select("chr", "bin", F.avg("value").over(w).alias("value"))
 
 
+def column_sums(contacts: DataFrame) -> DataFrame:
+    """(chr, bin, value, diagonal): a bin's contacts with all chromosomes, and its cell on the diagonal, of one bin size."""
+    intra, inter = contacts.where("chr1 = chr2"), contacts.where("chr1 <> chr2")
+    on = F.when(F.col("bin_x") == F.col("bin_y"), F.col("counts"))
+    rows = intra.select(F.col("chr1").alias("chr"), F.col("bin_x").alias("bin"), "counts", on.alias("diagonal"))
+    mirror = intra.where("bin_x <> bin_y").select("chr1", "bin_y", "counts", F.lit(None).cast("double"))
+    others = [inter.select(f"chr{k}", b, "counts", F.lit(None).cast("double")) for k, b in ((1, "bin_x"), (2, "bin_y"))]
+    return rows.union(mirror).union(others[0]).union(others[1]).groupBy("chr", "bin").agg(F.sum("counts").alias("value"), F.max("diagonal").alias("diagonal"))
+
+
+def smoothed_positive(vector: DataFrame, radius: int, value: str = "value") -> DataFrame:
+    """Mean of the positive values from `radius` bins before a bin up to, and without, `radius` bins behind it.
+
+    Values that are not positive stay as they are. A partition holds one chromosome's bins, one row each.
+    """
+    w = Window.partitionBy("chr").orderBy("bin").rangeBetween(-radius, radius - 1)
+    mean = F.avg(F.when(F.col(value) > 0, F.col(value))).over(w)
+    return vector.withColumn(value, F.when(F.col(value) > 0, mean).otherwise(F.col(value)))
+
+
+def log_enrichment(vector: DataFrame, value: str = "value") -> DataFrame:
+    """ln of values over the mean of all that exceed 1."""
+    mean = vector.agg(F.avg(F.when(F.col(value) > 1, F.col(value))).alias("mean__"))
+    return vector.crossJoin(F.broadcast(mean)).withColumn(value, F.ln(F.col(value) / F.col("mean__"))).drop("mean__")
+
+
 def reverse_cumulative(vector: DataFrame) -> DataFrame:
     """Sum of a bin and all that follow, by chromosome."""
     w = Window.partitionBy("chr").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)

@@ -88,10 +88,12 @@ def _windows(s, d):
 _W = f""", md AS (SELECT DISTINCT chr1, chr2, ((start1 + end1) // 2) // 2500 AS m1, ((start2 + end2) // 2) // 2500 AS m2 FROM feat_a),
 wn AS (SELECT c.chr1, c.chr2, m1, m2, bin_x - m1 + {_HALF} AS i, bin_y - m2 + {_HALF} AS j, counts FROM contacts c JOIN md ON c.chr1 = md.chr1 AND c.chr2 = md.chr2 AND bin_size = 2500 AND abs(bin_x - m1) <= {_HALF} AND abs(bin_y - m2) <= {_HALF})"""
 _ST = f""", per AS (SELECT chr1, chr2, m1, m2, greatest(1.0, sum(counts) / {(2 * _HALF + 1) ** 2}.0) AS mean, max(CASE WHEN i = {_HALF} AND j = {_HALF} THEN counts END) AS centre, min(CASE WHEN counts > 0 THEN counts END) AS least FROM wn GROUP BY ALL),
-su AS (SELECT i, j, sum(counts) AS raw, sum(counts / mean) AS mean_normed, sum(counts / coalesce(CASE WHEN centre > 0 THEN centre END, least, 1.0)) AS centre_normed FROM wn JOIN per USING (chr1, chr2, m1, m2) GROUP BY ALL),
-pl AS (SELECT i, j FROM range(0, {2 * _HALF + 1}) a(i), range(0, {2 * _HALF + 1}) b(j)), sk AS (SELECT pl.i, pl.j, coalesce(raw, 0) AS raw, coalesce(mean_normed, 0) AS mean_normed, coalesce(centre_normed, 0) AS centre_normed FROM pl LEFT JOIN su ON su.i = pl.i AND su.j = pl.j)"""
+rk AS (SELECT *, CASE WHEN counts > 0 THEN ({(2 * _HALF + 1) ** 2} - count(*) FILTER (counts > 0) OVER f + (SELECT count(*) FROM wn o WHERE o.chr1 = w.chr1 AND o.chr2 = w.chr2 AND o.m1 = w.m1 AND o.m2 = w.m2 AND o.counts > 0 AND o.counts < w.counts)) * 100.0 / {(2 * _HALF + 1) ** 2} ELSE 0 END AS rank
+ FROM wn w WINDOW f AS (PARTITION BY chr1, chr2, m1, m2)),
+su AS (SELECT i, j, sum(rank) AS ranked, sum(counts) AS raw, sum(counts / mean) AS mean_normed, sum(counts / coalesce(CASE WHEN centre > 0 THEN centre END, least, 1.0)) AS centre_normed FROM rk JOIN per USING (chr1, chr2, m1, m2) GROUP BY ALL),
+pl AS (SELECT i, j FROM range(0, {2 * _HALF + 1}) a(i), range(0, {2 * _HALF + 1}) b(j)), sk AS (SELECT pl.i, pl.j, coalesce(raw, 0) AS raw, coalesce(mean_normed, 0) AS mean_normed, coalesce(centre_normed, 0) AS centre_normed, coalesce(ranked, 0) AS ranked FROM pl LEFT JOIN su ON su.i = pl.i AND su.j = pl.j)"""
 BOOK.add("apa_extract", _windows, _W + " SELECT chr1, chr2, m1, m2, i, j, counts FROM wn")
-BOOK.add("apa_stack", lambda s, d: rounded(A.stack(_windows(s, d), _HALF), "raw", "mean_normed", "centre_normed"), _W + _ST + " SELECT i, j, round(raw, 6) AS raw, round(mean_normed, 6) AS mean_normed, round(centre_normed, 6) AS centre_normed FROM sk")
+BOOK.add("apa_stack", lambda s, d: rounded(A.stack(_windows(s, d), _HALF), "raw", "mean_normed", "centre_normed", "ranked"), _W + _ST + " SELECT i, j, round(raw, 6) AS raw, round(mean_normed, 6) AS mean_normed, round(centre_normed, 6) AS centre_normed, round(ranked, 6) AS ranked FROM sk")
 _LAST = 2 * _HALF + 1 - _CORNER
 BOOK.add(
     "apa_stats",

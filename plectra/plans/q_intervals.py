@@ -34,13 +34,6 @@ _q("agg_best_bin", lambda s, a, b: I.best_in_bin(a, 500), "SELECT chr, x1, x2, s
 _q("agg_distinct", lambda s, a, b: a.select("chr", "x1", "x2").dropDuplicates(), "SELECT DISTINCT chr, x1, x2 FROM loci_a")
 _q("srt_loci", lambda s, a, b: b.orderBy("chr", "x1", "x2"), "SELECT chr, x1, x2 FROM loci_b ORDER BY 1, 2, 3")
 _q("genes", lambda s, a, b: I.keep_intersecting(a.where("name = 'click'"), b), "SELECT DISTINCT a.chr, a.x1, a.x2 FROM loci_a a WHERE name = 'click' AND EXISTS (SELECT 1 FROM loci_b b WHERE a.chr = b.chr AND a.x1 <= b.x2 AND b.x1 <= a.x2)")
-_q(
-    "motif_unique",
-    lambda s, a, b: I.retain_best(I.keep_intersecting(I.retain_unique(b, a), I.merge(a.where("score > 20"))), a),
-    None,
-)
-_q("motif_inferred", lambda s, a, b: I.retain_best(I.expand_small(b, 1000), I.retain_multi(b, a)), None)
-_q("motif_update", lambda s, a, b: a.groupBy("chr", F.expr("x1 div 1000").alias("anchor")).agg(F.max("score").alias("score")), "SELECT chr, x1 // 1000 AS anchor, max(score) AS score FROM loci_a GROUP BY ALL")
 _TRACK = "SELECT chr, x1 AS start, x2 AS \"end\", score AS value FROM loci_a"
 
 

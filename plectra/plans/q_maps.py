@@ -164,7 +164,3 @@ _q("color_percentile", lambda s, c: c.where("bin_x <> bin_y").groupBy("chr1", "c
 _OFF = """, gb AS (SELECT bin_size, idx, coalesce(sum(len // bin_size + 1) OVER (PARTITION BY bin_size ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM chroms, (SELECT CAST(unnest([2500,5000,10000,20000]) AS BIGINT) AS bin_size))"""
 _q("genome_wide_assembly", lambda s, c: N.offset_contacts(c, fx.chroms(s)), _OFF + " SELECT CAST(0 AS BIGINT) AS chr1, CAST(0 AS BIGINT) AS chr2, c.bin_size, bin_x + a.o AS bin_x, bin_y + b.o AS bin_y, counts FROM contacts c JOIN gb a ON a.bin_size = c.bin_size AND a.idx = chr1 JOIN gb b ON b.bin_size = c.bin_size AND b.idx = chr2")
 _q("q_genome_wide", lambda s, c: rounded(N.split_vector(N.vanilla_coverage(N.offset_contacts(c.where("bin_size = 10000"), fx.chroms(s))), fx.chroms(s)), "value"), None)
-_q("join_nested_loop_cross", lambda s, c: c.groupBy("chr1", "chr2").agg(F.count("*").alias("cells")), "SELECT chr1, chr2, count(*) AS cells FROM contacts GROUP BY ALL")
-_q("chrom_column_sum", lambda s, c: rounded(T.sliding_average(B.mirrored(c.where("bin_size = 10000")).where("chr1 <> chr2 or i >= 0").groupBy(F.col("chr1").alias("chr"), F.col("i").alias("bin")).agg(F.sum("counts").alias("value")), 2), "value"), """, cs AS (SELECT chr, i AS bin, sum(counts) AS value FROM (SELECT chr, i, counts FROM both_tri WHERE bin_size = 10000 UNION ALL SELECT chr1, bin_x, counts FROM contacts WHERE chr1 <> chr2 AND bin_size = 10000) GROUP BY ALL)
-SELECT chr, bin, round(avg(value) OVER (PARTITION BY chr ORDER BY bin ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS value FROM cs""")
-_q("chk_validate", lambda s, c: c.groupBy("chr1", "chr2", "bin_size").agg(F.count("*").alias("cells"), F.count_if((F.col("counts") <= 0) | ((F.col("chr1") == F.col("chr2")) & (F.col("bin_x") > F.col("bin_y")))).alias("bad")), "SELECT chr1, chr2, bin_size, count(*) AS cells, CAST(count_if(counts <= 0 OR (chr1 = chr2 AND bin_x > bin_y)) AS BIGINT) AS bad FROM contacts GROUP BY ALL")

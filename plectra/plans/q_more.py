@@ -42,7 +42,8 @@ _o("asm_split", lambda o: S.split(o, 4), "SELECT grp + CASE WHEN grp > g OR (grp
 _o("asm_cut", lambda o: S.cut(o, 5, 300, 500), """SELECT CASE WHEN k = 1 THEN (SELECT max(grp) + 1 FROM od) ELSE grp END AS grp, row_number() OVER (ORDER BY k = 1, ord, CASE WHEN signed_id < 0 THEN -k ELSE k END) AS ord,
  CASE WHEN abs(signed_id) = 5 THEN (5 + k) * sign(signed_id) WHEN abs(signed_id) > 5 THEN sign(signed_id) * (abs(signed_id) + 2) ELSE signed_id END::BIGINT AS signed_id,
  CASE WHEN abs(signed_id) <> 5 THEN length WHEN k = 0 THEN 300 WHEN k = 1 THEN 200 ELSE length - 500 END::BIGINT AS length FROM od, range(0, 3) r(k) WHERE k = 0 OR abs(signed_id) = 5""")
-_o("asm_toggle", lambda o: S.toggle(o, 4, 6), None)
+_o("asm_toggle", lambda o: S.toggle(o, 4, 6), """SELECT 1 + sum(CASE WHEN was IS NOT NULL AND (grp <> was OR ord BETWEEN 4 AND 7) THEN 1 ELSE 0 END) OVER (ORDER BY ord)::BIGINT AS grp, ord, signed_id, length
+FROM (SELECT *, lag(grp) OVER (ORDER BY ord) AS was FROM od)""")
 _o("asm_phase_merge", lambda o: S.phase_merge(o, 1, 2), None)
 
 
@@ -51,21 +52,13 @@ def _undone(o):
     h.push(S.invert(o, 1, 5))
     h.push(S.merge(h.states[1], 1, 3))
     h.undo()
-    return h.undo()
-
-
-_o("asm_undo_redo", _undone, "SELECT grp, ord, signed_id, length FROM od")
+    h.undo()
+    return h.redo()
 
 
-def _elementwise(s, d):
-    a, b = contacts(s, d, sizes=(10000,)), contacts(s, d, True, sizes=(10000,)).withColumnRenamed("counts", "other")
-    both = a.join(b, ["chr1", "chr2", "bin_size", "bin_x", "bin_y"], "full").na.fill(0.0, ["counts", "other"])
-    c, o = F.col("counts"), F.col("other")
-    out = {"total": c + o, "product": c * o, "difference": c - o, "sign": F.signum(c - o), "larger": F.greatest(c, o), "ratio": ieee_div(o, c)}
-    return both.select("chr1", "chr2", "bin_x", "bin_y", *(F.round(v, 6).alias(n) for n, v in out.items()))
+_o("asm_undo_redo", _undone, "SELECT grp, CASE WHEN ord BETWEEN 1 AND 5 THEN 6 - ord ELSE ord END AS ord, CASE WHEN ord BETWEEN 1 AND 5 THEN -signed_id ELSE signed_id END AS signed_id, length FROM od")
 
 
-BOOK.add("mat_elementwise", _elementwise, "SELECT chr1, chr2, bin_x, bin_y, x + y AS total, x * y AS product, x - y AS difference, sign(x - y)::DOUBLE AS sign, greatest(x, y) AS larger, round(y / x, 6) AS ratio FROM (SELECT chr1, chr2, bin_x, bin_y, coalesce(a.counts, 0) AS x, coalesce(b.counts, 0) AS y FROM (SELECT * FROM contacts WHERE bin_size = 10000) a FULL JOIN (SELECT * FROM ctrl WHERE bin_size = 10000) b USING (chr1, chr2, bin_size, bin_x, bin_y))")
 BOOK.add("agg_block_merge", lambda s, d: B.sum_maps([contacts(s, d).where("counts >= 0"), contacts(s, d, True)]).groupBy("chr1", "chr2", "bin_size", B.block_number(8, 10).alias("block_number")).agg(F.sum("counts").alias("counts"), F.count("*").alias("cells")), """, sm AS (SELECT chr1, chr2, bin_size, bin_x, bin_y, sum(counts) AS counts FROM (SELECT * FROM contacts UNION ALL SELECT * FROM ctrl) GROUP BY ALL)
 SELECT chr1, chr2, bin_size, CASE WHEN chr1 = chr2 THEN CAST(floor(log2(1 + abs(bin_x - bin_y) / sqrt(2.0) / 8)) AS BIGINT) * 10 + ((bin_x + bin_y) // 2) // 8 ELSE (bin_y // 8) * 10 + bin_x // 8 END AS block_number, sum(counts) AS counts, count(*) AS cells FROM sm GROUP BY ALL""")
 BOOK.add("src_norm_vector", lambda s, d: rounded(N.vanilla_coverage(contacts(s, d)).where("chr = 1 and bin_size = 5000 and bin between 5 and 25"), "value"), "SELECT bin_size, chr, bin, round(value, 6) AS value FROM vc WHERE chr = 1 AND bin_size = 5000 AND bin BETWEEN 5 AND 25")
@@ -111,14 +104,3 @@ def _merged_resolutions(s, d):
 
 
 BOOK.add("loop_merge_res", _merged_resolutions)
-
-
-def _triples(s, d):
-    """Triples of positions from line items, binned into cubes of 30,000 bases with all gaps over one bin."""
-    rows = fx.pairs(s, d).where("chr1 = chr2").selectExpr("chr1 AS chr", "array_sort(array(pos1, pos2, (pos1 * 31 + pos2 * 17) % 120000)) AS p")
-    cubes = rows.selectExpr("chr", "p[0] div 30000 AS a", "p[1] div 30000 AS b", "p[2] div 30000 AS c").where("b - a >= 1 and c - b >= 1")
-    return cubes.groupBy("chr", "a", "b", "c").agg(F.count("*").alias("n"))
-
-
-BOOK.add("triples_search", _triples, """, tr AS (SELECT chr1 AS chr, list_sort([pos1, pos2, (pos1 * 31 + pos2 * 17) % 120000]) AS p FROM pairs WHERE chr1 = chr2), cu AS (SELECT chr, p[1] // 30000 AS a, p[2] // 30000 AS b, p[3] // 30000 AS c FROM tr)
-SELECT chr, a, b, c, count(*) AS n FROM cu WHERE b - a >= 1 AND c - b >= 1 GROUP BY ALL""")

@@ -81,7 +81,6 @@ BOOK.add(
 )
 BOOK.add("src_genes", lambda s, d: T.parse_genes(_lines(fx.loci_a(s, d), "name", "chr", "x1", "x2")), "SELECT name, CAST(chr AS VARCHAR) AS chr, x1 + 1 AS x1, x2 - 1 AS x2 FROM loci_a")
 BOOK.add("src_assembly", lambda s, d: T.parse_scaffolds(_lines(fx.table(s, d, "supplier").select(F.col("s_suppkey").alias("id")), F.concat(F.lit(">s"), "id"), "id", F.lit("500"), sep=" ")), "SELECT 's' || s_suppkey AS name, CAST(s_suppkey AS BIGINT) AS id, CAST(500 AS BIGINT) AS length, (row_number() OVER (ORDER BY s_suppkey) - 1) * 500 + 1 AS orig_start FROM supplier")
-BOOK.add("src_wig", lambda s, d: T.parse_wig(fx.loci_a(s, d).select(F.expr("x1 div 10").alias("line"), F.col("score").cast("string").alias("value")), "chr1", 100, 10), "SELECT 'chr1' AS chr, 100 + (x1 // 10) * 10 AS start, 110 + (x1 // 10) * 10 AS \"end\", score AS value FROM loci_a")
 BOOK.add("src_vector_file", lambda s, d: rounded(T.parse_wig(fx.loci_b(s, d).select(F.expr("x1 div 10").alias("line"), F.col("x2").cast("string").alias("value")), "v", 0, 1), "value"), "SELECT 'v' AS chr, x1 // 10 AS start, x1 // 10 + 1 AS \"end\", CAST(x2 AS DOUBLE) AS value FROM loci_b")
 BOOK.add("sink_text_triples", lambda s, d: T.triples_text(contacts(s, d, sizes=(10000,))), "SELECT (bin_x * 10000)::VARCHAR || chr(9) || (bin_y * 10000)::VARCHAR || chr(9) || CAST(counts AS DECIMAL(20,2))::VARCHAR AS value FROM contacts WHERE bin_size = 10000")
 BOOK.add("sink_bedpe", lambda s, d: T.tab_lines(fx.feat_b(s, d), ["chr1", "start1", "end1", "chr2", "start2", "end2"]), "SELECT concat_ws(chr(9), chr1, start1, end1, chr2, start2, end2) AS value FROM feat_b")

@@ -102,6 +102,29 @@ def parse_wig(lines: DataFrame, chr_name: str, start: int, step: int) -> DataFra
     return rows.select(F.lit(chr_name).alias("chr"), at.alias("start"), (at + step).alias("end"), F.col("v").alias("value"))
 
 
+def parse_wig_files(lines: DataFrame) -> DataFrame:
+    """(chr, start, end, value) of fixedStep and variableStep blocks; needs (file, line, value) rows.
+
+    A block's header holds for the lines up to the next one, so the rows of a file are ordered by line in one
+    task; several files run side by side. A step and a span that are not given are 1. Positions are from 1 in the
+    file and from 0 here; lines that are no number are passed over.
+    """
+    order = Window.partitionBy("file").orderBy("line")
+    text = F.trim("value")
+    head = F.when(F.startswith(text, F.lit("fixedStep")) | F.startswith(text, F.lit("variableStep")), text)
+    rows = lines.where((text != "") & ~F.startswith(text, F.lit("#")) & ~F.startswith(text, F.lit("track"))).select("file", "line", text.alias("t"), head.alias("own"))
+    held = rows.withColumns({"head": F.last("own", ignorenulls=True).over(order), "block": F.count("own").over(order)})
+    k = F.row_number().over(Window.partitionBy("file", "block").orderBy("line")) - 2
+    field = lambda name: F.regexp_extract("head", rf"\b{name}=(\S+)", 1)
+    number = lambda name: F.coalesce(field(name).try_cast("long"), F.lit(1))
+    part = F.split("t", r"\s+")
+    fixed = F.startswith("head", F.lit("fixedStep"))
+    start = F.when(fixed, number("start") + k * number("step")).otherwise(F.get(part, 0).try_cast("long")) - 1
+    value = F.get(part, F.when(fixed, 0).otherwise(1)).try_cast("double")
+    found = held.select("own", field("chrom").alias("chr"), start.alias("start"), (start + number("span")).alias("end"), value.alias("value"))
+    return found.where("own is null and start is not null and value is not null").drop("own")
+
+
 def tab_lines(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows as tab-separated text, the way every text sink here writes them."""
     return df.select(F.concat_ws("\t", *(F.col(c).cast("string") for c in columns)).alias("value"))

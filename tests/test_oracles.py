@@ -35,6 +35,7 @@ SOME = [
     "flt_mapq", "prj_whole_genome_pos", "join_frag", "join_site_distance", "stat_pairs", "agg_bin_contacts", "agg_whole_genome", "flt_region",
     "agg_expected_scale", "norm_vc", "q_oeratio_p1", "q_logvs", "mat_spmv", "mat_pearson", "iv_intersect", "iv_retain_best", "iv_merge",
     "f2d_symdiff", "set_compare_lists", "f2d_loop_domain", "apa_stats", "trk_tumbling_bin", "asm_lift", "track_lift", "src_pairs_medium", "src_bedpe", "entry_region_oe",
+    "motif_unique", "motif_inferred", "chrom_column_sum", "chk_validate", "mat_elementwise", "apa_stack", "apa_resample", "sink_npy", "sink_matrix_txt", "src_wig", "asm_toggle",
 ]
 
 
@@ -48,3 +49,9 @@ def test_query_equals_sql(name, spark, duck, sf_dir):
 
 def test_every_oracle_has_a_query():
     assert set(registry.ORACLES) <= set(registry.QUERIES)
+
+
+def test_every_oracle_is_sql():
+    import __spark_entry__
+
+    assert all(isinstance(sql, str) for sql in __spark_entry__.oracle_sql().values())
