@@ -100,44 +100,70 @@ def fdr_table(hist: np.ndarray, inv_fdr: float) -> tuple[int, np.ndarray, float]
     return first, rate, total
 
 
-def coalesce(x: np.ndarray, y: np.ndarray, observed: np.ndarray, res: int, radius: int) -> list[tuple[int, int, int, int, float]]:
-    """(centre x, centre y, radius, pixels, observed) of greedy clusters, the strongest pixel first.
+def clusters(x: np.ndarray, y: np.ndarray, observed: np.ndarray, radius: int) -> list[tuple[list[int], int, int, int]]:
+    """(members, the strongest first; centre x; centre y; radius) of greedy clusters of pixels.
 
-    A cluster takes every pixel, in that order, within its radius of the running integer centre; after each one
+    A cluster takes every pixel, in order of strength, within its radius of the running integer centre; after each one
     the centre is set anew and the radius is `radius` and the farthest member's distance. Ties: smaller x, then y.
     """
-    order = np.lexsort((y, x, -observed))
-    rest = list(order)
+    rest = np.lexsort((y, x, -observed))
     out = []
-    while rest:
-        head = rest.pop(0)
-        members, cx, cy, reach = [head], int(x[head]), int(y[head]), float(radius)
-        keep = []
-        for k in rest:
-            if math.hypot(x[k] - cx, y[k] - cy) <= reach:
-                members.append(k)
-                cx, cy = int(sum(x[m] for m in members) // len(members)), int(sum(y[m] for m in members) // len(members))
-                reach = radius + round(max(math.hypot(x[m] - cx, y[m] - cy) for m in members))
-            else:
-                keep.append(k)
-        rest = keep
-        out.append((cx + res // 2, cy + res // 2, int(reach), len(members), float(observed[head])))
+    while len(rest):
+        members, cx, cy, reach = [int(rest[0])], int(x[rest[0]]), int(y[rest[0]]), float(radius)
+        taken = np.zeros(len(rest), bool)
+        taken[0] = True
+        at = 1
+        while at < len(rest):
+            near = np.flatnonzero(np.hypot(x[rest[at:]] - cx, y[rest[at:]] - cy) <= reach)
+            if not len(near):
+                break
+            k = at + int(near[0])  # pixels passed over before it are not looked at again
+            taken[k] = True
+            members.append(int(rest[k]))
+            cx, cy = int(x[members].sum()) // len(members), int(y[members].sum()) // len(members)
+            reach = radius + round(float(np.hypot(x[members] - cx, y[members] - cy).max()))
+            at = k + 1
+        rest = rest[~taken]
+        out.append((members, cx, cy, int(reach)))
+    return out
+
+
+def coalesce(x: np.ndarray, y: np.ndarray, observed: np.ndarray, res: int, radius: int) -> list[tuple[int, int, int, int, float]]:
+    """(middle of the centre's bin x, y, radius, pixels, observed) of greedy clusters."""
+    return [(cx + res // 2, cy + res // 2, reach, len(m), float(observed[m[0]])) for m, cx, cy, reach in clusters(x, y, observed, radius)]
+
+
+def upper_tails(k: np.ndarray, lam: np.ndarray) -> np.ndarray:
+    """P(X >= k) of Poisson variables; NaN where the mean is not finite.
+
+    Terms are summed from k upwards where k is over the mean, and from k - 1 downwards otherwise: both sums fall
+    from their first term on.
+    """
+    k, lam = np.asarray(k, np.int64), np.asarray(lam, float)
+    out = np.where(np.isfinite(lam), np.where(k <= 0, 1.0, 0.0), np.nan)
+    at = np.flatnonzero((k > 0) & (lam > 0) & np.isfinite(lam))
+    n, mean = k[at].astype(float), lam[at]
+    up = n > mean
+    first = np.where(up, n, n - 1)
+    values, places = np.unique(first, return_inverse=True)
+    factorials = np.array([math.lgamma(v + 1) for v in values])
+    term = np.exp(first * np.log(mean) - mean - factorials[places]) if len(at) else first
+    total, step = term.copy(), first.copy()
+    live = np.flatnonzero(term > 0)
+    while len(live):
+        rising = up[live]
+        step[live] += np.where(rising, 1.0, 0.0)
+        term[live] *= np.where(rising, mean[live] / np.maximum(step[live], 1.0), step[live] / mean[live])
+        step[live] -= np.where(rising, 0.0, 1.0)
+        total[live] += term[live]
+        live = live[term[live] > total[live] * 1e-16]
+    out[at] = np.clip(np.where(up, total, 1.0 - total), 0.0, 1.0)
     return out
 
 
 def upper_tail(k: int, lam: float) -> float:
     """P(X >= k) of a Poisson variable."""
-    if k <= 0:
-        return 1.0
-    if lam <= 0:
-        return 0.0
-    term = math.exp(-lam + k * math.log(lam) - math.lgamma(k + 1))
-    total, i = 0.0, k
-    while term > total * 1e-16 and i < k + 10_000:
-        total += term
-        i += 1
-        term *= lam / i
-    return min(1.0, total)
+    return float(upper_tails(np.array([k]), np.array([lam]))[0])
 
 
 def blur(m: np.ndarray, radius: int, times: int = 3) -> np.ndarray:

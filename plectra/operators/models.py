@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plectra.kernels import dense as D
@@ -17,6 +17,17 @@ from plectra.operators.binning import mirrored
 
 #: Most bins of a chromosome that a dense correlation is made for.
 MOST_BINS = 20_000
+#: Rows of expectations of the second generation of loop calls, and those for expectations under one.
+ROWS, ROWS_BELOW = 50, 11
+#: Bin size, false discovery rate in per cent, peak width, window width, cluster radius; first generation of loop calls.
+FIRST_LOOPS = [(5000, 10, 4, 7, 20000), (10000, 10, 2, 5, 20000), (25000, 10, 1, 3, 50000)]
+#: The same of the second generation.
+SECOND_LOOPS = [(1000, 10, 5, 10, 3000), (2000, 10, 4, 10, 6000), (5000, 10, 4, 7, 10000), (10000, 10, 2, 5, 20000)]
+
+
+def loop_settings(spark: SparkSession, second: bool = False) -> DataFrame:
+    """(bin_size, fdr, peak, window, radius): what loops of each bin size are called with."""
+    return spark.createDataFrame(SECOND_LOOPS if second else FIRST_LOOPS, "bin_size long, fdr long, peak long, window long, radius long")
 
 
 def _intra(cells: DataFrame, chroms: DataFrame, value: str) -> DataFrame:
@@ -143,20 +154,60 @@ def loop_enriched(kernel: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def loop_coalesce(pixels: DataFrame, res: int, radius: int) -> DataFrame:
-    """(chr, x, y, radius, pixels, observed) of greedy clusters, one group a chromosome of called pixels."""
+    """(chr, x, y, radius, pixels, observed, i, j) of greedy clusters of called pixels; (i, j) is the strongest pixel's bin."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        found = K.coalesce(rows["i"].to_numpy() * res, rows["j"].to_numpy() * res, rows["observed"].to_numpy(), res, radius)
-        return pd.DataFrame([(rows["chr"].iloc[0], *x) for x in found], columns=["chr", "x", "y", "radius", "pixels", "observed"])
+        i, j, o = (rows[c].to_numpy() for c in ("i", "j", "observed"))
+        found = K.clusters(i * res, j * res, o, radius)
+        half = res // 2
+        out = [(rows["chr"].iloc[0], cx + half, cy + half, reach, len(m), o[m[0]], i[m[0]], j[m[0]]) for m, cx, cy, reach in found]
+        return pd.DataFrame(out, columns=["chr", "x", "y", "radius", "pixels", "observed", "i", "j"])
+
+    schema = "chr long, x long, y long, radius long, pixels long, observed double, i long, j long"
+    return pixels.groupBy("chr").applyInPandas(run, schema)
 
-    return pixels.groupBy("chr").applyInPandas(run, "chr long, x long, y long, radius long, pixels long, observed double")
 
+def loop_filter(enriched: DataFrame, sides: float = 1.5, corner: float = 1.75, donut_corner: float = 2.0, fdr_sum: float | None = None) -> DataFrame:
+    """Observed over expected: horizontal and vertical at `sides`, donut and lower left at `corner`, one of them at `donut_corner`.
 
-def loop_filter(enriched: DataFrame, sides: float = 1.5, corner: float = 1.75, donut_corner: float = 2.0) -> DataFrame:
-    """Observed over expected: horizontal and vertical at `sides`, donut and lower left at `corner`, one of them at `donut_corner`."""
+    With fdr_sum, a loop must also have more than one pixel, or rates that add up to at most that.
+    """
     o = F.col("observed")
     strong = (o > donut_corner * F.col("donut")) | (o > donut_corner * F.col("bl"))
-    return enriched.where((o > sides * F.col("h")) & (o > sides * F.col("v")) & (o > corner * F.col("donut")) & (o > corner * F.col("bl")) & strong)
+    kept = enriched.where((o > sides * F.col("h")) & (o > sides * F.col("v")) & (o > corner * F.col("donut")) & (o > corner * F.col("bl")) & strong)
+    if fdr_sum is None:
+        return kept
+    return kept.where((F.col("pixels") > 1) | (sum((F.col(f"fdr_{m}") for m in K.MASKS), F.lit(0.0)) <= fdr_sum))
+
+
+def loop_calls(enriched: DataFrame, res: int, radius: int, **limits: float) -> DataFrame:
+    """Clusters of enriched pixels whose strongest pixel passes `loop_filter`, with its expectations and rates."""
+    found = loop_coalesce(enriched, res, radius)
+    return loop_filter(found.join(enriched.drop("observed"), ["chr", "i", "j"]), **limits)
+
+
+def not_enriched(kernel: DataFrame, most: float = 1.3) -> DataFrame:
+    """(chr, i, j) of cells whose observed count is under `most` times each of the four expectations."""
+    low = [F.col("observed") < most * F.col(m) for m in K.MASKS]
+    return kernel.where(low[0] & low[1] & low[2] & low[3]).select("chr", "i", "j")
+
+
+def loop_difference(own: DataFrame, other: DataFrame, other_kernel: DataFrame, other_cells: DataFrame, radius: float, most: float = 1.3) -> DataFrame:
+    """Loops (chr, i, j) without a loop of the other map within `radius` bins, that are not enriched in that map.
+
+    A loop where the other map has no cell at all is not enriched there. Both lists are joined by cells of `radius`
+    bins, nine for a loop, so no pair of distant loops is made.
+    """
+    width = max(1, int(radius))
+    near = "explode(sequence({0} div {1} - 1, {0} div {1} + 1))"
+    a = own.select("chr", "i", "j").distinct().withColumns({"ci": F.expr(near.format("i", width))}).withColumn("cj", F.expr(near.format("j", width)))
+    b = other.select("chr", F.col("i").alias("oi"), F.col("j").alias("oj"), F.expr(f"i div {width}").alias("ci"), F.expr(f"j div {width}").alias("cj")).distinct()
+    close = F.pow(F.col("i") - F.col("oi"), F.lit(2.0)) + F.pow(F.col("j") - F.col("oj"), F.lit(2.0)) <= float(radius) ** 2
+    kept = a.join(b, ["chr", "ci", "cj"]).where(close).select("chr", "i", "j").distinct()
+    alone = own.join(kept, ["chr", "i", "j"], "left_anti")
+    seen = other_cells.where("chr1 = chr2").select(F.col("chr1").alias("chr"), F.col("bin_x").alias("i"), F.col("bin_y").alias("j"))
+    enriched = seen.join(not_enriched(other_kernel, most), ["chr", "i", "j"], "left_anti")
+    return alone.join(enriched, ["chr", "i", "j"], "left_anti")
 
 
 def loop_low_coverage(pixels: DataFrame, bad_bins: DataFrame, reach: int = 5) -> DataFrame:
@@ -173,11 +224,54 @@ def loop_pvalues(kernel: DataFrame) -> DataFrame:
 
     @F.pandas_udf("double")
     def tail(o: pd.Series, e: pd.Series) -> pd.Series:
-        return pd.Series([K.upper_tail(int(a), float(b)) if np.isfinite(a) and np.isfinite(b) else np.nan for a, b in zip(o, e, strict=True)])
+        known = np.isfinite(o.to_numpy(float))
+        found = K.upper_tails(np.where(known, o.to_numpy(float), 0).astype(np.int64), e.to_numpy(float))
+        return pd.Series(np.where(known, found, np.nan))
 
     return kernel.select("chr", "i", "j", "observed", *(tail("observed", m).alias(f"p_{m}") for m in K.MASKS))
 
 
+def _expectation_row(e: str) -> Column:
+    """Row of an expectation in the second generation's tables: ln e over ln LOG_BASE, from ROWS_BELOW below one on."""
+    row = F.floor(F.ln(F.col(e)) / float(np.log(K.LOG_BASE))) + ROWS_BELOW
+    return F.when(F.col(e) > 0, F.least(F.lit(ROWS - 1), F.greatest(F.lit(0), row))).otherwise(0).cast("long")
+
+
+def loop_significance(kernel: DataFrame) -> DataFrame:
+    """loop_pvalues with the rows row_bl, row_donut, row_h and row_v that the expectations fall into."""
+    p = loop_pvalues(kernel).drop("observed")
+    return kernel.select("chr", "i", "j", "observed", *(_expectation_row(m).alias(f"row_{m}") for m in K.MASKS)).join(p, ["chr", "i", "j"])
+
+
+def loop_thresholds(tested: DataFrame, rate: float = 0.1) -> DataFrame:
+    """(mask, row, tests, threshold): largest p-value called at a false discovery rate, by Benjamini and Hochberg, in each row.
+
+    A p-value's place k is the least number of calls that allows it, ceil(p * tests / rate); the threshold allows the most
+    calls N such that N p-values have a place up to N. Places are counted, and added up by a thousand parts of
+    a row before they are added up inside one, so no task orders a whole row.
+    """
+    stacked = tested.select(F.explode(F.array(*(F.struct(F.lit(m).alias("mask"), F.col(f"row_{m}").alias("row"), F.col(f"p_{m}").alias("p")) for m in K.MASKS))).alias("t")).select("t.*").where("p is not null and not isnan(p)")
+    tests = stacked.groupBy("mask", "row").agg(F.count("*").alias("tests"))
+    place = F.greatest(F.lit(1), F.ceil(F.col("p") * F.col("tests") / rate)).cast("long")
+    low = stacked.where(F.col("p") <= rate).join(F.broadcast(tests), ["mask", "row"])
+    counts = low.groupBy("mask", "row", "tests", place.alias("k")).agg(F.count("*").alias("n")).withColumn("part", F.floor(F.col("k") * 1000 / F.col("tests")))
+    parts = counts.groupBy("mask", "row", "part").agg(F.sum("n").alias("n"))
+    before = parts.select("mask", "row", "part", (F.sum("n").over(Window.partitionBy("mask", "row").orderBy("part")) - F.col("n")).alias("before"))
+    inside = Window.partitionBy("mask", "row", "part").orderBy("k")
+    upto = counts.withColumn("upto", F.sum("n").over(inside)).join(before, ["mask", "row", "part"]).withColumn("upto", F.col("upto") + F.col("before"))
+    most = upto.where("upto >= k").groupBy("mask", "row").agg(F.max("upto").alias("calls"))
+    return tests.join(most, ["mask", "row"], "left").select("mask", "row", "tests", (F.coalesce("calls", F.lit(0)) * rate / F.col("tests")).alias("threshold"))
+
+
+def loop_significant(tested: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """Cells whose four p-values are within their rows' thresholds; at most four times ROWS thresholds."""
+    out = tested
+    for m in K.MASKS:
+        own = thresholds.where(F.col("mask") == m).select(F.col("row").alias(f"row_{m}"), F.col("threshold").alias("t__"))
+        out = out.join(F.broadcast(own), f"row_{m}").where(F.col(f"p_{m}") <= F.col("t__")).drop("t__")
+    return out.select("chr", "i", "j", "observed", *(f"p_{m}" for m in K.MASKS))
+
+
 def domains(cells: DataFrame, chroms: DataFrame, width: int = 2000, gap: int = 7) -> DataFrame:
     """(chr, start, end, score): corners of square domains, from windows of `width` bins that overlap by half.
 

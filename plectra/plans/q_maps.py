@@ -31,6 +31,11 @@ def _q(name, f, sql, sizes=fx.SIZES):
     BOOK.add(name, lambda s, d: f(s, contacts(s, d, sizes=sizes)), sql)
 
 
+def _qh(name, f, sql, sizes=fx.SIZES):
+    """A query that reads the cells several times."""
+    BOOK.add(name, lambda s, d: f(s, held(s, d, sizes=sizes)), sql)
+
+
 _q("agg_bin_contacts", lambda s, c: c, f"SELECT {KEYS}, counts FROM contacts")
 _q("agg_bin_cascade", lambda s, c: B.rebin(c, 20000), "SELECT chr1, chr2, bin_size, bin_x, bin_y, counts FROM contacts WHERE bin_size = 20000", (2500,))
 _q("rebin_dynamic", lambda s, c: B.rebin(c, 10000), "SELECT chr1, chr2, bin_size, bin_x, bin_y, counts FROM contacts WHERE bin_size = 10000", (5000,))
@@ -77,21 +82,21 @@ BOOK.add(
 _q("join_expected", lambda s, c: rounded(E.with_expected(c, E.raw_expected(c, fx.chroms(s)), B.average_counts(c, fx.chroms(s))).select(*KEYS.split(", "), "expected"), "expected"), f"SELECT {KEYS}, round(e, 6) AS expected FROM one")
 _q("agg_row_sums", lambda s, c: N.row_sums(c), "SELECT bin_size, chr, bin, value FROM rowsums")
 _q("agg_nonzero_rows", lambda s, c: N.nonzero_rows(c), "SELECT bin_size, chr, i AS bin, count(*) AS cells FROM both_tri GROUP BY ALL")
-_q("agg_sum_factor", lambda s, c: rounded(N.sum_factors(c, N.row_sums(c)), "factor", digits=9), "SELECT bin_size, chr, round(factor, 9) AS factor FROM vcf")
-_q("norm_vc", lambda s, c: rounded(N.vanilla_coverage(c), "value"), "SELECT bin_size, chr, bin, round(value, 6) AS value FROM vc")
+_qh("agg_sum_factor", lambda s, c: rounded(N.sum_factors(c, N.row_sums(c)), "factor", digits=9), "SELECT bin_size, chr, round(factor, 9) AS factor FROM vcf")
+_qh("norm_vc", lambda s, c: rounded(N.vanilla_coverage(c), "value"), "SELECT bin_size, chr, bin, round(value, 6) AS value FROM vc")
 _SQRT = """, sq AS (SELECT bin_size, chr, bin, sqrt(value) AS value FROM rowsums),
 sn AS (SELECT c.*, counts / (v1.value * v2.value) AS nv FROM contacts c JOIN sq v1 ON v1.bin_size = c.bin_size AND v1.chr = c.chr1 AND v1.bin = bin_x JOIN sq v2 ON v2.bin_size = c.bin_size AND v2.chr = c.chr2 AND v2.bin = bin_y),
 sf AS (SELECT bin_size, chr1 AS chr, sqrt(sum(CASE WHEN bin_x <> bin_y THEN 2 ELSE 1 END * nv) / sum(CASE WHEN bin_x <> bin_y THEN 2 ELSE 1 END * counts)) AS factor FROM sn WHERE chr1 = chr2 GROUP BY ALL),
 vs AS (SELECT q.bin_size, q.chr, bin, value * factor AS value FROM sq q JOIN sf f ON f.bin_size = q.bin_size AND f.chr = q.chr)"""
-_q("norm_vc_sqrt", lambda s, c: rounded(N.vanilla_coverage(c, root=True), "value"), _SQRT + " SELECT bin_size, chr, bin, round(value, 6) AS value FROM vs")
-_q("join_norm_vectors", lambda s, c: rounded(N.compare_vectors(N.vanilla_coverage(c), N.vanilla_coverage(c, root=True)), "a", "b", "ratio"), _SQRT + " SELECT bin_size, chr, bin, round(vc.value, 6) AS a, round(vs.value, 6) AS b, round(vc.value / vs.value, 6) AS ratio FROM vc FULL JOIN vs USING (bin_size, chr, bin)")
+_qh("norm_vc_sqrt", lambda s, c: rounded(N.vanilla_coverage(c, root=True), "value"), _SQRT + " SELECT bin_size, chr, bin, round(value, 6) AS value FROM vs")
+_qh("join_norm_vectors", lambda s, c: rounded(N.compare_vectors(N.vanilla_coverage(c), N.vanilla_coverage(c, root=True)), "a", "b", "ratio"), _SQRT + " SELECT bin_size, chr, bin, round(vc.value, 6) AS a, round(vs.value, 6) AS b, round(vc.value / vs.value, 6) AS ratio FROM vc FULL JOIN vs USING (bin_size, chr, bin)")
 _NV = """, nv AS (SELECT c.*, counts / (v1.value * v2.value) AS nvalue FROM contacts c JOIN vc v1 ON v1.bin_size = c.bin_size AND v1.chr = c.chr1 AND v1.bin = bin_x JOIN vc v2 ON v2.bin_size = c.bin_size AND v2.chr = c.chr2 AND v2.bin = bin_y)"""
-_q("join_norm", lambda s, c: rounded(N.normalize(c, N.vanilla_coverage(c)), "counts"), _NV + f" SELECT {KEYS}, round(nvalue, 6) AS counts FROM nv")
-_q("q_norm_vector", lambda s, c: rounded(N.vanilla_coverage(c).where("bin_size = 2500 and chr = 2 and bin between 10 and 30"), "value"), "SELECT bin_size, chr, bin, round(value, 6) AS value FROM vc WHERE bin_size = 2500 AND chr = 2 AND bin BETWEEN 10 AND 30")
-_q("agg_matrix_sum", lambda s, c: rounded(N.matrix_sums(c, N.vanilla_coverage(c)), "norm_sum"), _NV + " SELECT bin_size, chr1 AS chr, round(sum(nvalue), 6) AS norm_sum, sum(counts) AS raw_sum, count(*) AS valid_cells FROM nv WHERE chr1 = chr2 GROUP BY ALL")
-_q("norm_expected", lambda s, c: rounded(E.actual_distance(N.normalize(c, N.vanilla_coverage(c))), "actual"), _NV + " SELECT bin_size, bin_y - bin_x AS dist, round(sum(nvalue), 6) AS actual FROM nv WHERE chr1 = chr2 GROUP BY ALL")
-_q("mat_spmv", lambda s, c: rounded(N.spmv(c, N.row_sums(c)), "value"), "SELECT b.bin_size, b.chr, i AS bin, round(sum(counts * value), 6) AS value FROM both_tri b JOIN rowsums r ON r.bin_size = b.bin_size AND r.chr = b.chr AND r.bin = j GROUP BY ALL")
-_q("q_norm2", lambda s, c: rounded(V.inverse_norm(c, N.vanilla_coverage(c)), "value", digits=9), f", w AS (SELECT c.*, 1 / (v1.value * v2.value * pow(greatest(1, abs(bin_x - bin_y)), 4)) AS w FROM contacts c JOIN vc v1 ON v1.bin_size = c.bin_size AND v1.chr = c.chr1 AND v1.bin = bin_x JOIN vc v2 ON v2.bin_size = c.bin_size AND v2.chr = c.chr2 AND v2.bin = bin_y WHERE c.chr1 = c.chr2) SELECT {KEYS}, round(w, 9) AS value FROM w")
+_qh("join_norm", lambda s, c: rounded(N.normalize(c, N.vanilla_coverage(c)), "counts"), _NV + f" SELECT {KEYS}, round(nvalue, 6) AS counts FROM nv")
+_qh("q_norm_vector", lambda s, c: rounded(N.vanilla_coverage(c).where("bin_size = 2500 and chr = 2 and bin between 10 and 30"), "value"), "SELECT bin_size, chr, bin, round(value, 6) AS value FROM vc WHERE bin_size = 2500 AND chr = 2 AND bin BETWEEN 10 AND 30")
+_qh("agg_matrix_sum", lambda s, c: rounded(N.matrix_sums(c, N.vanilla_coverage(c)), "norm_sum"), _NV + " SELECT bin_size, chr1 AS chr, round(sum(nvalue), 6) AS norm_sum, sum(counts) AS raw_sum, count(*) AS valid_cells FROM nv WHERE chr1 = chr2 GROUP BY ALL")
+_qh("norm_expected", lambda s, c: rounded(E.actual_distance(N.normalize(c, N.vanilla_coverage(c))), "actual"), _NV + " SELECT bin_size, bin_y - bin_x AS dist, round(sum(nvalue), 6) AS actual FROM nv WHERE chr1 = chr2 GROUP BY ALL")
+_qh("mat_spmv", lambda s, c: rounded(N.spmv(c, N.row_sums(c)), "value"), "SELECT b.bin_size, b.chr, i AS bin, round(sum(counts * value), 6) AS value FROM both_tri b JOIN rowsums r ON r.bin_size = b.bin_size AND r.chr = b.chr AND r.bin = j GROUP BY ALL")
+_qh("q_norm2", lambda s, c: rounded(V.inverse_norm(c, N.vanilla_coverage(c)), "value", digits=9), f", w AS (SELECT c.*, 1 / (v1.value * v2.value * pow(greatest(1, abs(bin_x - bin_y)), 4)) AS w FROM contacts c JOIN vc v1 ON v1.bin_size = c.bin_size AND v1.chr = c.chr1 AND v1.bin = bin_x JOIN vc v2 ON v2.bin_size = c.bin_size AND v2.chr = c.chr2 AND v2.bin = bin_y WHERE c.chr1 = c.chr2) SELECT {KEYS}, round(w, 9) AS value FROM w")
 
 # Views of one map and of two.
 _LN = "ln({} + 1)"
@@ -138,7 +143,7 @@ def entry_region_oe(s, d):
     """Pairs of quality 10 and more, binned at 2500, coverage-normalised, over the mean at each distance, in one region."""
     from plectra.operators.pairs import min_mapq
 
-    cells = B.bin_contacts(min_mapq(fx.pairs(s, d), 10), [2500]).where("chr1 = 1 and chr2 = 1")
+    cells = stored(B.bin_contacts(min_mapq(fx.pairs(s, d), 10), [2500]).where("chr1 = 1 and chr2 = 1"))
     normed = N.normalize(cells, N.vanilla_coverage(cells))
     means = normed.groupBy((F.col("bin_y") - F.col("bin_x")).alias("dist")).agg(F.avg("counts").alias("mean"))
     oe = normed.withColumn("dist", F.col("bin_y") - F.col("bin_x")).join(F.broadcast(means), "dist")

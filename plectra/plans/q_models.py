@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plectra.operators import apa as A
+from plectra.operators import binning as B
 from plectra.operators import expected as E
 from plectra.operators import models as M
 from plectra.operators import norm as N
@@ -12,6 +13,7 @@ from plectra.operators import views as V
 from plectra.plans import fixtures as fx
 from plectra.plans.book import Book, rounded
 from plectra.plans.q_maps import contacts
+from plectra.plans.storage import stored
 
 BOOK = Book()
 
@@ -37,7 +39,8 @@ ce AS (SELECT mt.chr, mt.i, mt.j, v - m AS v FROM mt JOIN mm ON mm.chr = mt.chr
 SELECT CAST(10000 AS BIGINT) AS bin_size, a.chr, a.i, b.i AS j, round(CASE WHEN a.i = b.i THEN 1.0 ELSE corr(a.v, b.v) END, 6) AS value FROM ce a JOIN ce b ON a.chr = b.chr AND a.j = b.j AND a.i <= b.i GROUP BY a.chr, a.i, b.i""")
 _q("mat_eigen", lambda s, c: rounded(M.eigenvector(_oe(s, c), fx.chroms(s)), "value", digits=4))
 BOOK.add("ab_diff", lambda s, d: rounded(M.compartment_difference(M.eigenvector(_oe(s, contacts(s, d, sizes=(10000,))), fx.chroms(s)), M.eigenvector(_oe(s, contacts(s, d, True, sizes=(10000,))), fx.chroms(s))), "same", "different", digits=4))
-_q("q_pearson", lambda s, c: rounded(M.pearson(_oe(s, c), fx.chroms(s)).where("chr = 1 and i <= 8 and j <= 8"), "value"))
+_PEARSON_BOTH = BOOK.oracles["mat_pearson"].removeprefix(f"{fx.SQL}\n").replace("\nSELECT CAST(10000", ", pe AS (SELECT CAST(10000") + ") SELECT chr, i, j, value FROM pe UNION ALL SELECT chr, j, i, value FROM pe WHERE i < j"
+_q("q_pearson", lambda s, c: rounded(B.mirrored(M.pearson(_oe(s, c), fx.chroms(s)).selectExpr("chr AS chr1", "chr AS chr2", "bin_size", "i AS bin_x", "j AS bin_y", "value AS counts")).select(F.col("chr1").alias("chr"), "i", "j", F.col("counts").alias("value")), "value"), _PEARSON_BOTH)
 _q("dom_directionality", lambda s, c: rounded(M.directionality(c, 7), "value"), """, u AS (SELECT bin_size, chr1 AS chr, bin_y AS i, bin_y - bin_x AS d, counts AS a FROM contacts WHERE chr1 = chr2 AND bin_size = 2500 AND bin_y - bin_x >= 7),
 w AS (SELECT bin_size, chr1 AS chr, bin_x AS i, bin_y - bin_x AS d, counts AS b FROM contacts WHERE chr1 = chr2 AND bin_size = 2500 AND bin_y - bin_x >= 7)
 SELECT chr, bin_size, i, d, round((coalesce(a, 0) - coalesce(b, 0)) / (coalesce(a, 0) + coalesce(b, 0)), 6) AS value FROM u FULL JOIN w USING (bin_size, chr, i, d)""", (2500,))
@@ -62,9 +65,20 @@ def _enriched(s, c):
 
 
 _q("loop_enriched", lambda s, c: rounded(_enriched(s, c).select("chr", "i", "j", "observed", "donut"), "donut"), None, (2500,))
-_q("loop_filter", lambda s, c: M.loop_filter(_kernel(s, c), 1.1, 1.2, 1.3).select("chr", "i", "j", "observed"), None, (2500,))
+_q("loop_filter", lambda s, c: rounded(M.loop_calls(stored(_enriched(s, c)), 2500, 5000, sides=1.1, corner=1.2, donut_corner=1.3, fdr_sum=0.5).select("chr", "i", "j", "x", "y", "pixels", "observed", "donut"), "donut"), None, (2500,))
 _q("loop_coalesce", lambda s, c: M.loop_coalesce(M.loop_filter(_kernel(s, c), 1.1, 1.2, 1.3), 2500, 5000), None, (2500,))
 _q("loop_lowmapq", lambda s, c: M.loop_low_coverage(M.loop_filter(_kernel(s, c), 1.1, 1.2, 1.3), N.row_sums(c).where("value < 300").select("chr", "bin"), 2).select("chr", "i", "j", "observed"), None, (2500,))
+_q("loop_thresholds", lambda s, c: rounded(M.loop_thresholds(stored(M.loop_significance(_kernel(s, c))), 0.5), "threshold", digits=9), None, (2500,))
+
+
+def _significant(s, c):
+    tested = stored(M.loop_significance(_kernel(s, c)))
+    return rounded(M.loop_significant(tested, M.loop_thresholds(tested, 0.5)), "p_bl", "p_donut", "p_h", "p_v")
+
+
+_q("loop_significant", _significant, None, (2500,))
+BOOK.add("loop_configs", lambda s, d: contacts(s, d).groupBy("bin_size").agg(F.count("*").alias("cells")).join(F.broadcast(M.loop_settings(s)), "bin_size"), """SELECT bin_size, count(*) AS cells, fdr, peak, "window", radius
+FROM contacts JOIN (VALUES (5000, 10, 4, 7, 20000), (10000, 10, 2, 5, 20000), (25000, 10, 1, 3, 50000)) t(z, fdr, peak, "window", radius) ON z = bin_size GROUP BY bin_size, fdr, peak, "window", radius""")
 _q("loop_pvalue", lambda s, c: rounded(M.loop_pvalues(_kernel(s, c)), "p_bl", "p_donut", "p_h", "p_v"), None, (2500,))
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plectra.functions.ieee import ieee_div
 from plectra.operators import assembly as S
 from plectra.operators import binning as B
 from plectra.operators import expected as E
@@ -13,8 +12,9 @@ from plectra.operators import models as M
 from plectra.operators import norm as N
 from plectra.plans import fixtures as fx
 from plectra.plans.book import Book, rounded
-from plectra.plans.q_maps import contacts
+from plectra.plans.q_maps import contacts, held
 from plectra.plans.q_models import _kernel
+from plectra.plans.storage import stored
 from plectra.sources.features_text import tab_lines
 
 BOOK = Book()
@@ -78,13 +78,11 @@ BOOK.add("sink_wig", lambda s, d: tab_lines(N.row_sums(contacts(s, d, sizes=(100
 
 
 def _differential(s, d):
-    def loops(control):
-        c = contacts(s, d, control, sizes=(2500,))
-        kept = M.loop_filter(_kernel(s, c), 1.1, 1.2, 1.3)
-        at = lambda k: F.col(k) * 2500
-        return kept.select(F.col("chr").alias("chr1"), at("i").alias("start1"), (at("i") + 2500).alias("end1"), F.col("chr").alias("chr2"), at("j").alias("start2"), (at("j") + 2500).alias("end2"))
-
-    return X.subtract(loops(False), loops(True), 5000)
+    """Loops of the map that the control has none near, and that are not enriched there."""
+    cells = {control: held(s, d, control, (2500,)) for control in (False, True)}
+    kernels = {control: stored(_kernel(s, c)) for control, c in cells.items()}
+    loops = {control: M.loop_filter(k, 1.1, 1.2, 1.3) for control, k in kernels.items()}
+    return M.loop_difference(loops[False], loops[True], kernels[True], cells[True], 1).select("chr", "i", "j", "observed")
 
 
 BOOK.add("loop_diff", _differential)
