@@ -73,30 +73,26 @@ def box_sum(table: np.ndarray, r0, r1, c0, c1) -> np.ndarray:
 
 
 def triangle_scores(d: np.ndarray, variance_limit: float = 0.2, sign_limit: float = 0.4) -> np.ndarray:
-    """Corner score of each block [i, j]: sign of the lower triangle's mean less the upper's, where signs agree.
+    """Corner score of each block [i, j]: the lower triangle's mean less the upper's, where signs agree.
 
-    The upper triangle of a block lies along row i..(i+j)/2, the lower one along column (i+j)/2..j; sums and
-    counts come from per-row cumulative sums, so a block costs a few operations for each of its rows.
+    The upper triangle of a block holds columns r to 2r - i of the rows r from i to the middle, so its sums are running
+    sums over r for each i; the lower one holds columns r to j of the rows from the middle to j, so its sums are
+    running sums over rows for each j. A block costs one look-up in each.
     """
     n = len(d)
-    s = np.pad(d, ((0, 0), (1, 0))).cumsum(1)
-    g = np.pad(np.sign(d), ((0, 0), (1, 0))).cumsum(1)
-    q = np.pad(d**2, ((0, 0), (1, 0))).cumsum(1)
-    out = np.zeros((n, n))
-    for i in range(n):
-        for j in range(i + 4, n):
-            mid = (i + j) // 2
-            up, low = np.arange(i, mid + 1), np.arange(mid, j + 1)
-            ua, ub = up, np.minimum(2 * up - i + 1, j + 1)
-            ub = np.maximum(ua + 1, np.minimum(ub, j + 1))
-            la, lb = np.minimum(low, j), np.full(len(low), j + 1)
-            nu, nl = (ub - ua).sum(), (lb - la).sum()
-            su, sl = (s[up, ub] - s[up, ua]).sum(), (s[low, lb] - s[low, la]).sum()
-            gu, gl = (g[up, ub] - g[up, ua]).sum() / nu, (g[low, lb] - g[low, la]).sum() / nl
-            vu = (q[up, ub] - q[up, ua]).sum() / nu - (su / nu) ** 2
-            vl = (q[low, lb] - q[low, la]).sum() / nl - (sl / nl) ** 2
-            if vu + vl < variance_limit and -gu > sign_limit and gl > sign_limit:
-                out[i, j] = sl / nl - su / nu
+    out, place = np.zeros((n, n)), np.arange(n)
+    along = [np.pad(x, ((0, 0), (1, 0))).cumsum(1) for x in (d, np.sign(d), d**2)]
+    below = [np.triu(s[:, 1:] - s[place, place][:, None])[::-1].cumsum(0)[::-1] for s in along]
+    for i in range(n - 4):
+        j = np.arange(i + 4, n)
+        mid = (i + j) // 2
+        r = np.arange(i, mid[-1] + 1)
+        k, m = mid - i + 1, j - mid + 1
+        nu, nl = k * (k + 1) / 2, m * (m + 1) / 2
+        su, gu, qu = ((s[r, 2 * r - i + 1] - s[r, r]).cumsum()[mid - i] / nu for s in along)
+        sl, gl, ql = (s[mid, j] / nl for s in below)
+        good = (qu - su**2 + ql - sl**2 < variance_limit) & (-gu > sign_limit) & (gl > sign_limit)
+        out[i, j] = np.where(good, sl - su, 0.0)
     return out
 
 

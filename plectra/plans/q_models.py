@@ -44,7 +44,16 @@ _q("q_pearson", lambda s, c: rounded(B.mirrored(M.pearson(_oe(s, c), fx.chroms(s
 _q("dom_directionality", lambda s, c: rounded(M.directionality(c, 7), "value"), """, u AS (SELECT bin_size, chr1 AS chr, bin_y AS i, bin_y - bin_x AS d, counts AS a FROM contacts WHERE chr1 = chr2 AND bin_size = 2500 AND bin_y - bin_x >= 7),
 w AS (SELECT bin_size, chr1 AS chr, bin_x AS i, bin_y - bin_x AS d, counts AS b FROM contacts WHERE chr1 = chr2 AND bin_size = 2500 AND bin_y - bin_x >= 7)
 SELECT chr, bin_size, i, d, round((coalesce(a, 0) - coalesce(b, 0)) / (coalesce(a, 0) + coalesce(b, 0)), 6) AS value FROM u FULL JOIN w USING (bin_size, chr, i, d)""", (2500,))
-_q("dom_sliding", lambda s, c: rounded(M.domains(c, fx.chroms(s), width=40, gap=3), "score", digits=4), None, (5000,))
+#: Most variance and least agreement of signs of a block: loose, as the tables' contacts have no real domains.
+_LOOSE = (2.0, 0.0)
+
+
+def _boxes(s, d):
+    return fx.feat_a(s, d).where("chr1 = chr2").select(F.col("chr1").alias("chr"), "start1", "end1", "start2", "end2")
+
+
+_q("dom_sliding", lambda s, c: rounded(M.domains(c, fx.chroms(s), width=40, gap=3, limits=_LOOSE), "score", digits=4), None, (5000,))
+BOOK.add("dom_score_list", lambda s, d: rounded(M.domain_scores(contacts(s, d, sizes=(5000,)), fx.chroms(s), _boxes(s, d), 40, 3, _LOOSE), "score", digits=4))
 
 
 def _kernel(s, c):
