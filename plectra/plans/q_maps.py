@@ -168,4 +168,7 @@ _q("win_rank_percentile", lambda s, c: rounded(T.rank_percentile(c, ["chr1", "ch
 _q("color_percentile", lambda s, c: c.where("bin_x <> bin_y").groupBy("chr1", "chr2", "bin_size").agg(F.round(F.percentile("counts", 0.95), 6).alias("p95")), "SELECT chr1, chr2, bin_size, round(quantile_cont(counts, 0.95), 6) AS p95 FROM contacts WHERE bin_x <> bin_y GROUP BY ALL")
 _OFF = """, gb AS (SELECT bin_size, idx, coalesce(sum(len // bin_size + 1) OVER (PARTITION BY bin_size ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM chroms, (SELECT CAST(unnest([2500,5000,10000,20000]) AS BIGINT) AS bin_size))"""
 _q("genome_wide_assembly", lambda s, c: N.offset_contacts(c, fx.chroms(s)), _OFF + " SELECT CAST(0 AS BIGINT) AS chr1, CAST(0 AS BIGINT) AS chr2, c.bin_size, bin_x + a.o AS bin_x, bin_y + b.o AS bin_y, counts FROM contacts c JOIN gb a ON a.bin_size = c.bin_size AND a.idx = chr1 JOIN gb b ON b.bin_size = c.bin_size AND b.idx = chr2")
-_q("q_genome_wide", lambda s, c: rounded(N.split_vector(N.vanilla_coverage(N.offset_contacts(c.where("bin_size = 10000"), fx.chroms(s))), fx.chroms(s)), "value"), None)
+_qh("q_genome_wide", lambda s, c: rounded(N.split_vector(N.vanilla_coverage(N.offset_contacts(c.where("bin_size = 10000"), fx.chroms(s))), fx.chroms(s)), "value"), _OFF + """, gc AS (SELECT bin_x + a.o AS x, bin_y + b.o AS y, counts FROM contacts c JOIN gb a ON a.bin_size = c.bin_size AND a.idx = chr1 JOIN gb b ON b.bin_size = c.bin_size AND b.idx = chr2 WHERE c.bin_size = 10000),
+gr AS (SELECT i, sum(counts) AS v FROM (SELECT x AS i, counts FROM gc UNION ALL SELECT y, counts FROM gc WHERE x <> y) GROUP BY i),
+gf AS (SELECT sqrt(sum(CASE WHEN x <> y THEN 2 ELSE 1 END * counts / (a.v * b.v)) / sum(CASE WHEN x <> y THEN 2 ELSE 1 END * counts)) AS f FROM gc JOIN gr a ON a.i = x JOIN gr b ON b.i = y)
+SELECT gb.bin_size, gb.idx AS chr, i - o AS bin, round(v * f, 6) AS value FROM gr CROSS JOIN gf JOIN gb ON gb.bin_size = 10000 JOIN chroms ON chroms.idx = gb.idx WHERE i >= o AND i < o + len // 10000 + 1""")

@@ -44,7 +44,10 @@ _o("asm_cut", lambda o: S.cut(o, 5, 300, 500), """SELECT CASE WHEN k = 1 THEN (S
  CASE WHEN abs(signed_id) <> 5 THEN length WHEN k = 0 THEN 300 WHEN k = 1 THEN 200 ELSE length - 500 END::BIGINT AS length FROM od, range(0, 3) r(k) WHERE k = 0 OR abs(signed_id) = 5""")
 _o("asm_toggle", lambda o: S.toggle(o, 4, 6), """SELECT 1 + sum(CASE WHEN was IS NOT NULL AND (grp <> was OR ord BETWEEN 4 AND 7) THEN 1 ELSE 0 END) OVER (ORDER BY ord)::BIGINT AS grp, ord, signed_id, length
 FROM (SELECT *, lag(grp) OVER (ORDER BY ord) AS was FROM od)""")
-_o("asm_phase_merge", lambda o: S.phase_merge(o, 1, 2), None)
+_PARTNER = "CASE WHEN abs(signed_id) % 2 = 0 THEN abs(signed_id) - 1 ELSE abs(signed_id) + 1 END"
+_o("asm_phase_merge", lambda o: S.phase_merge(o, 1, 2), f""", al AS (SELECT min(grp) AS alt FROM od WHERE abs(signed_id) IN (SELECT {_PARTNER} FROM od WHERE grp = 1)),
+ng AS (SELECT CASE WHEN grp = 2 THEN 1 WHEN alt IS NOT NULL AND abs(signed_id) IN (SELECT {_PARTNER} FROM od WHERE grp = 2) THEN alt ELSE grp END::BIGINT AS grp, ord, signed_id, length FROM od, al)
+SELECT grp, row_number() OVER (ORDER BY grp, ord) AS ord, signed_id, length FROM ng""")
 
 
 def _undone(o):
