@@ -86,7 +86,7 @@ def tiles(cells: DataFrame, size: int, margin: int = K.MARGIN) -> DataFrame:
     span = "sequence(({0} - {m}) div {s}, ({0} + {m}) div {s})"
     ti = F.explode(F.expr(f"filter({span.format('i', m=margin, s=size)}, t -> t >= 0)"))
     tj = F.explode(F.expr(f"filter({span.format('j', m=margin, s=size)}, t -> t >= 0)"))
-    return both.withColumn("ti", ti).withColumn("tj", tj).where("ti <= tj").distinct()
+    return both.withColumn("ti", ti).withColumn("tj", tj).where("ti <= tj")
 
 
 def loop_kernel(cells: DataFrame, expected: DataFrame, vectors: DataFrame | None = None, window: int = 5, peak: int = 2, tile: int = 500) -> DataFrame:
