@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plectra.llm import decontam, line_dedup, minhash, packing, quality, secret_scan, sharding, token_files, toxicity, url_filter
+from plectra.llm import compression, decontam, line_dedup, merkle, minhash, packing, quality, search, secret_scan, sharding, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_minhash_odd_sketch": minhash.op1,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_fuzzy_lines": line_dedup.op8,
     "op9_temporal_url_filter": url_filter.op9,
     "op10_suffix_quality": quality.op10,
+    "op11_compression_quality": compression.op11,
+    "op12_merkle_log": merkle.op12,
+    "op13_hybrid_search": search.op13,
 }
 
 #: DuckDB SQL over the same tables, where SQL can express the result.
 ORACLES: dict[str, str] = {
     "op4_extendible_sharding": sharding.ORACLE,
     "op9_temporal_url_filter": url_filter.ORACLE,
+    "op12_merkle_log": merkle.ORACLE,
+    "op13_hybrid_search": search.ORACLE,
 }
