@@ -100,13 +100,32 @@ def block_number(block_bins: int, block_columns: int):
     return F.when(F.col("chr1") == F.col("chr2"), depth * block_columns + along).otherwise(grid)
 
 
-def region(cells: DataFrame, chr1: int, x1: int, x2: int, chr2: int, y1: int, y2: int) -> DataFrame:
+def _bin_range(cells: DataFrame, column: str, low: int, high: int, sizes: list[int] | None) -> F.Column:
+    """Whether a bin's start lies in a closed range, as bounds on the bare column for each bin size, which readers can use."""
+    if sizes is None:
+        return (F.col(column) * F.col("bin_size")).between(low, high)
+    if len(sizes) == 1:
+        return F.col(column).between(-(-low // sizes[0]), high // sizes[0])
+    inside = F.lit(False)
+    for s in sizes:
+        inside = inside | ((F.col("bin_size") == s) & F.col(column).between(-(-low // s), high // s))
+    # Bounds over all sizes stand beside the exact ones: they are what a scan without the sizes as folders can push down.
+    return inside & F.col(column).between(min(-(-low // s) for s in sizes), max(high // s for s in sizes))
+
+
+def region(cells: DataFrame, chr1: int, x1: int, x2: int, chr2: int, y1: int, y2: int, bin_sizes: int | list[int] | None = None) -> DataFrame:
     """Cells whose bin starts lie in the closed region; inside a chromosome a cell counts mirrored, too.
 
-    A union of two ranges, each of which prunes files and row groups, rather than one OR over both columns.
+    A union of two ranges, each of which prunes files and row groups, rather than one OR over both columns. With the bin
+    sizes given (one, or all that are wanted), the ranges are bounds on bin_x and bin_y themselves; without them they are
+    on bin starts, which no reader can use. Cells of other bin sizes than those given are left out.
     """
+    sizes = [bin_sizes] if isinstance(bin_sizes, int) else bin_sizes
+    if sizes is not None:
+        cells = cells.where(F.col("bin_size").isin(sizes))
+
     def part(a1, a2, b1, b2):
-        inside = (F.col("bin_x") * F.col("bin_size")).between(a1, a2) & (F.col("bin_y") * F.col("bin_size")).between(b1, b2)
+        inside = _bin_range(cells, "bin_x", a1, a2, sizes) & _bin_range(cells, "bin_y", b1, b2, sizes)
         return cells.where((F.col("chr1") == min(chr1, chr2)) & (F.col("chr2") == max(chr1, chr2)) & inside)
 
     if chr1 > chr2:

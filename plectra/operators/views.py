@@ -17,10 +17,13 @@ from plectra.operators.binning import average_counts
 KEYS = ["chr1", "chr2", "bin_size", "bin_x", "bin_y"]
 
 
-def one_map(contacts: DataFrame, chroms: DataFrame) -> DataFrame:
-    """Cells with o, e, e0 and a, the expectation being the raw one by distance."""
-    values = E.raw_expected(contacts, chroms)
-    averages = average_counts(contacts, chroms)
+def one_map(contacts: DataFrame, chroms: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """Cells with o, e, e0 and a, the expectation being the raw one by distance.
+
+    With `of`, the cells are some of the map `of`, whose expectation and averages they get.
+    """
+    values = E.raw_expected(contacts if of is None else of, chroms)
+    averages = average_counts(contacts if of is None else of, chroms)
     zero = values.where("dist = 0").select("bin_size", F.col("value").alias("at_zero"))
     cells = E.with_expected(contacts, values, averages).join(F.broadcast(zero), "bin_size", "left")
     e0 = F.when(F.col("chr1") == F.col("chr2"), F.col("at_zero")).otherwise(F.col("expected"))

@@ -12,7 +12,8 @@ from plectra.operators import tracks as T
 from plectra.operators import views as V
 from plectra.plans import fixtures as fx
 from plectra.plans.book import Book, rounded
-from plectra.plans.storage import stored
+from plectra.plans.storage import scratch_dir, stored
+from plectra.sources import store as ST
 
 BOOK = Book()
 KEYS = "chr1, chr2, bin_size, bin_x, bin_y"
@@ -27,6 +28,13 @@ def held(spark, d, control=False, sizes=fx.SIZES):
     return stored(contacts(spark, d, control, sizes))
 
 
+def shelved(spark, d, control=False, sizes=fx.SIZES):
+    """The path of a store with the map's cells."""
+    path = scratch_dir(spark)
+    ST.write_store(contacts(spark, d, control, sizes), path)
+    return path
+
+
 def _q(name, f, sql, sizes=fx.SIZES):
     BOOK.add(name, lambda s, d: f(s, contacts(s, d, sizes=sizes)), sql)
 
@@ -49,14 +57,15 @@ SELECT CAST(0 AS BIGINT) AS chr1, CAST(0 AS BIGINT) AS chr2, CAST(4 AS BIGINT) A
 _q("flt_min_count", lambda s, c: B.at_least(c, 30), f"SELECT {KEYS}, counts FROM contacts WHERE counts >= 30")
 _q(
     "agg_matrix_meta",
-    lambda s, c: B.matrix_meta(c).select("chr1", "chr2", "bin_size", "sum_counts", "cell_count"),
-    "SELECT chr1, chr2, bin_size, sum(CASE WHEN chr1 = chr2 AND bin_x <> bin_y THEN 2 * counts ELSE counts END) AS sum_counts, count(*) AS cell_count FROM contacts GROUP BY ALL",
+    lambda s, c: B.matrix_meta(c),
+    """SELECT chr1, chr2, bin_size, sum(CASE WHEN chr1 = chr2 AND bin_x <> bin_y THEN 2 * counts ELSE counts END) AS sum_counts, count(*) AS cell_count,
+ quantile_disc(counts, 0.05) AS p05, quantile_disc(counts, 0.95) AS p95 FROM contacts GROUP BY ALL""",
 )
 _q("agg_average_count", lambda s, c: rounded(B.average_counts(c, fx.chroms(s)), "average_count"), "SELECT chr1, chr2, bin_size, round(av, 6) AS average_count FROM avgs")
 _REGION = "bin_x * bin_size BETWEEN {} AND {} AND bin_y * bin_size BETWEEN {} AND {}"
 _A, _B = _REGION.format(20000, 90000, 60000, 150000), _REGION.format(60000, 150000, 20000, 90000)
-_q("flt_region", lambda s, c: B.region(c, 1, 20000, 90000, 1, 60000, 150000), f"SELECT {KEYS}, counts FROM contacts WHERE chr1 = 1 AND chr2 = 1 AND ({_A} OR {_B})")
-_q("q_observed_region", lambda s, c: B.region(c, 2, 0, 80000, 1, 10000, 120000).where("bin_size = 2500"), f"SELECT {KEYS}, counts FROM contacts WHERE chr1 = 1 AND chr2 = 2 AND bin_size = 2500 AND " + _REGION.format(10000, 120000, 0, 80000))
+BOOK.add("flt_region", lambda s, d: ST.region_of_store(s, shelved(s, d), list(fx.SIZES), 1, 20000, 90000, 1, 60000, 150000), f"SELECT {KEYS}, counts FROM contacts WHERE chr1 = 1 AND chr2 = 1 AND ({_A} OR {_B})")
+BOOK.add("q_observed_region", lambda s, d: ST.region_of_store(s, shelved(s, d), 2500, 2, 0, 80000, 1, 10000, 120000), f"SELECT {KEYS}, counts FROM contacts WHERE chr1 = 1 AND chr2 = 2 AND bin_size = 2500 AND " + _REGION.format(10000, 120000, 0, 80000))
 _q("q_cell", lambda s, c: c.where("chr1 = 1 and chr2 = 1 and bin_size = 10000 and bin_x = 2 and bin_y = 5"), f"SELECT {KEYS}, counts FROM contacts WHERE chr1 = 1 AND chr2 = 1 AND bin_size = 10000 AND bin_x = 2 AND bin_y = 5")
 _q("mat_extract", lambda s, c: B.mirrored(c.where("bin_size = 5000 and chr1 = 1 and chr2 = 1")).where("i between 4 and 15 and j between 8 and 25").select("i", "j", "counts"), "SELECT i, j, counts FROM both_tri WHERE chr = 1 AND bin_size = 5000 AND i BETWEEN 4 AND 15 AND j BETWEEN 8 AND 25")
 _q("top_neighbors", lambda s, c: B.top_neighbors(c.where("bin_size = 10000"), 3), """, r AS (SELECT chr, bin_size, i, j, counts, row_number() OVER (PARTITION BY chr, bin_size, i ORDER BY counts DESC, j) AS rank FROM both_tri WHERE bin_size = 10000)
@@ -136,7 +145,15 @@ for _name, (_up, _low) in _VS_SQL.items():
         UNION ALL SELECT chr1, bin_size, bin_y, bin_x, {_low} FROM two WHERE chr1 = chr2 AND bin_x <> bin_y) WHERE {_FINITE}""",
     )
 BOOK.add("join_control", lambda s, d: contacts(s, d).join(contacts(s, d, True).withColumnRenamed("counts", "control"), KEYS.split(", ")), f"SELECT {KEYS}, o AS counts, c AS control FROM two")
-BOOK.add("q_oe_region", lambda s, d: rounded(V.view(B.region(V.one_map(held(s, d), fx.chroms(s)), 1, 0, 100000, 1, 0, 100000), V.one_map_views()["q_oe"]), "value"), f"SELECT {KEYS}, round(o / e, 6) AS value FROM one WHERE chr1 = 1 AND chr2 = 1 AND bin_x * bin_size <= 100000 AND bin_y * bin_size <= 100000 AND e <> 0")
+
+
+def _oe_region(s, d):
+    path = shelved(s, d)
+    cells = ST.region_of_store(s, path, list(fx.SIZES), 1, 0, 100000, 1, 0, 100000)
+    return rounded(V.view(V.one_map(cells, fx.chroms(s), ST.read_store(s, path)), V.one_map_views()["q_oe"]), "value")
+
+
+BOOK.add("q_oe_region", _oe_region, f"SELECT {KEYS}, round(o / e, 6) AS value FROM one WHERE chr1 = 1 AND chr2 = 1 AND bin_x * bin_size <= 100000 AND bin_y * bin_size <= 100000 AND e <> 0")
 
 
 def entry_region_oe(s, d):
@@ -147,7 +164,7 @@ def entry_region_oe(s, d):
     normed = N.normalize(cells, N.vanilla_coverage(cells))
     means = normed.groupBy((F.col("bin_y") - F.col("bin_x")).alias("dist")).agg(F.avg("counts").alias("mean"))
     oe = normed.withColumn("dist", F.col("bin_y") - F.col("bin_x")).join(F.broadcast(means), "dist")
-    view = B.region(oe.select(*KEYS.split(", "), ieee_div("counts", "mean").alias("value")), 1, 0, 120000, 1, 0, 120000)
+    view = B.region(oe.select(*KEYS.split(", "), ieee_div("counts", "mean").alias("value")), 1, 0, 120000, 1, 0, 120000, 2500)
     return rounded(view, "value")
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from plectra.operators import assembly as S
 from plectra.operators import binning as B
-from plectra.operators import expected as E
 from plectra.operators import features2d as X
 from plectra.operators import models as M
 from plectra.operators import norm as N
@@ -64,9 +63,6 @@ _o("asm_undo_redo", _undone, "SELECT grp, CASE WHEN ord BETWEEN 1 AND 5 THEN 6 -
 
 BOOK.add("agg_block_merge", lambda s, d: B.sum_maps([contacts(s, d).where("counts >= 0"), contacts(s, d, True)]).groupBy("chr1", "chr2", "bin_size", B.block_number(8, 10).alias("block_number")).agg(F.sum("counts").alias("counts"), F.count("*").alias("cells")), """, sm AS (SELECT chr1, chr2, bin_size, bin_x, bin_y, sum(counts) AS counts FROM (SELECT * FROM contacts UNION ALL SELECT * FROM ctrl) GROUP BY ALL)
 SELECT chr1, chr2, bin_size, CASE WHEN chr1 = chr2 THEN CAST(floor(log2(1 + abs(bin_x - bin_y) / sqrt(2.0) / 8)) AS BIGINT) * 10 + ((bin_x + bin_y) // 2) // 8 ELSE (bin_y // 8) * 10 + bin_x // 8 END AS block_number, sum(counts) AS counts, count(*) AS cells FROM sm GROUP BY ALL""")
-BOOK.add("src_norm_vector", lambda s, d: rounded(N.vanilla_coverage(contacts(s, d)).where("chr = 1 and bin_size = 5000 and bin between 5 and 25"), "value"), "SELECT bin_size, chr, bin, round(value, 6) AS value FROM vc WHERE chr = 1 AND bin_size = 5000 AND bin BETWEEN 5 AND 25")
-BOOK.add("src_expected_part", lambda s, d: rounded(E.raw_expected(contacts(s, d), fx.chroms(s)).where("dist between 3 and 9"), "value"), "SELECT bin_size, dist, round(value, 6) AS value FROM ex WHERE dist BETWEEN 3 AND 9")
-
 
 def _dense_lines(s, d):
     cells = B.mirrored(contacts(s, d, sizes=(10000,)).where("chr1 = 2 and chr2 = 2"))

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plectra.operators import binning as B
+from plectra.operators import expected as E
+from plectra.operators import norm as N
 from plectra.plans import fixtures as fx
 from plectra.plans.book import Book, rounded
-from plectra.plans.q_maps import contacts
-from plectra.plans.storage import stored
+from plectra.plans.q_maps import contacts, shelved
+from plectra.plans.storage import scratch_dir, stored
 from plectra.sources import features_text as T
+from plectra.sources import map_file as MF
 from plectra.sources import pairs_binary as R
 from plectra.sources import pairs_text as P
+from plectra.sources import store as ST
 
 BOOK = Book()
 
@@ -89,4 +92,53 @@ BOOK.add("sink_assembly", lambda s, d: fx.table(s, d, "supplier").select(F.conca
 BOOK.add("flt_chrom_lookup", lambda s, d: fx.table(s, d, "customer").select("c_custkey", T.clean_chromosome(F.concat(F.lit("chr"), F.col("c_mktsegment"))).alias("name")), "SELECT c_custkey, lower(c_mktsegment) AS name FROM customer")
 BOOK.add("flt_resolution_pick", lambda s, d: fx.loci_b(s, d).select((F.col("x2") - F.col("x1")).alias("wanted")).distinct().select("wanted", F.array_min(F.transform(F.array(*(F.lit(x) for x in (500, 1000, 2500))), lambda r: F.struct(F.abs(r - F.col("wanted")).alias("d"), r.alias("r")))).getField("r").cast("long").alias("resolution")), "SELECT DISTINCT w AS wanted, CAST(CASE WHEN abs(w - 500) <= abs(w - 1000) AND abs(w - 500) <= abs(w - 2500) THEN 500 WHEN abs(w - 1000) <= abs(w - 2500) THEN 1000 ELSE 2500 END AS BIGINT) AS resolution FROM (SELECT x2 - x1 AS w FROM loci_b)")
 BOOK.add("set_zoom_chrom_intersection", lambda s, d: contacts(s, d).select("bin_size", "chr1").distinct().intersect(contacts(s, d, True).where("chr1 <> 2").select("bin_size", "chr1")), "SELECT DISTINCT bin_size, chr1 FROM contacts INTERSECT SELECT DISTINCT bin_size, chr1 FROM ctrl WHERE chr1 <> 2")
-BOOK.add("sink_parquet_map", lambda s, d: B.region(stored(contacts(s, d)), 1, 0, 50000, 1, 0, 50000), "SELECT chr1, chr2, bin_size, bin_x, bin_y, counts FROM contacts WHERE chr1 = 1 AND chr2 = 1 AND bin_x * bin_size <= 50000 AND bin_y * bin_size <= 50000")
+BOOK.add("sink_parquet_map", lambda s, d: ST.read_store(s, shelved(s, d)), "SELECT chr1, chr2, bin_size, bin_x, bin_y, counts FROM contacts")
+
+
+# Map files, written and read again; vectors are stored as four-byte numbers in the newest version, eight-byte ones before.
+def _map_file(s, d, version=9, sizes=fx.SIZES):
+    path = scratch_dir(s)
+    cells = stored(contacts(s, d, sizes=sizes))
+    MF.write_map(cells, fx.chroms(s), path, version, block_bins=20)
+    return path, cells
+
+
+_CELLS = ("chr1", "chr2", "bin_size", "bin_x", "bin_y", "counts")
+BOOK.add("src_hic", lambda s, d: MF.read_map(s, _map_file(s, d)[0]).select(*_CELLS), "SELECT chr1, chr2, bin_size, bin_x, bin_y, counts FROM contacts")
+BOOK.add("sink_hic", lambda s, d: MF.read_map(s, _map_file(s, d, 8)[0], "matrices").groupBy("chr1", "chr2", "bin_size").agg(F.sum("total").alias("total")), "SELECT chr1, chr2, bin_size, sum(CASE WHEN chr1 = chr2 AND bin_x <> bin_y THEN 2 * counts ELSE counts END) AS total FROM contacts GROUP BY ALL")
+BOOK.add(
+    "src_hic_matrix",
+    lambda s, d: MF.region_of_map(s, _map_file(s, d, sizes=(2500,))[0], 2500, 1, 20000, 90000, 1, 60000, 150000).select(*_CELLS),
+    """SELECT chr1, chr2, bin_size, bin_x, bin_y, counts FROM contacts WHERE chr1 = 1 AND chr2 = 1 AND bin_size = 2500
+ AND (bin_x * 2500 BETWEEN 20000 AND 90000 AND bin_y * 2500 BETWEEN 60000 AND 150000 OR bin_x * 2500 BETWEEN 60000 AND 150000 AND bin_y * 2500 BETWEEN 20000 AND 90000)""",
+)
+
+
+def _vector_of_file(s, d):
+    path, cells = _map_file(s, d, 8)
+    MF.append_vectors(N.vanilla_coverage(cells), fx.chroms(s), path, "VC", 8)
+    part = MF.read_map(s, path, "vectors", norm="VC", chr=1, bin_size=5000, bin=(5, 25)).where(~F.isnan("value"))
+    return rounded(part.select("bin_size", "chr", "bin", "value"), "value")
+
+
+def _expected_of_file(s, d):
+    path, cells = _map_file(s, d, 8)
+    MF.append_vectors(E.raw_expected(cells, fx.chroms(s)), fx.chroms(s), path, "NONE", 8)
+    return rounded(MF.read_map(s, path, "expected", norm="NONE", dist=(3, 9)).select("bin_size", "dist", "value"), "value")
+
+
+BOOK.add("src_norm_vector", _vector_of_file, "SELECT bin_size, chr, bin, round(value, 6) AS value FROM vc WHERE chr = 1 AND bin_size = 5000 AND bin BETWEEN 5 AND 25")
+BOOK.add("src_expected_part", _expected_of_file, "SELECT bin_size, dist, round(value, 6) AS value FROM ex WHERE dist BETWEEN 3 AND 9")
+
+
+def _stored_vectors(s, d):
+    """Vectors and expectations appended to the store of a map, and normalised cells from what it holds."""
+    path = shelved(s, d, sizes=(10000,))
+    cells = ST.read_store(s, path)
+    for norm, root in (("VC", False), ("VC_SQRT", True)):
+        ST.append_vectors(N.vanilla_coverage(cells, root), path, norm)
+    return rounded(N.normalize(cells, ST.read_vectors(s, path, "VC")), "counts")
+
+
+BOOK.add("sink_norm_footer", _stored_vectors, """, nv AS (SELECT c.*, counts / (v1.value * v2.value) AS nvalue FROM contacts c JOIN vc v1 ON v1.bin_size = c.bin_size AND v1.chr = c.chr1 AND v1.bin = bin_x JOIN vc v2 ON v2.bin_size = c.bin_size AND v2.chr = c.chr2 AND v2.bin = bin_y)
+SELECT chr1, chr2, bin_size, bin_x, bin_y, round(nvalue, 6) AS counts FROM nv WHERE bin_size = 10000""")
