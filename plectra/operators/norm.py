@@ -1,4 +1,4 @@
-"""Matrix balancing: coverage vectors, sparse matrix times vector, and iterative balancing.
+"""Normalisation: coverage vectors, sparse matrix times vector, the genome as one matrix.
 
 Vectors are rows (bin_size, chr, bin, value). A cell's normalised count is counts / (v[x] * v[y]).
 """
@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 
 from plectra.functions.ieee import ieee_div
 from plectra.operators.binning import mirrored
-from plectra.plans.storage import stored
-
-#: Shares of rows, by their number of cells, that a matrix is balanced without when it does not balance with them.
-DROPPED = (0.0, 0.01, 0.02, 0.03, 0.04, 0.1)
 
 
 def row_sums(contacts: DataFrame) -> DataFrame:
@@ -82,64 +78,6 @@ def _spmv(cells: DataFrame, vectors: DataFrame) -> DataFrame:
     return terms.join(values, ["bin_size", "chr", "at"]).groupBy("bin_size", "chr", "bin").agg(F.sum(F.col("counts") * F.col("v__")).alias("value"))
 
 
-def balance(contacts: DataFrame, tolerance: float = 5e-4, rounds: int = 100, least_cells: int = 1, target: DataFrame | None = None) -> DataFrame:
-    """Alternating scaling until every row sum of the balanced matrix is one within the tolerance, then rescaled.
-
-    With a target (bin_size, chr, bin, value) row sums become proportional to its values; bins without a positive
-    one are left out, as rows with too few cells are.
-
-    Each round is one sparse product with partial sums; vectors stay distributed, and lineage is cut by a
-    stored table. Symmetric form: b <- b / sqrt(b * A b). A matrix (bin_size, chr) that stalls, or is not balanced
-    after the rounds, starts again without its rows of fewest cells, up to each of the DROPPED shares; if none
-    of them helps, all its values are NaN. Rows with fewer cells than least_cells and rows dropped are NaN, too.
-    """
-    cells = stored(contacts.where("chr1 = chr2 and counts > 0").select("bin_size", F.col("chr1").alias("chr"), "bin_x", "bin_y", "counts"))
-    filled = stored(nonzero_rows(contacts.where("counts > 0")))
-    todo = filled.where(F.col("cells") >= least_cells)
-    wanted = None
-    if target is not None:
-        wanted = stored(target.where("value > 0 and not isnan(value)").select("bin_size", "chr", "bin", F.col("value").alias("target__")))
-        todo = stored(todo.join(wanted, ["bin_size", "chr", "bin"], "left_semi"))
-    balanced: list[DataFrame] = []
-    for share in DROPPED:
-        good = todo.select("bin_size", "chr", "bin")
-        if share:
-            least = F.broadcast(todo.groupBy("bin_size", "chr").agg(F.percentile("cells", F.lit(share)).alias("least__")))
-            good = todo.join(least, ["bin_size", "chr"]).where("cells > least__").select("bin_size", "chr", "bin")
-        b, errors = _scaled(cells, stored(good.withColumn("value", F.lit(1.0))), tolerance, rounds, wanted)
-        reached = [k for k, e in errors.items() if e[-1] <= tolerance]
-        if reached:
-            names = F.broadcast(contacts.sparkSession.createDataFrame(reached, "bin_size long, chr long"))
-            balanced.append(b.join(names, ["bin_size", "chr"]).select("bin_size", "chr", "bin", (1 / F.col("value")).alias("value")))
-            todo = stored(todo.join(names, ["bin_size", "chr"], "left_anti"))
-        if todo.isEmpty():
-            break
-    rows = filled.select("bin_size", "chr", "bin")
-    if not balanced:
-        return rows.withColumn("value", F.lit(float("nan")))
-    vector = balanced[0]
-    for more in balanced[1:]:
-        vector = vector.union(more)
-    return rows.join(rescaled(contacts, stored(vector)), ["bin_size", "chr", "bin"], "left").na.fill(float("nan"), ["value"])
-
-
-def _scaled(cells: DataFrame, b: DataFrame, tolerance: float, rounds: int, wanted: DataFrame | None = None) -> tuple[DataFrame, dict]:
-    """The vector after the last round, and each matrix's largest errors by round; until all are balanced or stall."""
-    errors: dict[tuple, list[float]] = {}
-    for k in range(rounds):
-        y = _spmv(cells, b).withColumnRenamed("value", "y__")
-        joined = b.join(y, ["bin_size", "chr", "bin"]).withColumn("sum__", F.col("value") * F.col("y__"))
-        if wanted is not None:
-            joined = joined.join(wanted, ["bin_size", "chr", "bin"]).withColumn("sum__", F.col("sum__") / F.col("target__"))
-        step = stored(joined.select("bin_size", "chr", "bin", (F.col("value") / F.sqrt("sum__")).alias("value"), F.abs(F.col("sum__") - 1).alias("error")))
-        for r in step.groupBy("bin_size", "chr").agg(F.max("error").alias("e")).collect():  # a row a matrix
-            errors.setdefault((r.bin_size, r.chr), []).append(r.e)
-        b = step.select("bin_size", "chr", "bin", "value")
-        if all(e[-1] <= tolerance or (k >= 10 and min(e[-5:]) > 0.98 * min(e[:-5])) for e in errors.values()):
-            break
-    return b, errors
-
-
 def offset_contacts(contacts: DataFrame, chroms: DataFrame, between_only: bool = False) -> DataFrame:
     """The genome as one chromosome 0: bins of all chromosomes one after the other; optionally without cells inside one."""
     from pyspark.sql import Window

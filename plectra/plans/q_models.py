@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plectra.operators import apa as A
+from plectra.operators import balancing as W
 from plectra.operators import binning as B
 from plectra.operators import expected as E
 from plectra.operators import models as M
@@ -26,10 +27,18 @@ def _oe(s, c):
     return V.view(V.one_map(c, fx.chroms(s)), V.one_map_views()["q_oe"])
 
 
-_q("norm_scale", lambda s, c: rounded(N.balance(c), "value", digits=3))
-_q("norm_kr", lambda s, c: rounded(N.balance(c, tolerance=1e-6, least_cells=2), "value", digits=4))
-_q("norm_gw", lambda s, c: rounded(N.split_vector(N.balance(N.offset_contacts(c, fx.chroms(s))), fx.chroms(s)), "value", digits=3))
-_q("norm_inter", lambda s, c: rounded(N.split_vector(N.balance(N.offset_contacts(c, fx.chroms(s), between_only=True)), fx.chroms(s)), "value", digits=3))
+_q("norm_scale", lambda s, c: rounded(W.scale(c), "value", digits=3))
+_q("norm_kr", lambda s, c: rounded(W.knight_ruiz(c), "value", digits=4))
+for _name in ("KR", "SCALE"):
+    _q(f"norm_gw_{_name.lower()}" if _name == "KR" else "norm_gw", lambda s, c, n=_name: rounded(W.balanced(c, fx.chroms(s), f"GW_{n}"), "value", digits=3))
+    _q(f"norm_inter_{_name.lower()}" if _name == "KR" else "norm_inter", lambda s, c, n=_name: rounded(W.balanced(c, fx.chroms(s), f"INTER_{n}"), "value", digits=3))
+_WHOLE = """, gb AS (SELECT idx, coalesce(sum(len // 10000 + 1) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM chroms),
+gc AS (SELECT bin_x + a.o AS x, bin_y + b.o AS y, counts FROM contacts c JOIN gb a ON a.idx = chr1 JOIN gb b ON b.idx = chr2 WHERE c.bin_size = 10000 AND {}),
+gr AS (SELECT i, sum(counts) AS v FROM (SELECT x AS i, counts FROM gc UNION ALL SELECT y, counts FROM gc WHERE x <> y) GROUP BY i),
+gf AS (SELECT sqrt(sum(CASE WHEN x <> y THEN 2 ELSE 1 END * counts / (a.v * b.v)) / sum(CASE WHEN x <> y THEN 2 ELSE 1 END * counts)) AS f FROM gc JOIN gr a ON a.i = x JOIN gr b ON b.i = y)
+SELECT CAST(10000 AS BIGINT) AS bin_size, gb.idx AS chr, i - o AS bin, round(v * f, 6) AS value FROM gr CROSS JOIN gf JOIN gb ON true JOIN chroms ON chroms.idx = gb.idx WHERE i >= o AND i < o + len // 10000 + 1"""
+_q("norm_gw_vc", lambda s, c: rounded(W.balanced(c, fx.chroms(s), "GW_VC"), "value"), _WHOLE.format("true"))
+_q("norm_inter_vc", lambda s, c: rounded(W.balanced(c, fx.chroms(s), "INTER_VC"), "value"), _WHOLE.format("chr1 <> chr2"))
 _q("mat_pearson", lambda s, c: rounded(M.pearson(_oe(s, c), fx.chroms(s)), "value"), """, oe AS (SELECT chr1 AS chr, bin_x AS i, bin_y AS j, o / e AS v FROM one WHERE chr1 = chr2 AND bin_size = 10000 AND e <> 0),
 sy AS (SELECT chr, i, j, v FROM oe UNION ALL SELECT chr, j, i, v FROM oe WHERE i <> j), nb AS (SELECT idx AS chr, (len - 1) // 10000 + 1 AS n FROM chroms), oc AS (SELECT DISTINCT chr, i FROM sy WHERE v <> 0),
 gr AS (SELECT nb.chr, oc.i, g.j FROM nb JOIN oc ON oc.chr = nb.chr, range(0, 20) AS g(j) WHERE g.j < n), mt AS (SELECT gr.chr, gr.i, gr.j, coalesce(v, 0) AS v FROM gr LEFT JOIN sy ON sy.chr = gr.chr AND sy.i = gr.i AND sy.j = gr.j),

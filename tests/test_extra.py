@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from plectra.operators import apa, motifs, norm, tracks, triples
+from plectra.operators import apa, balancing, motifs, norm, tracks, triples
 from plectra.sources import features_text, matrix_files
 
 TRIPLE = "chr long, x1 long, x2 long, x3 long"
@@ -61,7 +61,7 @@ def test_rows_follow_a_target(spark):
     m = np.triu(rng.integers(1, 30, (8, 8)))
     c = spark.createDataFrame([(1, 1, 10, int(i), int(j), float(m[i, j])) for i, j in np.argwhere(m)], "chr1 long, chr2 long, bin_size long, bin_x long, bin_y long, counts double")
     target = spark.createDataFrame([(10, 1, k, float(k)) for k in range(8)], "bin_size long, chr long, bin long, value double")
-    vector = norm.balance(c, 1e-5, target=target)
+    vector = balancing.scale(c, target, 1e-5)
     assert [r.bin for r in vector.where("isnan(value)").collect()] == [0]
     sums = {r.bin: r.value for r in norm.row_sums(norm.normalize(c, vector)).collect()}
     shares = np.array([sums[k] / k for k in range(1, 8)])

@@ -87,11 +87,11 @@ def test_interval_operators_against_brute_force(spark, seed):
 
 
 def test_balanced_rows_are_even(spark, sf_dir):
-    from plectra.operators import norm
+    from plectra.operators import balancing, norm
     from plectra.plans.q_maps import contacts
 
     cells = contacts(spark, sf_dir, sizes=(10000,))
-    normed = norm.normalize(cells.where("chr1 = chr2"), norm.balance(cells, tolerance=1e-4))
+    normed = norm.normalize(cells.where("chr1 = chr2"), balancing.scale(cells, tolerance=1e-4))
     for _, part in norm.row_sums(normed).toPandas().groupby("chr"):
         assert part["value"].std() / part["value"].mean() < 5e-3
 
