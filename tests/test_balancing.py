@@ -11,6 +11,18 @@ from plectra.operators import norm
 COLUMNS = "chr1 long, chr2 long, bin_size long, bin_x long, bin_y long, counts double"
 
 
+@pytest.fixture(autouse=True, scope="module")
+def small_plans(spark):
+    """Rounds are many and their tables tiny here."""
+    set_to = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "2"}
+    before = {k: spark.conf.get(k) for k in set_to}
+    for k, v in set_to.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
 def frame(spark, matrices):
     rows = [(c, c, 10, i, j, float(m[i, j])) for c, m in matrices.items() for i in range(len(m)) for j in range(i, len(m)) if m[i, j]]
     return spark.createDataFrame(rows, COLUMNS).coalesce(2)
@@ -159,18 +171,23 @@ def decayed(seed, n):
 
 
 def test_knight_ruiz(spark):
-    star = np.zeros((5, 5))
-    star[0, 1:] = star[1:, 0] = 1
-    matrices = {1: block(1, 12), 2: decayed(2, 30), 3: block(3, 15, 0.5), 4: star}
-    got = vectors(K.knight_ruiz(frame(spark, matrices), stalls=3), matrices)
+    matrices = {1: block(1, 12), 2: decayed(2, 30)}
+    got = vectors(K.knight_ruiz(frame(spark, matrices)), matrices)
     for c, m in matrices.items():
-        np.testing.assert_allclose(got[c], kr(m, stalls=3), rtol=1e-7)
-    for c in (1, 2, 3):
+        np.testing.assert_allclose(got[c], kr(m), rtol=1e-7)
         good = ~np.isnan(got[c])
         sums = (m := matrices[c][np.ix_(good, good)] / np.outer(got[c][good], got[c][good])).sum(1)
         assert np.ptp(sums) < 1e-5 * sums.mean() and m.size
 
 
+def test_no_unbalanced_vector_is_returned(spark):
+    """No scaling balances a star: all six attempts fail."""
+    star = np.zeros((5, 5))
+    star[0, 1:] = star[1:, 0] = 1
+    assert np.isnan(kr(star, stalls=1)).all()
+    assert np.isnan(vectors(K.knight_ruiz(frame(spark, {1: star}), stalls=1), {1: star})[1]).all()
+
+
 def test_rows_of_the_smallest_sums_go(spark):
     matrices = {1: decayed(7, 60)}
     a = K.Matrices(frame(spark, matrices))
@@ -183,22 +200,22 @@ def test_rows_of_the_smallest_sums_go(spark):
 
 
 def test_scale(spark):
-    matrices = {1: block(1, 12), 2: decayed(2, 30), 3: block(3, 15, 0.5)}
+    matrices = {1: block(1, 12), 2: decayed(2, 30)}
     got = vectors(K.scale(frame(spark, matrices)), matrices)
     for c, m in matrices.items():
         np.testing.assert_allclose(got[c], scale(m), rtol=1e-7)
 
 
 def test_scale_grows_on_a_stall(spark):
-    """A path of rows with one or two cells and a full block: it stalls until the rows of one cell are out."""
-    m = np.zeros((26, 26))
-    m[:20, :20] = block(4, 20)
-    for k in range(19, 25):
+    """A full block with a tail of rows of one or two cells: it stalls until the tail is out."""
+    m = np.zeros((44, 44))
+    m[:40, :40] = block(4, 40)
+    for k in range(39, 43):
         m[k, k + 1] = m[k + 1, k] = 1
-    got = vectors(K.scale(frame(spark, {1: m}), growth=0.02), {1: m})[1]
-    due = scale(m, growth=0.02)
+    got = vectors(K.scale(frame(spark, {1: m}), growth=0.1), {1: m})[1]
+    due = scale(m, growth=0.1)
     np.testing.assert_allclose(got, due, rtol=1e-6)
-    assert np.isnan(due).any() and not np.isnan(due[:19]).any()
+    assert np.isnan(due[40:]).all() and not np.isnan(due[:40]).any()
 
 
 def test_scale_to_a_target(spark):
@@ -211,7 +228,7 @@ def test_scale_to_a_target(spark):
     assert np.isnan(got[[4, 5]]).all() and not np.isnan(np.delete(got, [4, 5])).any()
 
 
-@pytest.mark.parametrize("name", ["GW_VC", "INTER_VC", "GW_KR", "INTER_SCALE"])
+@pytest.mark.parametrize("name", ["GW_VC", "INTER_VC", "GW_SCALE"])
 def test_genome_wide_forms(spark, name):
     sizes = {1: 60, 2: 50}
     rng = np.random.default_rng(8)
