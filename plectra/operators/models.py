@@ -1,7 +1,6 @@
-"""Operators with a dense or sequential kernel: correlation, compartments, loops, domains, localisation.
+"""Operators with a dense or sequential kernel: loops, domains, localisation; and the difference of compartments.
 
-Each runs the kernel once a chromosome, tile or window, inside a grouped pandas function; groups are bounded by
-the resolution gates and tile sizes.
+Each runs the kernel once a chromosome, tile or window, inside a grouped pandas function; groups are bounded by tile sizes.
 """
 
 from __future__ import annotations
@@ -15,8 +14,6 @@ from plectra.kernels import dense as D
 from plectra.kernels import peaks as K
 from plectra.operators.binning import mirrored
 
-#: Most bins of a chromosome that a dense correlation is made for.
-MOST_BINS = 20_000
 #: Rows of expectations of the second generation of loop calls, and those for expectations under one.
 ROWS, ROWS_BELOW = 50, 11
 #: Bin size, false discovery rate in per cent, peak width, window width, cluster radius; first generation of loop calls.
@@ -36,39 +33,6 @@ def _intra(cells: DataFrame, chroms: DataFrame, value: str) -> DataFrame:
     return own.select("bin_size", F.col("chr1").alias("chr"), F.expr("(len - 1) div bin_size + 1").alias("n"), F.col("bin_x").alias("i"), F.col("bin_y").alias("j"), F.col(value).alias("value"))
 
 
-def _square(rows: pd.DataFrame) -> np.ndarray:
-    n = int(rows["n"].iloc[0])
-    if n > MOST_BINS:
-        raise ValueError(f"{n} bins are too many for a dense matrix; use a coarser resolution")
-    return D.dense(rows["i"].to_numpy(), rows["j"].to_numpy(), rows["value"].to_numpy(), n)
-
-
-def pearson(oe: DataFrame, chroms: DataFrame) -> DataFrame:
-    """(bin_size, chr, i, j, value): correlation of every pair i <= j of occupied rows of O/E."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        c = D.pearson(_square(rows))
-        i, j = np.nonzero(~np.isnan(c))
-        upper = i <= j
-        i, j = i[upper], j[upper]
-        return pd.DataFrame({"bin_size": rows["bin_size"].iloc[0], "chr": rows["chr"].iloc[0], "i": i, "j": j, "value": c[i, j]})
-
-    return _intra(oe, chroms, "value").groupBy("bin_size", "chr").applyInPandas(run, "bin_size long, chr long, i long, j long, value double")
-
-
-def eigenvector(oe: DataFrame, chroms: DataFrame, which: int = 0, centred: bool = True) -> DataFrame:
-    """(bin_size, chr, bin, value) of an eigenvector of the correlation; bins without data are left out."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        v = D.eigenvector(D.pearson(_square(rows)), which)
-        if centred and not np.isnan(v).all():
-            v = v - np.nanmean(v)
-        at = np.flatnonzero(~np.isnan(v))
-        return pd.DataFrame({"bin_size": rows["bin_size"].iloc[0], "chr": rows["chr"].iloc[0], "bin": at, "value": v[at]})
-
-    return _intra(oe, chroms, "value").groupBy("bin_size", "chr").applyInPandas(run, "bin_size long, chr long, bin long, value double")
-
-
 def compartment_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """(chr, bin, same, different): difference of two eigenvectors after b's sign follows the majority of a's."""
     keys = ["bin_size", "chr", "bin"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plectra.operators import apa as A
 from plectra.operators import balancing as W
 from plectra.operators import binning as B
+from plectra.operators import correlation as C
 from plectra.operators import expected as E
 from plectra.operators import models as M
 from plectra.operators import norm as N
@@ -39,17 +40,17 @@ gf AS (SELECT sqrt(sum(CASE WHEN x <> y THEN 2 ELSE 1 END * counts / (a.v * b.v)
 SELECT CAST(10000 AS BIGINT) AS bin_size, gb.idx AS chr, i - o AS bin, round(v * f, 6) AS value FROM gr CROSS JOIN gf JOIN gb ON true JOIN chroms ON chroms.idx = gb.idx WHERE i >= o AND i < o + len // 10000 + 1"""
 _q("norm_gw_vc", lambda s, c: rounded(W.balanced(c, fx.chroms(s), "GW_VC"), "value"), _WHOLE.format("true"))
 _q("norm_inter_vc", lambda s, c: rounded(W.balanced(c, fx.chroms(s), "INTER_VC"), "value"), _WHOLE.format("chr1 <> chr2"))
-_q("mat_pearson", lambda s, c: rounded(M.pearson(_oe(s, c), fx.chroms(s)), "value"), """, oe AS (SELECT chr1 AS chr, bin_x AS i, bin_y AS j, o / e AS v FROM one WHERE chr1 = chr2 AND bin_size = 10000 AND e <> 0),
+_q("mat_pearson", lambda s, c: rounded(C.pearson(_oe(s, c), fx.chroms(s)), "value"), """, oe AS (SELECT chr1 AS chr, bin_x AS i, bin_y AS j, o / e AS v FROM one WHERE chr1 = chr2 AND bin_size = 10000 AND e <> 0),
 sy AS (SELECT chr, i, j, v FROM oe UNION ALL SELECT chr, j, i, v FROM oe WHERE i <> j), nb AS (SELECT idx AS chr, (len - 1) // 10000 + 1 AS n FROM chroms), oc AS (SELECT DISTINCT chr, i FROM sy WHERE v <> 0),
 gr AS (SELECT nb.chr, oc.i, g.j FROM nb JOIN oc ON oc.chr = nb.chr, range(0, 20) AS g(j) WHERE g.j < n), mt AS (SELECT gr.chr, gr.i, gr.j, coalesce(v, 0) AS v FROM gr LEFT JOIN sy ON sy.chr = gr.chr AND sy.i = gr.i AND sy.j = gr.j),
 mu AS (SELECT gr.chr, gr.j, coalesce(sum(v), 0) / any_value(n) AS m FROM gr JOIN nb ON nb.chr = gr.chr LEFT JOIN sy ON sy.chr = gr.chr AND sy.i = gr.j AND sy.j = gr.i GROUP BY gr.chr, gr.j),
 mr AS (SELECT chr, i, sum(v) AS rs FROM sy GROUP BY ALL), mm AS (SELECT g.chr, g.j, coalesce(rs, 0) / n AS m FROM (SELECT DISTINCT chr, j FROM gr) g JOIN nb ON nb.chr = g.chr LEFT JOIN mr ON mr.chr = g.chr AND mr.i = g.j),
 ce AS (SELECT mt.chr, mt.i, mt.j, v - m AS v FROM mt JOIN mm ON mm.chr = mt.chr AND mm.j = mt.j)
 SELECT CAST(10000 AS BIGINT) AS bin_size, a.chr, a.i, b.i AS j, round(CASE WHEN a.i = b.i THEN 1.0 ELSE corr(a.v, b.v) END, 6) AS value FROM ce a JOIN ce b ON a.chr = b.chr AND a.j = b.j AND a.i <= b.i GROUP BY a.chr, a.i, b.i""")
-_q("mat_eigen", lambda s, c: rounded(M.eigenvector(_oe(s, c), fx.chroms(s)), "value", digits=4))
-BOOK.add("ab_diff", lambda s, d: rounded(M.compartment_difference(M.eigenvector(_oe(s, contacts(s, d, sizes=(10000,))), fx.chroms(s)), M.eigenvector(_oe(s, contacts(s, d, True, sizes=(10000,))), fx.chroms(s))), "same", "different", digits=4))
+_q("mat_eigen", lambda s, c: rounded(C.eigenvector(_oe(s, c), fx.chroms(s)), "value", digits=4))
+BOOK.add("ab_diff", lambda s, d: rounded(M.compartment_difference(C.eigenvector(_oe(s, contacts(s, d, sizes=(10000,))), fx.chroms(s)), C.eigenvector(_oe(s, contacts(s, d, True, sizes=(10000,))), fx.chroms(s))), "same", "different", digits=4))
 _PEARSON_BOTH = BOOK.oracles["mat_pearson"].removeprefix(f"{fx.SQL}\n").replace("\nSELECT CAST(10000", ", pe AS (SELECT CAST(10000") + ") SELECT chr, i, j, value FROM pe UNION ALL SELECT chr, j, i, value FROM pe WHERE i < j"
-_q("q_pearson", lambda s, c: rounded(B.mirrored(M.pearson(_oe(s, c), fx.chroms(s)).selectExpr("chr AS chr1", "chr AS chr2", "bin_size", "i AS bin_x", "j AS bin_y", "value AS counts")).select(F.col("chr1").alias("chr"), "i", "j", F.col("counts").alias("value")), "value"), _PEARSON_BOTH)
+_q("q_pearson", lambda s, c: rounded(B.mirrored(C.pearson(_oe(s, c), fx.chroms(s)).selectExpr("chr AS chr1", "chr AS chr2", "bin_size", "i AS bin_x", "j AS bin_y", "value AS counts")).select(F.col("chr1").alias("chr"), "i", "j", F.col("counts").alias("value")), "value"), _PEARSON_BOTH)
 _q("dom_directionality", lambda s, c: rounded(M.directionality(c, 7), "value"), """, u AS (SELECT bin_size, chr1 AS chr, bin_y AS i, bin_y - bin_x AS d, counts AS a FROM contacts WHERE chr1 = chr2 AND bin_size = 2500 AND bin_y - bin_x >= 7),
 w AS (SELECT bin_size, chr1 AS chr, bin_x AS i, bin_y - bin_x AS d, counts AS b FROM contacts WHERE chr1 = chr2 AND bin_size = 2500 AND bin_y - bin_x >= 7)
 SELECT chr, bin_size, i, d, round((coalesce(a, 0) - coalesce(b, 0)) / (coalesce(a, 0) + coalesce(b, 0)), 6) AS value FROM u FULL JOIN w USING (bin_size, chr, i, d)""", (2500,))
