@@ -19,7 +19,6 @@ from plectra.plans.q_intervals import _MERGED
 from plectra.plans.q_maps import contacts, held
 from plectra.plans.storage import stored
 from plectra.sources import features_text as T1
-from plectra.sources import matrix_files as MF
 
 BOOK = Book()
 
@@ -178,18 +177,6 @@ SELECT chr1, chr2, m1, m2, i // 11 AS i, j // 11 AS j, round(greatest(0, max(v))
 )
 
 
-# Matrix files, written and read again.
-def _sized(s, d):
-    own = contacts(s, d, sizes=(10000,)).where("chr1 = chr2").join(fx.chroms(s).select(F.col("idx").alias("chr1"), F.expr("(len - 1) div 10000 + 1").alias("n")), "chr1")
-    return own.select(F.col("chr1").alias("chr"), "n", F.col("bin_x").alias("i"), F.col("bin_y").alias("j"), F.col("counts").alias("value"))
-
-
-_UPPER = "SELECT chr1 AS chr, bin_x AS i, bin_y AS j, counts AS value FROM contacts WHERE chr1 = chr2 AND bin_size = 10000"
-BOOK.add("sink_binary", lambda s, d: MF.unpacked_cells(stored(MF.packed_cells(contacts(s, d, sizes=(5000,))))), "SELECT bin_x, bin_y, counts FROM contacts WHERE bin_size = 5000")
-BOOK.add("sink_npy", lambda s, d: MF.from_numpy_blocks(stored(MF.numpy_blocks(_sized(s, d), 4)), 4), _UPPER)
-BOOK.add("sink_matrix_txt", lambda s, d: MF.parse_matrix_lines(stored(MF.matrix_lines(_sized(s, d)))), _UPPER)
-
-
 # Tracks with headers: a fixed-step file of coverage a chromosome, and a variable-step file of events.
 def _wig_lines(s, d):
     sums = T.coverage(N.row_sums(contacts(s, d, sizes=(2500,))), fx.chroms(s), 2500)

@@ -14,7 +14,6 @@ from plectra.plans.book import Book, rounded
 from plectra.plans.q_maps import contacts, held
 from plectra.plans.q_models import _kernel
 from plectra.plans.storage import stored
-from plectra.sources.features_text import tab_lines
 
 BOOK = Book()
 
@@ -64,18 +63,6 @@ _o("asm_undo_redo", _undone, "SELECT grp, CASE WHEN ord BETWEEN 1 AND 5 THEN 6 -
 BOOK.add("agg_block_merge", lambda s, d: B.sum_maps([contacts(s, d).where("counts >= 0"), contacts(s, d, True)]).groupBy("chr1", "chr2", "bin_size", B.block_number(8, 10).alias("block_number")).agg(F.sum("counts").alias("counts"), F.count("*").alias("cells")), """, sm AS (SELECT chr1, chr2, bin_size, bin_x, bin_y, sum(counts) AS counts FROM (SELECT * FROM contacts UNION ALL SELECT * FROM ctrl) GROUP BY ALL)
 SELECT chr1, chr2, bin_size, CASE WHEN chr1 = chr2 THEN CAST(floor(log2(1 + abs(bin_x - bin_y) / sqrt(2.0) / 8)) AS BIGINT) * 10 + ((bin_x + bin_y) // 2) // 8 ELSE (bin_y // 8) * 10 + bin_x // 8 END AS block_number, sum(counts) AS counts, count(*) AS cells FROM sm GROUP BY ALL""")
 
-def _dense_lines(s, d):
-    cells = B.mirrored(contacts(s, d, sizes=(10000,)).where("chr1 = 2 and chr2 = 2"))
-    n = fx.LENGTHS[2] // 10000
-    held = {j: F.coalesce(F.max(F.when(F.col("j") == j, F.col("counts").cast("long"))), F.lit(0)).cast("string") for j in range(n)}
-    rows = s.range(n).select(F.col("id").alias("i")).join(cells, "i", "left").groupBy("i").agg(F.concat_ws("\t", *held.values()).alias("value"))
-    return rows
-
-
-BOOK.add("sink_text_dense", _dense_lines, "SELECT i, string_agg(CAST(coalesce(counts, 0)::BIGINT AS VARCHAR), chr(9) ORDER BY j) AS value FROM (SELECT a.i, b.j, t.counts FROM range(0, 16) a(i), range(0, 16) b(j) LEFT JOIN (SELECT * FROM both_tri WHERE chr = 2 AND bin_size = 10000) t ON t.i = a.i AND t.j = b.j) GROUP BY i")
-BOOK.add("sink_wig", lambda s, d: tab_lines(N.row_sums(contacts(s, d, sizes=(10000,))).select("chr", "bin", F.col("value").cast("long").alias("v")), ["chr", "bin", "v"]), "SELECT concat_ws(chr(9), chr, bin, CAST(value AS BIGINT)) AS value FROM rowsums WHERE bin_size = 10000")
-
-
 def _differential(s, d):
     """Loops of the map that the control has none near, and that are not enriched there."""
     cells = {control: held(s, d, control, (2500,)) for control in (False, True)}

@@ -11,9 +11,12 @@ from plectra.plans.book import Book, rounded
 from plectra.plans.q_maps import contacts, shelved
 from plectra.plans.storage import scratch_dir, stored
 from plectra.sources import features_text as T
+from plectra.sources import file_forms as FF
 from plectra.sources import map_file as MF
+from plectra.sources import matrix_files as MX
 from plectra.sources import pairs_binary as R
 from plectra.sources import pairs_text as P
+from plectra.sources import raw_files as RF
 from plectra.sources import store as ST
 
 BOOK = Book()
@@ -47,13 +50,37 @@ def _sql(n):
 for _name, _n in (("src_pairs_super_short", 4), ("src_pairs_super_short_score", 5), ("src_pairs_short", 8), ("src_pairs_short_score", 9), ("src_pairs_medium", 11), ("src_pairs_long", 16)):
     BOOK.add(_name, lambda s, d, n=_n: P.parse_lines(P.to_lines(_pairs(s, d), n), n), _sql(_n))
 _DCIC = "#columns: readID chr1 pos1 chr2 pos2 strand1 strand2 mapq1 mapq2"
-BOOK.add(
-    "src_pairs_dcic",
-    lambda s, d: P.parse_lines(fx.pairs(s, d).select(F.concat_ws(" ", F.lit("r"), "chr1", "pos1", "chr2", "pos2", F.expr("if(strand1, '+', '-')"), F.expr("if(strand2, '+', '-')"), "mapq1", "mapq2").alias("value")), P.dcic_layout(_DCIC)).select("chr1", "pos1", "chr2", "pos2", "strand1", "strand2", "mapq1", "mapq2"),
-    "SELECT CAST(chr1 AS VARCHAR) AS chr1, pos1, CAST(chr2 AS VARCHAR) AS chr2, pos2, strand1, strand2, mapq1, mapq2 FROM pairs",
-)
-BOOK.add("src_pairs_bin", lambda s, d: R.unpacked(stored(R.packed(_pairs(s, d)))), "SELECT strand1, strand2, chr1, pos1, pos1 // 1000 AS frag1, chr2, pos2, pos2 // 1000 AS frag2 FROM pairs")
-BOOK.add("src_pairs_bn", lambda s, d: R.unpacked(stored(R.packed(_pairs(s, d), R.SHORT)), R.SHORT), "SELECT strand1, strand2, chr1, pos1, chr2, pos2 FROM pairs")
+
+
+def _written(s, rows):
+    """The folder that the rows' files are in."""
+    path = scratch_dir(s)
+    RF.write_files(rows, path)
+    return path
+
+
+def _lines_written(s, rows):
+    """The lines of the files, read back."""
+    return s.read.option("recursiveFileLookup", "true").text(_written(s, rows))
+
+
+def _pairs_written(s, d, kind):
+    rows = RF.read_records(s, _written(s, FF.binary_pairs(_pairs(s, d), kind)), kind)
+    return rows.withColumns({f"strand{i}": F.col(f"strand{i}") == 0 for i in (1, 2)})
+
+
+def _dcic(s, d):
+    """A folder of pair files, one of which begins with the header."""
+    rows = fx.pairs(s, d)
+    fields = ["chr1", "pos1", "chr2", "pos2", F.expr("if(strand1, '+', '-')"), F.expr("if(strand2, '+', '-')"), "mapq1", "mapq2"]
+    body = rows.select(F.concat(F.lit("p"), F.expr("pos1 % 3").cast("string"), F.lit(".pairs")).alias("path"), F.lit(1).alias("seq"), F.concat(F.concat_ws(" ", F.lit("r"), *fields), F.lit("\n")).alias("content"))
+    head = s.range(1).select(F.lit("p0.pairs").alias("path"), F.lit(0).alias("seq"), F.lit("## pairs format v1.0\n" + _DCIC + "\n").alias("content"))
+    return P.read_pairs(s, _written(s, body.unionByName(head))).select("chr1", "pos1", "chr2", "pos2", "strand1", "strand2", "mapq1", "mapq2")
+
+
+BOOK.add("src_pairs_dcic", _dcic, "SELECT CAST(chr1 AS VARCHAR) AS chr1, pos1, CAST(chr2 AS VARCHAR) AS chr2, pos2, strand1, strand2, mapq1, mapq2 FROM pairs")
+BOOK.add("src_pairs_bin", lambda s, d: _pairs_written(s, d, R.LONG), "SELECT strand1, strand2, chr1, pos1, pos1 // 1000 AS frag1, chr2, pos2, pos2 // 1000 AS frag2 FROM pairs")
+BOOK.add("src_pairs_bn", lambda s, d: _pairs_written(s, d, R.SHORT), "SELECT strand1, strand2, chr1, pos1, chr2, pos2 FROM pairs")
 BOOK.add("sink_pairs_bin", lambda s, d: R.packed(_pairs(s, d)).select(F.sum(F.length("content")).alias("bytes")), "SELECT CAST(count(*) * 26 AS BIGINT) AS bytes FROM pairs")
 
 
@@ -85,10 +112,71 @@ BOOK.add(
 BOOK.add("src_genes", lambda s, d: T.parse_genes(_lines(fx.loci_a(s, d), "name", "chr", "x1", "x2")), "SELECT name, CAST(chr AS VARCHAR) AS chr, x1 + 1 AS x1, x2 - 1 AS x2 FROM loci_a")
 BOOK.add("src_assembly", lambda s, d: T.parse_scaffolds(_lines(fx.table(s, d, "supplier").select(F.col("s_suppkey").alias("id")), F.concat(F.lit(">s"), "id"), "id", F.lit("500"), sep=" ")), "SELECT 's' || s_suppkey AS name, CAST(s_suppkey AS BIGINT) AS id, CAST(500 AS BIGINT) AS length, (row_number() OVER (ORDER BY s_suppkey) - 1) * 500 + 1 AS orig_start FROM supplier")
 BOOK.add("src_vector_file", lambda s, d: rounded(T.parse_wig(fx.loci_b(s, d).select(F.expr("x1 div 10").alias("line"), F.col("x2").cast("string").alias("value")), "v", 0, 1), "value"), "SELECT 'v' AS chr, x1 // 10 AS start, x1 // 10 + 1 AS \"end\", CAST(x2 AS DOUBLE) AS value FROM loci_b")
-BOOK.add("sink_text_triples", lambda s, d: T.triples_text(contacts(s, d, sizes=(10000,))), "SELECT (bin_x * 10000)::VARCHAR || chr(9) || (bin_y * 10000)::VARCHAR || chr(9) || CAST(counts AS DECIMAL(20,2))::VARCHAR AS value FROM contacts WHERE bin_size = 10000")
-BOOK.add("sink_bedpe", lambda s, d: T.tab_lines(fx.feat_b(s, d), ["chr1", "start1", "end1", "chr2", "start2", "end2"]), "SELECT concat_ws(chr(9), chr1, start1, end1, chr2, start2, end2) AS value FROM feat_b")
-BOOK.add("sink_bed", lambda s, d: T.tab_lines(fx.loci_a(s, d), ["chr", "x1", "x2", "name"]), "SELECT concat_ws(chr(9), chr, x1, x2, name) AS value FROM loci_a")
-BOOK.add("sink_assembly", lambda s, d: fx.table(s, d, "supplier").select(F.concat(F.lit(">s"), "s_suppkey", F.lit(" "), "s_suppkey", F.lit(" 500")).alias("value")), "SELECT '>s' || s_suppkey || ' ' || s_suppkey || ' 500' AS value FROM supplier")
+BOOK.add("sink_text_triples", lambda s, d: _lines_written(s, FF.triples(contacts(s, d))), "SELECT (bin_x * bin_size)::VARCHAR || chr(9) || (bin_y * bin_size)::VARCHAR || chr(9) || CAST(counts AS BIGINT)::VARCHAR AS value FROM contacts")
+
+
+def _attributed(s, d):
+    """Features with the attributes of every layout, made of their columns."""
+    keys = sorted({k for x in FF.LAYOUTS.values() for k in x} - {"radius"})
+    made = F.map_from_arrays(F.array(*map(F.lit, keys)), F.array(*(F.concat(F.lit(k + "="), F.col("p_partkey").cast("string")) for k in keys)))
+    return fx.feat_b(s, d).withColumns({"attributes": made, "color": F.lit("0,0,255")})
+
+
+def _layout_sql(keys):
+    fixed = "concat_ws(chr(9), chr1, start1, end1, chr2, start2, end2, '.', '.', '.', '.', '0,0,255'"
+    values = "".join(f", '{k}=' || p_partkey" if k != "radius" else ", 'null'" for k in keys)
+    head = "\t".join([*FF.FEATURE, *keys])
+    return f"SELECT {fixed}{values}) AS value FROM feat_b UNION ALL SELECT DISTINCT '{head}' AS value FROM feat_b"
+
+
+def _with_heads(s, rows, keys):
+    """The lines read back; of the header lines, which every file has, one."""
+    lines = _lines_written(s, rows)
+    return lines.where("value not like '#%'").unionByName(lines.where("value like '#%'").distinct())
+
+
+for _layout, _keys in FF.LAYOUTS.items():
+    BOOK.add("sink_bedpe" if _layout == "final" else f"sink_bedpe_{_layout}", lambda s, d, n=_layout, k=tuple(_keys): _with_heads(s, FF.features(_attributed(s, d), n), k), _layout_sql(_keys))
+BOOK.add("sink_bed", lambda s, d: _lines_written(s, FF.bed(fx.loci_a(s, d))), "SELECT concat_ws(chr(9), chr, x1, x2, name) AS value FROM loci_a")
+
+
+def _assembly_files(s, d):
+    rows = fx.table(s, d, "supplier").selectExpr("concat('s', s_suppkey) AS name", "cast(s_suppkey as bigint) + 1 AS id", "500 AS length", "cast(s_suppkey div 3 as bigint) AS grp", "s_suppkey AS ord", "if(s_suppkey % 3 = 0, -1, 1) * (s_suppkey + 1) AS signed_id")
+    return _lines_written(s, FF.assembly(rows, rows))
+
+
+BOOK.add("sink_assembly", _assembly_files, """SELECT '>s' || s_suppkey || ' ' || (s_suppkey + 1) || ' 500' AS value FROM supplier
+UNION ALL SELECT string_agg(CAST(CASE WHEN s_suppkey % 3 = 0 THEN -1 ELSE 1 END * (s_suppkey + 1) AS VARCHAR), ' ' ORDER BY s_suppkey) FROM supplier GROUP BY s_suppkey // 3""")
+BOOK.add("sink_wig", lambda s, d: _lines_written(s, FF.fixed_step(N.row_sums(contacts(s, d, sizes=(2500, 10000))).where("bin % 7 <> 3").withColumn("value", F.col("value").cast("long")))), """, t AS (SELECT *, bin - lag(bin) OVER (PARTITION BY bin_size, chr ORDER BY bin) AS gap FROM rowsums WHERE bin_size IN (2500, 10000) AND bin % 7 <> 3)
+SELECT CAST(value AS BIGINT)::VARCHAR AS value FROM t UNION ALL SELECT 'fixedStep chrom=' || chr || ' start=' || (bin * bin_size + 1) || ' step=' || bin_size || ' span=' || bin_size FROM t WHERE gap IS NULL OR gap > 1""")
+BOOK.add("sink_text_dense", lambda s, d: _lines_written(s, FF.dense_rows(contacts(s, d, sizes=(5000, 10000)), fx.chroms(s), 8)), """, nb AS (SELECT idx AS chr, CAST(b AS BIGINT) AS bin_size, (len - 1) // b + 1 AS n FROM chroms, (SELECT unnest([5000, 10000]) AS b))
+SELECT value FROM (SELECT nb.chr, nb.bin_size, x.i, string_agg(CAST(coalesce(counts, 0)::BIGINT AS VARCHAR), chr(9) ORDER BY y.j) AS value FROM nb JOIN range(0, 200) x(i) ON x.i < n JOIN range(0, 200) y(j) ON y.j < n
+LEFT JOIN both_tri t ON t.chr = nb.chr AND t.bin_size = nb.bin_size AND t.i = x.i AND t.j = y.j GROUP BY ALL)""")
+BOOK.add("sink_binary", lambda s, d: RF.read_records(s, _written(s, FF.binary_cells(contacts(s, d, sizes=(5000,)), 10)), MX.CELL, 1200), "SELECT bin_x, bin_y, counts FROM contacts WHERE bin_size = 5000")
+
+
+# Dense matrices of every chromosome, in blocks of rows.
+def _sized(s, d):
+    own = contacts(s, d, sizes=(10000,)).where("chr1 = chr2").join(fx.chroms(s).select(F.col("idx").alias("chr1"), F.expr("(len - 1) div 10000 + 1").alias("n")), "chr1")
+    return own.select(F.col("chr1").alias("chr"), "n", F.col("bin_x").alias("i"), F.col("bin_y").alias("j"), F.col("counts").alias("value"))
+
+
+def _npy(s, d):
+    files = s.read.format("binaryFile").option("recursiveFileLookup", "true").load(_written(s, FF.npy_blocks(MX.numpy_blocks(_sized(s, d), 4))))
+    part = lambda k: F.element_at(F.split(F.regexp_replace("path", r"\.npy$", ""), "/"), k).cast("long")
+    return MX.from_numpy_blocks(files.select(part(-2).alias("chr"), part(-1).alias("block"), "content"), 4)
+
+
+def _matrix_txt(s, d):
+    rows = MX.matrix_lines(_sized(s, d)).withColumn("value", F.concat_ws(" ", "chr", "i", "value"))
+    lines = _lines_written(s, FF.lines_of(rows, F.concat(F.col("chr").cast("string"), F.lit(".txt")), "i"))
+    cut = F.split("value", " ", 3)
+    return MX.parse_matrix_lines(lines.select(cut[0].cast("long").alias("chr"), cut[1].cast("long").alias("i"), cut[2].alias("value")))
+
+
+_UPPER = "SELECT chr1 AS chr, bin_x AS i, bin_y AS j, counts AS value FROM contacts WHERE chr1 = chr2 AND bin_size = 10000"
+BOOK.add("sink_npy", _npy, _UPPER)
+BOOK.add("sink_matrix_txt", _matrix_txt, _UPPER)
 BOOK.add("flt_chrom_lookup", lambda s, d: fx.table(s, d, "customer").select("c_custkey", T.clean_chromosome(F.concat(F.lit("chr"), F.col("c_mktsegment"))).alias("name")), "SELECT c_custkey, lower(c_mktsegment) AS name FROM customer")
 BOOK.add("flt_resolution_pick", lambda s, d: fx.loci_b(s, d).select((F.col("x2") - F.col("x1")).alias("wanted")).distinct().select("wanted", F.array_min(F.transform(F.array(*(F.lit(x) for x in (500, 1000, 2500))), lambda r: F.struct(F.abs(r - F.col("wanted")).alias("d"), r.alias("r")))).getField("r").cast("long").alias("resolution")), "SELECT DISTINCT w AS wanted, CAST(CASE WHEN abs(w - 500) <= abs(w - 1000) AND abs(w - 500) <= abs(w - 2500) THEN 500 WHEN abs(w - 1000) <= abs(w - 2500) THEN 1000 ELSE 2500 END AS BIGINT) AS resolution FROM (SELECT x2 - x1 AS w FROM loci_b)")
 BOOK.add("set_zoom_chrom_intersection", lambda s, d: contacts(s, d).select("bin_size", "chr1").distinct().intersect(contacts(s, d, True).where("chr1 <> 2").select("bin_size", "chr1")), "SELECT DISTINCT bin_size, chr1 FROM contacts INTERSECT SELECT DISTINCT bin_size, chr1 FROM ctrl WHERE chr1 <> 2")

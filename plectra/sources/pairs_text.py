@@ -49,14 +49,21 @@ def dcic_layout(header: str) -> dict[str, int]:
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """A text file or folder; its first lines, read by one task, tell the layout."""
+    """Text files or a folder; a `#columns` line, wherever it stands, tells the layout, else the number of columns of the first pair.
+
+    Comments and empty lines may come before the first pair in any number. Without a pair there are no rows.
+    """
     lines = spark.read.text(path)
-    head = [r.value for r in lines.limit(1000).collect()]
-    columns = next((x for x in head if x.startswith("#columns")), None)
+    columns = lines.where(F.startswith("value", F.lit("#columns"))).first()
     if columns:
-        return parse_lines(lines, dcic_layout(columns))
-    first = next((x for x in head if x.strip() and not x.startswith("#")), "")
-    return parse_lines(lines, LAYOUTS[len(first.split())])
+        return parse_lines(lines, dcic_layout(columns.value))
+    first = lines.where((F.trim("value") != "") & ~F.startswith(F.ltrim("value"), F.lit("#"))).first()
+    if first is None:
+        return parse_lines(lines, LAYOUTS[4])
+    n = len(first.value.split())
+    if n not in LAYOUTS:
+        raise ValueError(f"no layout of pairs has {n} columns")
+    return parse_lines(lines, LAYOUTS[n])
 
 
 def to_lines(pairs: DataFrame, n: int) -> DataFrame:
