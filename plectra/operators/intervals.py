@@ -6,36 +6,70 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bases of a bucket of the overlap join, about the length of usual intervals.
-WIDTH = 2000
+from plectra.operators import scans as S
 
+#: Bits of the shortest bucket of the overlap join, about the length of usual intervals.
+LEAST_BITS = 11
 
-def overlap_join(a: DataFrame, b: DataFrame, own: tuple[str, str] = ("x1", "x2"), other: tuple[str, str] = ("y1", "y2"), width: int = WIDTH, how: str = "inner") -> DataFrame:
+
+def _level(x1: str, x2: str) -> Column:
+    """Bits of the shortest bucket that is as long as an interval, so that it touches two of them at most."""
+    return F.greatest(F.lit(LEAST_BITS), F.ceil(F.log2(F.greatest(F.lit(1), F.expr(f"{x2} - {x1} + 1")).cast("double")))).cast("int")
+
+
+def _levels(df: DataFrame, x1: str, x2: str) -> list[int]:
+    """The levels that intervals of a table have, some fifty at most."""
+    return sorted(r.l for r in df.select(_level(x1, x2).alias("l")).distinct().collect() if r.l is not None)
+
+
+def overlap_join(a: DataFrame, b: DataFrame, own: tuple[str, str] = ("x1", "x2"), other: tuple[str, str] = ("y1", "y2")) -> DataFrame:
     """Rows of a and b on one chromosome whose closed intervals overlap, without a product of the two.
 
-    Both sides are exploded into the buckets they touch and joined on (chr, bucket); a pair is kept only in
-    the bucket where the later of the two begins, so it appears once. Hot buckets are split by AQE.
+    Buckets come in levels of powers of two. A pair meets at the level of its longer interval, where each of the two
+    touches two buckets at most; it is kept only in the bucket where the later of them begins, so it appears once. Rows are put
+    out again for each longer level that the other side has, which are few. Hot buckets are split by AQE.
     """
     (a1, a2), (b1, b2) = own, other
-    left = a.withColumn("bucket__", F.explode(F.expr(f"sequence({a1} div {width}, {a2} div {width})")))
-    right = b.withColumn("bucket__", F.explode(F.expr(f"sequence({b1} div {width}, {b2} div {width})")))
-    first = F.expr(f"greatest({a1} div {width}, {b1} div {width})")
-    hit = left.join(right, ["chr", "bucket__"]).where((F.col(a1) <= F.col(b2)) & (F.col(b1) <= F.col(a2)) & (F.col("bucket__") == first))
-    return hit.drop("bucket__")
+    levels = _levels(a, a1, a2), _levels(b, b1, b2)
+
+    def side(df: DataFrame, x1: str, x2: str, at: list[int] | None, above: bool) -> DataFrame:
+        """Rows by bucket: at their own level, or at those of `at` that are not shorter (or longer) than it."""
+        ranked = df.withColumn("l__", _level(x1, x2))
+        if at is not None:
+            wanted = F.filter(F.array(*map(F.lit, at)), lambda v: v > F.col("l__") if above else v >= F.col("l__"))
+            ranked = ranked.withColumn("l__", F.explode(wanted))
+        first, last = (F.expr(f"shiftright(cast({x} as long), l__)") for x in (x1, x2))
+        return ranked.withColumn("bucket__", F.explode(F.sequence(first, last)))
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        begins = F.expr(f"shiftright(cast(greatest({a1}, {b1}) as long), l__)")
+        hit = left.join(right, ["chr", "l__", "bucket__"]).where((F.col(a1) <= F.col(b2)) & (F.col(b1) <= F.col(a2)) & (F.col("bucket__") == begins))
+        return hit.drop("l__", "bucket__")
+
+    out = met(side(a, a1, a2, levels[1], False), side(b, b1, b2, None, False))
+    if any(x > y for x in levels[0] for y in levels[1]):
+        out = out.unionByName(met(side(a, a1, a2, None, False), side(b, b1, b2, levels[0], True)))
+    return out
+
+
+def islands(loci: DataFrame) -> DataFrame:
+    """Distinct intervals with the number of their island: a new one starts where x1 is past every earlier end."""
+    rows = S.ranged(loci.select("chr", "x1", "x2").where("x1 is not null and x2 is not null").distinct(), ["chr"], ["x1", "x2"])
+    ends = S.prefix(rows, ["chr"], "end__", "max", F.col("x2"), False)
+    fresh = F.when(F.col("end__").isNull() | (F.col("x1") > F.col("end__")), 1).otherwise(0)
+    return S.prefix(ends, ["chr"], "island__", "sum", fresh, True).select("chr", "x1", "x2", "island__")
 
 
 def merge(loci: DataFrame) -> DataFrame:
-    """Overlapping intervals fused: a new island starts where x1 is past every earlier end."""
-    order = Window.partitionBy("chr").orderBy("x1", "x2")
-    before = F.max("x2").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.when(before.isNull() | (F.col("x1") > before), 1).otherwise(0)
-    flagged = loci.select("chr", "x1", "x2").distinct().withColumn("fresh__", fresh)
-    island = flagged.withColumn("island__", F.sum("fresh__").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy("chr", "island__").agg(F.min("x1").alias("x1"), F.max("x2").alias("x2")).drop("island__")
+    """Overlapping intervals fused."""
+    return islands(loci).groupBy("chr", "island__").agg(F.min("x1").alias("x1"), F.max("x2").alias("x2")).drop("island__")
 
 
 def merge_keep_smaller(loci: DataFrame) -> DataFrame:
-    """Like merge, but of a contained pair the inner interval stays; the state runs along each chromosome."""
+    """Like merge, but of a contained pair the inner interval stays; the state runs along each island of overlapping intervals.
+
+    An interval past every earlier end is past the state's, too, so islands are independent groups.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out: list[list[int]] = []
@@ -52,7 +86,7 @@ def merge_keep_smaller(loci: DataFrame) -> DataFrame:
                 out.append([x1, x2])
         return pd.DataFrame([(rows["chr"].iloc[0], *x) for x in out], columns=["chr", "x1", "x2"])
 
-    return loci.select("chr", "x1", "x2").groupBy("chr").applyInPandas(run, "chr long, x1 long, x2 long")
+    return islands(loci).groupBy("chr", "island__").applyInPandas(run, "chr long, x1 long, x2 long")
 
 
 def expand_small(loci: DataFrame, least: int) -> DataFrame:

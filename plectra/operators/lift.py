@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plectra.operators import scans as S
+
 #: Bases of a bucket of restriction sites.
 BUCKET = 10_000
 
@@ -69,10 +71,9 @@ def annotate_fragments(loci: DataFrame, sites: DataFrame) -> DataFrame:
 
 def place_scaffolds(order: DataFrame) -> DataFrame:
     """order(ord, signed_id, length, was_inverted) -> current start (1-based running sum) and orientation."""
-    before = Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("length").over(before), F.lit(0)) + 1
+    placed = S.cumulative(order, [], ["ord"], "before__", F.col("length"), inclusive=False)
     flipped = (F.col("signed_id") < 0) != F.col("was_inverted")
-    return order.select("ord", F.abs("signed_id").alias("id"), "length", start.alias("cur_start"), flipped.alias("inverted"))
+    return placed.select("ord", F.abs("signed_id").alias("id"), "length", (F.col("before__") + 1).alias("cur_start"), flipped.alias("inverted"))
 
 
 def _lift_axis(cells: DataFrame, scaffolds: DataFrame, bin_size: int, axis: str) -> DataFrame:
@@ -80,7 +81,7 @@ def _lift_axis(cells: DataFrame, scaffolds: DataFrame, bin_size: int, axis: str)
     s = scaffolds.select("orig_start", "length", "cur_start", "inverted")
     first, last = F.expr(f"(orig_start - 1 + {bin_size} - 1) div {bin_size}"), F.expr(f"(orig_start + length - 2) div {bin_size}")
     own = s.withColumn(axis, F.explode(F.sequence(first, last)))
-    out = cells.join(F.broadcast(own), axis, "left")
+    out = cells.join(own, axis, "left")
     p = F.col(axis) * bin_size + 1
     forward = F.col("cur_start") + (p - F.col("orig_start"))
     backward = (F.col("cur_start") + F.col("length") - 1) - p + 2 - bin_size + F.col("orig_start") - 1
@@ -100,9 +101,8 @@ def lift_contacts(cells: DataFrame, scaffolds: DataFrame, bin_size: int) -> Data
 
 def custom_chromosome(regions: DataFrame, gap: int = 0) -> DataFrame:
     """Disjoint regions (chr, x1, x2) laid end to end: adds their start in the new chromosome."""
-    before = Window.orderBy("chr", "x1").rowsBetween(Window.unboundedPreceding, -1)
     size = F.col("x2") - F.col("x1") + gap
-    return regions.select("chr", "x1", "x2", F.coalesce(F.sum(size).over(before), F.lit(0)).alias("new_start"))
+    return S.cumulative(regions.select("chr", "x1", "x2"), [], ["chr", "x1"], "new_start", size, inclusive=False)
 
 
 def lift_track(track: DataFrame, placed: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plectra.operators import scans as S
+
 
 def all_bins(chroms: DataFrame, size: int) -> DataFrame:
     """(chr, bin) of every bin that a chromosome begins."""
@@ -72,8 +74,8 @@ def log_enrichment(vector: DataFrame, value: str = "value") -> DataFrame:
 
 def reverse_cumulative(vector: DataFrame) -> DataFrame:
     """Sum of a bin and all that follow, by chromosome."""
-    w = Window.partitionBy("chr").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
-    return vector.select("chr", "bin", F.sum("value").over(w).alias("value"))
+    rows = vector.select("chr", "bin", F.col("value").alias("own"))
+    return S.cumulative(rows, ["chr"], [-F.col("bin")], "value", F.col("own")).drop("own")
 
 
 def rank_percentile(cells: DataFrame, by: list[str], value: str = "counts") -> DataFrame:
