@@ -23,7 +23,8 @@ _MERGED = """, ord AS (SELECT chr, x1, x2, max(x2) OVER (PARTITION BY chr ORDER
 isl AS (SELECT *, sum(CASE WHEN pm IS NULL OR x1 > pm THEN 1 ELSE 0 END) OVER (PARTITION BY chr ORDER BY x1, x2 ROWS UNBOUNDED PRECEDING) AS k FROM ord), mg AS (SELECT chr, min(x1) AS x1, max(x2) AS x2 FROM isl GROUP BY chr, k)"""
 _q("iv_intersect", lambda s, a, b: I.intersect(a, b), "SELECT DISTINCT a.chr, greatest(a.x1, b.x1) AS x1, least(a.x2, b.x2) AS x2 FROM loci_a a JOIN loci_b b ON a.chr = b.chr AND a.x1 <= b.x2 AND b.x1 <= a.x2")
 _q("iv_preserve_intersect", lambda s, a, b: I.keep_intersecting(a, b), "SELECT DISTINCT a.chr, a.x1, a.x2 FROM loci_a a WHERE EXISTS (SELECT 1 FROM loci_b b WHERE a.chr = b.chr AND a.x1 <= b.x2 AND b.x1 <= a.x2)")
-_q("iv_retain_unique", lambda s, a, b: I.retain_unique(b, a), _HIT + " SELECT DISTINCT chr, x1, x2, score FROM cnt WHERE n = 1")
+_q("iv_retain_unique", lambda s, a, b: I.retain_unique(b.selectExpr("chr", "x1", "x1 + 60 AS x2"), a.selectExpr("chr", "x1", "x1 + 5 AS x2", "score")), """, h AS (SELECT a.chr, a.x1, a.x1 + 5 AS x2, score, count(*) OVER (PARTITION BY a.chr, b1) AS n
+ FROM (SELECT DISTINCT chr, x1, x1 + 5 AS x2, score FROM loci_a) a JOIN (SELECT DISTINCT chr, x1 AS b1, x1 + 60 AS b2 FROM loci_b) b ON a.chr = b.chr AND a.x1 <= b2 AND b1 <= a.x2) SELECT DISTINCT chr, x1, x2, score FROM h WHERE n = 1""")
 _q("iv_retain_multi", lambda s, a, b: I.retain_multi(b, a), _HIT + " SELECT DISTINCT chr, x1, x2, score FROM cnt WHERE n > 1")
 _q("iv_retain_best", lambda s, a, b: I.retain_best(b, a), _HIT + " SELECT DISTINCT chr, x1, x2, score FROM (SELECT *, row_number() OVER (PARTITION BY chr, b1, b2 ORDER BY score DESC, x1, x2) AS r FROM hit) WHERE r = 1")
 _q("iv_merge", lambda s, a, b: I.merge(b), _MERGED.format("loci_b") + " SELECT chr, x1, x2 FROM mg")

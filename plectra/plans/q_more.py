@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plectra.operators import assembly as S
 from plectra.operators import binning as B
 from plectra.operators import features2d as X
+from plectra.operators import loop_merge as LM
 from plectra.operators import models as M
 from plectra.operators import norm as N
 from plectra.plans import fixtures as fx
@@ -75,16 +76,37 @@ BOOK.add("loop_diff", _differential)
 BOOK.add("loop_scores", lambda s, d: rounded(_kernel(s, contacts(s, d, sizes=(2500,))).join(fx.feat_a(s, d).select(F.col("chr1").alias("chr"), F.expr("start1 div 2500").alias("i"), F.expr("start2 div 2500").alias("j")).distinct(), ["chr", "i", "j"], "left_semi"), "bl", "donut", "h", "v"))
 
 
-def _merged_resolutions(s, d):
-    def at(size):
-        cells = M.loop_filter(_kernel(s, contacts(s, d, sizes=(size,))), 1.1, 1.2, 1.3)
-        p = lambda k: F.col(k) * size
-        return cells.select(F.col("chr").alias("chr1"), p("i").alias("start1"), (p("i") + size).alias("end1"), F.col("chr").alias("chr2"), p("j").alias("start2"), (p("j") + size).alias("end2"))
-
-    fine, coarse = at(2500), at(5000)
-    confirmed = X.reproducible(coarse, fine, 5000)
-    rest = X.tolerant_join(coarse, fine, 5000, "left_anti")
-    return confirmed.select(*X.COORDS).unionByName(rest.select(*X.COORDS)).distinct()
-
-
-BOOK.add("loop_merge_res", _merged_resolutions)
+#: Loops of several bin sizes, spread over ten million bases: parts dealt over the sizes, coarse ones moved a little.
+def _loops_of(s, d, sizes):
+    at = fx.feat_a(s, d).withColumns({"k": F.col("p_partkey") % len(sizes), "start1": (F.col("p_partkey") * 7919 % 2000) * 5000})
+    at = at.withColumn("start2", F.col("start1") + (2 + F.col("p_partkey") * 13 % 60) * 5000)
+    out = {}
+    for k, size in enumerate(sizes):
+        own = at.where(F.col("k") == k).withColumns({c: F.col(c) + F.col("p_size") % 8 * size for c in ("start1", "start2")})
+        own = own.withColumns({"end1": F.col("start1") + size, "end2": F.col("start2") + size, "observed": (F.col("p_partkey") % 130).cast("double")})
+        out[size] = own.select(*X.COORDS, "observed")
+    return out
+
+
+def _loops_sql(sizes):
+    parts = [f"""SELECT 1 + p_partkey % 3 AS chr1, st AS start1, st + {z} AS end1, 1 + p_partkey % 3 AS chr2, en AS start2, en + {z} AS end2, CAST(p_partkey % 130 AS DOUBLE) AS observed, CAST({z} AS BIGINT) AS bin_size
+ FROM (SELECT *, (p_partkey * 7919 % 2000) * 5000 + p_size % 8 * {z} AS st, (p_partkey * 7919 % 2000) * 5000 + (2 + p_partkey * 13 % 60) * 5000 + p_size % 8 * {z} AS en FROM part) WHERE p_partkey % {len(sizes)} = {k}""" for k, z in enumerate(sizes)]
+    lists = ", ".join(f"l{z} AS (SELECT * FROM lp WHERE bin_size = {z} QUALIFY row_number() OVER (PARTITION BY chr1, start1, end1, chr2, start2, end2 ORDER BY observed) = 1)" for z in sizes)
+    return f"WITH lp AS ({' UNION ALL '.join(parts)}), {lists}"
+
+
+def _near_sql(a, other, radius):
+    return f"EXISTS (SELECT 1 FROM {other} o WHERE o.chr1 = {a}.chr1 AND o.chr2 = {a}.chr2 AND sqrt(pow(o.start1 - {a}.start1, 2) + pow(o.start2 - {a}.start2, 2)) <= {radius})"
+
+
+_FIRST, _SECOND = (5000, 10000, 25000), (1000, 2000, 5000, 10000)
+_PLACED = "SELECT DISTINCT chr1, start1, end1, chr2, start2, end2, bin_size FROM "
+BOOK.add("loop_merge_res", lambda s, d: LM.merge_resolutions(_loops_of(s, d, _FIRST)).select(*X.COORDS, "bin_size"), f"""{_loops_sql(_FIRST)},
+m AS (SELECT * FROM l5000 WHERE {_near_sql('l5000', 'l10000', 20000)} OR abs(start1 - start2) < 110000 OR observed > 100 UNION ALL SELECT * FROM l10000 WHERE NOT {_near_sql('l10000', 'l5000', 20000)})
+{_PLACED} (SELECT * FROM m UNION ALL SELECT * FROM l25000 WHERE NOT {_near_sql('l25000', 'm', 50000)})""", prelude=False)
+BOOK.add("loop_merge_res_fine", lambda s, d: LM.merge_resolutions(_loops_of(s, d, _SECOND), second=True).select(*X.COORDS, "bin_size"), f"""{_loops_sql(_SECOND)},
+alone AS (SELECT * FROM l2000 WHERE NOT {_near_sql('l2000', 'l1000', 4000)}),
+m AS (SELECT * FROM l1000 WHERE {_near_sql('l1000', 'l2000', 4000)} OR {_near_sql('l1000', 'l5000', 10000)} OR abs(start1 - start2) < 50000 OR observed > 20
+ UNION ALL SELECT * FROM alone WHERE {_near_sql('alone', 'l5000', 10000)} OR abs(start1 - start2) < 80000 OR observed > 40
+ UNION ALL SELECT * FROM l5000 WHERE NOT {_near_sql('l5000', 'l1000', 10000)} AND NOT {_near_sql('l5000', 'l2000', 10000)})
+{_PLACED} (SELECT * FROM m UNION ALL SELECT * FROM l10000 WHERE NOT {_near_sql('l10000', 'm', 20000)})""", prelude=False)
