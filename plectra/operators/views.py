@@ -30,6 +30,22 @@ def one_map(contacts: DataFrame, chroms: DataFrame, of: DataFrame | None = None)
     return cells.select(*KEYS, F.col("counts").alias("o"), F.col("expected").alias("e"), e0.alias("e0"), F.col("average_count").alias("a"))
 
 
+def expected_window(chroms: DataFrame, expected: DataFrame, averages: DataFrame, bin_size: int, chr1: int, x1: int, x2: int, chr2: int, y1: int, y2: int) -> DataFrame:
+    """(KEYS, value): the expectation of every cell of a window, whether a count is stored there or not.
+
+    Bins begin in the closed ranges and before their chromosomes' ends. A row of the window is a task's unit of work at least.
+    """
+    def bins(idx: int, low: int, high: int, name: str) -> DataFrame:
+        span = f"sequence({-(-low // bin_size)}L, least({high // bin_size}L, (len - 1) div {bin_size}))"
+        return chroms.where(F.col("idx") == idx).where(f"{-(-low // bin_size)} <= least({high // bin_size}L, (len - 1) div {bin_size})").select(F.explode(F.expr(span)).alias(name))
+
+    rows = bins(chr1, x1, x2, "bin_x").repartition("bin_x").withColumns({"chr1": F.lit(chr1).cast("long"), "chr2": F.lit(chr2).cast("long"), "bin_size": F.lit(bin_size).cast("long")})
+    # One chromosome's bins at most stand on the other side; each row of the window is put out with all of its columns.
+    columns = bins(chr2, y1, y2, "bin_y").agg(F.min("bin_y").alias("a"), F.max("bin_y").alias("b")).where("a is not null")
+    cells = rows.crossJoin(F.broadcast(columns)).withColumn("bin_y", F.explode(F.sequence("a", "b"))).drop("a", "b")
+    return E.with_expected(cells, expected, averages).select(*KEYS, F.col("expected").alias("value"))
+
+
 def two_maps(contacts: DataFrame, control: DataFrame, chroms: DataFrame) -> DataFrame:
     """Cells that both maps have."""
     other = one_map(control, chroms).select(*KEYS, F.col("o").alias("c"), F.col("e").alias("ec"), F.col("e0").alias("ec0"), F.col("a").alias("ac"))

@@ -16,6 +16,7 @@ from plectra.sources import map_file as MF
 from plectra.sources import matrix_files as MX
 from plectra.sources import pairs_binary as R
 from plectra.sources import pairs_text as P
+from plectra.sources import phased as PH
 from plectra.sources import raw_files as RF
 from plectra.sources import store as ST
 
@@ -230,3 +231,18 @@ def _stored_vectors(s, d):
 
 BOOK.add("sink_norm_footer", _stored_vectors, """, nv AS (SELECT c.*, counts / (v1.value * v2.value) AS nvalue FROM contacts c JOIN vc v1 ON v1.bin_size = c.bin_size AND v1.chr = c.chr1 AND v1.bin = bin_x JOIN vc v2 ON v2.bin_size = c.bin_size AND v2.chr = c.chr2 AND v2.bin = bin_y)
 SELECT chr1, chr2, bin_size, bin_x, bin_y, round(nvalue, 6) AS counts FROM nv WHERE bin_size = 10000""")
+
+
+# Phased scaffolds: a variant each supplier, rows of three.
+def _psf(s, d):
+    own = fx.table(s, d, "supplier").withColumn("id", F.col("s_suppkey") + 1)
+    head = own.select(F.struct(F.lit(0).alias("k"), F.col("id").alias("at")).alias("seq"), F.concat(F.lit(">"), F.concat_ws(" ", F.concat(F.lit("n"), "s_nationkey"), F.col("id") * 10, F.lit("A"), F.lit("C"), "id"), F.lit("\n")).alias("content"))
+    rows = own.groupBy(F.expr("s_suppkey div 3").alias("g")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", F.expr("if(s_suppkey % 3 = 0, -id, id) AS v")))), lambda x: x.getField("v").cast("string")), " ").alias("line"))
+    lines = head.unionByName(rows.select(F.struct(F.lit(1).alias("k"), F.col("g").cast("long").alias("at")).alias("seq"), F.concat("line", F.lit("\n")).alias("content")))
+    return PH.read_psf(s, _written(s, lines.withColumn("path", F.lit("in.psf"))))
+
+
+_PSF = """, v AS (SELECT CAST(s_suppkey AS BIGINT) AS k, CAST(s_suppkey AS BIGINT) + 1 AS id, CAST(CASE WHEN s_suppkey % 3 = 0 THEN -1 ELSE 1 END AS BIGINT) AS sg, s_nationkey AS nk FROM supplier)"""
+BOOK.add("src_psf", lambda s, d: PH.psf_order(_psf(s, d)), _PSF + """ SELECT 2 * (k // 3) + o + 1 AS grp, 2 * 3 * (k // 3) + o * count(*) OVER (PARTITION BY k // 3, o) + k % 3 + 1 AS ord,
+ CASE WHEN (sg > 0) = (o = 0) THEN 2 * id - 1 ELSE 2 * id END AS signed_id, CAST(1000 AS BIGINT) AS length FROM v, range(0, 2) r(o)""")
+BOOK.add("sink_psf", lambda s, d: _lines_written(s, PH.psf_lines(PH.psf_scaffolds(_psf(s, d)), PH.psf_order(_psf(s, d)))), _PSF + """ SELECT '>n' || nk || ' ' || id * 10 || ' A C ' || id AS value FROM v UNION ALL SELECT string_agg(CAST(sg * id AS VARCHAR), ' ' ORDER BY id) FROM v GROUP BY k // 3""")
