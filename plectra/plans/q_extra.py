@@ -9,7 +9,7 @@ from plectra.operators import binning as B
 from plectra.operators import elementwise as W
 from plectra.operators import intervals as I
 from plectra.operators import motifs as MO
-from plectra.operators import balancing as W
+from plectra.operators import balancing
 from plectra.operators import norm as N
 from plectra.operators import tracks as T
 from plectra.operators import triples as TR
@@ -199,7 +199,7 @@ def _scaled_to_target(s, d):
     """Row sums of the map scaled to the control's coverage, next to that coverage; both as shares of their chromosome."""
     c = held(s, d, sizes=(10000,))
     target = stored(N.row_sums(contacts(s, d, True, (10000,))))
-    vector = W.scale(c, target)
+    vector = balancing.scale(c, target)
     sums = N.row_sums(N.normalize(c, vector))
     both = sums.join(target.withColumnRenamed("value", "wanted"), ["bin_size", "chr", "bin"])
     total = both.groupBy("chr").agg(F.sum("value").alias("t"), F.sum("wanted").alias("w"))
