@@ -318,7 +318,7 @@ def localize(windows: DataFrame, half: int, peaks: int = 1, reach: int = 2, radi
         m = np.zeros((n, n))
         m[rows["i"].to_numpy(), rows["j"].to_numpy()] = rows["counts"].to_numpy()
         smooth, mean = K.blur(m, radius), max(m.mean(), 1e-9)
-        found = K.local_maxima(2 * (np.sqrt(smooth) - np.sqrt(mean)), reach)
+        found = K.local_maxima(2 * (np.sqrt(np.maximum(smooth, 0)) - np.sqrt(mean)), reach)
         ranked = sorted((min(1.0, len(found) * K.upper_tail(int(round(m[i, j])), mean)), i, j) for i, j in found)
         keys = [int(rows[k].iloc[0]) for k in ("chr1", "chr2", "m1", "m2")]
         out = [(*keys, k + 1, i, j, float(m[i, j]), p) for k, (p, i, j) in enumerate(r for r in ranked[:peaks] if r[0] <= max_p)]
