@@ -23,7 +23,7 @@ LAYOUTS = {
     "enriched": ["observed", "expectedBL", "expectedDonut", "expectedH", "expectedV", "binBL", "binDonut", "binH", "binV", "fdrBL", "fdrDonut", "fdrH", "fdrV"],
     "final": ["observed", "expectedBL", "expectedDonut", "expectedH", "expectedV", "fdrBL", "fdrDonut", "fdrH", "fdrV", "numCollapsed", "centroid1", "centroid2", "radius"],
     "localized": ["highRes_start_1", "highRes_end_1", "highRes_start_2", "highRes_end_2", "localX", "localY", "localObserved", "localPval", "localPeakID"],
-    "arrowhead": ["score", "uVarScore", "lVarScore", "upSign", "loSign"],
+    "domains": ["score", "uVarScore", "lVarScore", "upSign", "loSign"],
 }
 
 

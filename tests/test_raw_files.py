@@ -35,8 +35,8 @@ def test_bytes(spark, cells, tmp_path):
     RF.write_files(FF.fixed_step(vector), f"{tmp_path}/w")
     assert on_disk(f"{tmp_path}/w") == {"1_10.wig": b"fixedStep chrom=1 start=1 step=10 span=10\n1.5\n2.0\nfixedStep chrom=1 start=41 step=10 span=10\n3.0\n"}
     loop = spark.createDataFrame([(1, 10, 20, 1, 50, 60, "1,2,3", {"score": "9", "upSign": "1"})], "chr1 long, start1 long, end1 long, chr2 long, start2 long, end2 long, color string, attributes map<string,string>")
-    RF.write_files(FF.features(loop, "arrowhead"), f"{tmp_path}/f")
-    head = "\t".join([*FF.FEATURE, *FF.LAYOUTS["arrowhead"]])
+    RF.write_files(FF.features(loop, "domains"), f"{tmp_path}/f")
+    head = "\t".join([*FF.FEATURE, *FF.LAYOUTS["domains"]])
     assert on_disk(f"{tmp_path}/f") == {"1_1.bedpe": f"{head}\n1\t10\t20\t1\t50\t60\t.\t.\t.\t.\t1,2,3\t9\tnull\tnull\t1\tnull\n".encode()}
 
 
