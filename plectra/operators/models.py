@@ -1,4 +1,4 @@
-"""Operators with a dense or sequential kernel: loops, domains, localisation; and the difference of compartments.
+"""Operators with a dense or sequential kernel: loops, localisation; and the difference of compartments.
 
 Each runs the kernel once a chromosome, tile or window, inside a grouped pandas function; groups are bounded by tile sizes.
 """
@@ -10,7 +10,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plectra.kernels import dense as D
 from plectra.kernels import peaks as K
 from plectra.operators.binning import mirrored
 
@@ -27,12 +26,6 @@ def loop_settings(spark: SparkSession, second: bool = False) -> DataFrame:
     return spark.createDataFrame(SECOND_LOOPS if second else FIRST_LOOPS, "bin_size long, fdr long, peak long, window long, radius long")
 
 
-def _intra(cells: DataFrame, chroms: DataFrame, value: str) -> DataFrame:
-    """(chr, n, i, j, value) of upper triangles, n bins each."""
-    own = cells.where("chr1 = chr2").join(F.broadcast(chroms.select(F.col("idx").alias("chr1"), "len")), "chr1")
-    return own.select("bin_size", F.col("chr1").alias("chr"), F.expr("(len - 1) div bin_size + 1").alias("n"), F.col("bin_x").alias("i"), F.col("bin_y").alias("j"), F.col(value).alias("value"))
-
-
 def compartment_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """(chr, bin, same, different): difference of two eigenvectors after b's sign follows the majority of a's."""
     keys = ["bin_size", "chr", "bin"]
@@ -236,68 +229,6 @@ def loop_significant(tested: DataFrame, thresholds: DataFrame) -> DataFrame:
     return out.select("chr", "i", "j", "observed", *(f"p_{m}" for m in K.MASKS))
 
 
-def _block_windows(cells: DataFrame, chroms: DataFrame, width: int) -> DataFrame:
-    """Cells by the windows w of `width` bins along the diagonal, each beginning half a width after the one before."""
-    step = width // 2
-    both = _intra(cells, chroms, "counts").where(F.col("j") - F.col("i") < width)
-    ends = both.withColumn("w", F.explode(F.expr(f"filter(sequence((j div {step}) - 1, i div {step}), w -> w >= 0)")))
-    return ends.where(F.expr(f"i >= w * {step} and j < w * {step} + {width}"))
-
-
-def _block_scores(rows: pd.DataFrame, width: int, gap: int, limits: tuple[float, float]) -> tuple[int, np.ndarray]:
-    """First bin of a window, and its blocks' scores."""
-    base = int(rows["w"].iloc[0]) * (width // 2)
-    n = min(width, int(rows["n"].iloc[0]) - base)
-    m = D.dense(rows["i"].to_numpy() - base, rows["j"].to_numpy() - base, rows["value"].to_numpy(), max(n, 1))
-    return base, D.triangle_scores(D.directionality(m, gap), *limits)
-
-
-def domains(cells: DataFrame, chroms: DataFrame, width: int = 2000, gap: int = 7, limits: tuple[float, float] = (0.2, 0.4)) -> DataFrame:
-    """(chr, start, end, score): corners of square domains, from windows of `width` bins that overlap by half.
-
-    Each window is one group; corners found twice keep the larger score. limits: most variance and least agreement
-    of signs of a block.
-    """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        base, score = _block_scores(rows, width, gap, limits)
-        labels = D.components8(score > 0)
-        out = []
-        for k in range(1, labels.max(initial=0) + 1):
-            i, j = np.unravel_index(np.argmax(np.where(labels == k, score, -np.inf)), score.shape)
-            out.append((rows["chr"].iloc[0], rows["bin_size"].iloc[0], base + int(i), base + int(j), float(score[i, j])))
-        return pd.DataFrame(out, columns=["chr", "bin_size", "i", "j", "score"])
-
-    windows = _block_windows(cells, chroms, width).groupBy("chr", "bin_size", "w")
-    best = windows.applyInPandas(run, "chr long, bin_size long, i long, j long, score double").groupBy("chr", "bin_size", "i", "j").agg(F.max("score").alias("score"))
-    return best.select("chr", (F.col("i") * F.col("bin_size")).alias("start"), (F.col("j") * F.col("bin_size")).alias("end"), "score")
-
-
-def domain_scores(cells: DataFrame, chroms: DataFrame, boxes: DataFrame, width: int = 2000, gap: int = 7, limits: tuple[float, float] = (0.2, 0.4)) -> DataFrame:
-    """(chr, start1, end1, start2, end2, score) of given boxes: the largest block score inside, over all windows that hold them.
-
-    boxes: (chr, start1, end1, start2, end2) in bases, ends left out; equal ones are one. A box without a scored block has 0,
-    one that no window holds (longer than half a width, or off the map) is left out.
-    """
-    step = width // 2
-    keys = ["chr", "start1", "end1", "start2", "end2"]
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        base, score = _block_scores(rows, width, gap, limits)
-        i, j = np.nonzero(score)
-        return pd.DataFrame({"chr": rows["chr"].iloc[0], "bin_size": rows["bin_size"].iloc[0], "w": rows["w"].iloc[0], "i": i + base, "j": j + base, "score": score[i, j]})
-
-    grouped = _block_windows(cells, chroms, width).groupBy("chr", "bin_size", "w")
-    scored = grouped.applyInPandas(run, "chr long, bin_size long, w long, i long, j long, score double")
-    sizes = cells.select("bin_size").distinct()
-    binned = boxes.select(*keys).distinct().crossJoin(F.broadcast(sizes)).join(F.broadcast(chroms.select(F.col("idx").alias("chr"), "len")), "chr")
-    at = binned.selectExpr(*keys, "bin_size", "len", "start1 div bin_size AS a1", "(end1 - 1) div bin_size AS b1", "start2 div bin_size AS a2", "(end2 - 1) div bin_size AS b2")
-    held = at.where("a1 >= 0 and end2 <= len").withColumn("w", F.explode(F.expr(f"filter(sequence(b2 div {step} - 1, a1 div {step}), w -> w >= 0 and a1 >= w * {step} and b2 < w * {step} + {width})")))
-    rows = held.withColumn("i", F.explode(F.sequence("a1", "b1")))
-    inside = rows.join(scored, ["chr", "bin_size", "w", "i"], "left")
-    return inside.groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col("j").between(F.col("a2"), F.col("b2")), F.col("score"))), F.lit(0.0)).alias("score"))
-
-
 def directionality(cells: DataFrame, gap: int = 7) -> DataFrame:
     """(chr, bin_size, i, d, value): (A - B) / (A + B) of upstream and downstream cells at the same distance."""
     up = cells.where("chr1 = chr2").select("bin_size", F.col("chr1").alias("chr"), F.col("bin_y").alias("i"), (F.col("bin_y") - F.col("bin_x")).alias("d"), F.col("counts").alias("a"))

@@ -8,6 +8,7 @@ from plectra.operators import apa as A
 from plectra.operators import balancing as W
 from plectra.operators import binning as B
 from plectra.operators import correlation as C
+from plectra.operators import domains as O
 from plectra.operators import expected as E
 from plectra.operators import models as M
 from plectra.operators import norm as N
@@ -54,16 +55,23 @@ _q("q_pearson", lambda s, c: rounded(B.mirrored(C.pearson(_oe(s, c), fx.chroms(s
 _q("dom_directionality", lambda s, c: rounded(M.directionality(c, 7), "value"), """, u AS (SELECT bin_size, chr1 AS chr, bin_y AS i, bin_y - bin_x AS d, counts AS a FROM contacts WHERE chr1 = chr2 AND bin_size = 2500 AND bin_y - bin_x >= 7),
 w AS (SELECT bin_size, chr1 AS chr, bin_x AS i, bin_y - bin_x AS d, counts AS b FROM contacts WHERE chr1 = chr2 AND bin_size = 2500 AND bin_y - bin_x >= 7)
 SELECT chr, bin_size, i, d, round((coalesce(a, 0) - coalesce(b, 0)) / (coalesce(a, 0) + coalesce(b, 0)), 6) AS value FROM u FULL JOIN w USING (bin_size, chr, i, d)""", (2500,))
-#: Most variance and least agreement of signs of a block: loose, as the tables' contacts have no real domains.
-_LOOSE = (2.0, 0.0)
+#: Length of the domains that the pairs are folded into.
+_DOMAIN = 40_000
+
+
+def _domain_cells(s, d, size=2000):
+    """A map with domains: the second end of a pair goes to some place of its first end's domain."""
+    folded = fx.pairs(s, d).withColumns({"chr2": F.col("chr1"), "pos2": F.expr(f"pos1 - pos1 % {_DOMAIN} + pmod(xxhash64(pos1, pos2, score), {_DOMAIN})")})
+    return B.bin_contacts(folded, [size])
 
 
 def _boxes(s, d):
     return fx.feat_a(s, d).where("chr1 = chr2").select(F.col("chr1").alias("chr"), "start1", "end1", "start2", "end2")
 
 
-_q("dom_sliding", lambda s, c: rounded(M.domains(c, fx.chroms(s), width=40, gap=3, limits=_LOOSE), "score", digits=4), None, (5000,))
-BOOK.add("dom_score_list", lambda s, d: rounded(M.domain_scores(contacts(s, d, sizes=(5000,)), fx.chroms(s), _boxes(s, d), 40, 3, _LOOSE), "score", digits=4))
+BOOK.add("dom_sliding", lambda s, d: rounded(O.domains(_domain_cells(s, d), fx.chroms(s), width=50, gap=3, smallest=10), *O.VALUES, digits=4))
+BOOK.add("dom_threshold", lambda s, d: rounded(O.found_blocks(_domain_cells(s, d), fx.chroms(s), width=50, gap=3), *O.VALUES, digits=4))
+BOOK.add("dom_score_list", lambda s, d: rounded(O.domain_scores(contacts(s, d, sizes=(5000,)), fx.chroms(s), _boxes(s, d), 40, 3), "score", digits=4))
 
 
 def _kernel(s, c):

@@ -74,26 +74,3 @@ def test_a_loop_needs_pixels_or_low_rates(spark):
     columns = "chr long, i long, j long, observed double, bl double, donut double, h double, v double, fdr_bl double, fdr_donut double, fdr_h double, fdr_v double"
     got = models.loop_calls(spark.createDataFrame(rows, columns), 10, 20, fdr_sum=0.02).collect()
     assert sorted((r.i, r.j, r.pixels) for r in got) == [(1, 5, 1), (30, 40, 2)]
-
-
-def test_boxes_have_the_largest_score_of_their_windows(spark):
-    from plectra.kernels import dense
-
-    rng = np.random.default_rng(4)
-    n, width, limits = 50, 20, (2.0, 0.0)
-    m = np.triu(rng.poisson(4, (n, n))).astype(float)
-    cells = [(1, 1, 10, int(i), int(j), float(m[i, j])) for i, j in np.argwhere(m)]
-    c = spark.createDataFrame(cells, "chr1 long, chr2 long, bin_size long, bin_x long, bin_y long, counts double")
-    chroms = spark.createDataFrame([(1, n * 10)], "idx long, len long")
-    boxes = [(1, a, a + 30, b, b + 40) for a in range(0, 400, 30) for b in range(a, min(a + 160, 460), 50)]
-    got = {(r.start1, r.end1, r.start2, r.end2): r.score for r in models.domain_scores(c, chroms, spark.createDataFrame(boxes * 2, "chr long, start1 long, end1 long, start2 long, end2 long"), width, 2, limits).collect()}
-    full, want = m + np.triu(m, 1).T, {}
-    for w in range(0, n, width // 2):
-        part = full[w : w + width, w : w + width]
-        score = dense.triangle_scores(dense.directionality(part, 2), *limits)
-        for _, a, b, x, y in boxes:
-            if a // 10 >= w and y // 10 <= w + width:
-                box = score[a // 10 - w : b // 10 - w, x // 10 - w : y // 10 - w]
-                want[a, b, x, y] = max(want.get((a, b, x, y), 0.0), box.max(initial=0))
-    assert any(v > 0 for v in want.values()) and set(got) == set(want)
-    assert all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
