@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 
@@ -100,8 +101,18 @@ def fdr_table(hist: np.ndarray, inv_fdr: float) -> tuple[int, np.ndarray, float]
     return first, rate, total
 
 
-def clusters(x: np.ndarray, y: np.ndarray, observed: np.ndarray, radius: int) -> list[tuple[list[int], int, int, int]]:
-    """(members, the strongest first; centre x; centre y; radius) of greedy clusters of pixels.
+class Cluster(NamedTuple):
+    """Pixels, the strongest first; the centre and radius; the span of x that the cluster's circles ever covered."""
+
+    members: list[int]
+    x: int
+    y: int
+    radius: int
+    span: tuple[int, int]
+
+
+def clusters(x: np.ndarray, y: np.ndarray, observed: np.ndarray, radius: int) -> list[Cluster]:
+    """Greedy clusters of pixels.
 
     A cluster takes every pixel, in order of strength, within its radius of the running integer centre; after each one
     the centre is set anew and the radius is `radius` and the farthest member's distance. Ties: smaller x, then y.
@@ -110,6 +121,7 @@ def clusters(x: np.ndarray, y: np.ndarray, observed: np.ndarray, radius: int) ->
     out = []
     while len(rest):
         members, cx, cy, reach = [int(rest[0])], int(x[rest[0]]), int(y[rest[0]]), float(radius)
+        low, high = cx - reach, cx + reach
         taken = np.zeros(len(rest), bool)
         taken[0] = True
         at = 1
@@ -122,17 +134,13 @@ def clusters(x: np.ndarray, y: np.ndarray, observed: np.ndarray, radius: int) ->
             members.append(int(rest[k]))
             cx, cy = int(x[members].sum()) // len(members), int(y[members].sum()) // len(members)
             reach = radius + round(float(np.hypot(x[members] - cx, y[members] - cy).max()))
+            low, high = min(low, cx - reach), max(high, cx + reach)
             at = k + 1
         rest = rest[~taken]
-        out.append((members, cx, cy, int(reach)))
+        out.append(Cluster(members, cx, cy, int(reach), (int(low), int(high))))
     return out
 
 
-def coalesce(x: np.ndarray, y: np.ndarray, observed: np.ndarray, res: int, radius: int) -> list[tuple[int, int, int, int, float]]:
-    """(middle of the centre's bin x, y, radius, pixels, observed) of greedy clusters."""
-    return [(cx + res // 2, cy + res // 2, reach, len(m), float(observed[m[0]])) for m, cx, cy, reach in clusters(x, y, observed, radius)]
-
-
 def upper_tails(k: np.ndarray, lam: np.ndarray) -> np.ndarray:
     """P(X >= k) of Poisson variables; NaN where the mean is not finite.
 
@@ -166,23 +174,66 @@ def upper_tail(k: int, lam: float) -> float:
     return float(upper_tails(np.array([k]), np.array([lam]))[0])
 
 
-def blur(m: np.ndarray, radius: int, times: int = 3) -> np.ndarray:
-    """Repeated box blur, close to a Gaussian; edges repeat the border."""
-    out = m.astype(float)
+def box_blur(m: np.ndarray, radius: int) -> np.ndarray:
+    """Means of squares of 2 radius + 1 cells; edges repeat the border."""
     size = 2 * radius + 1
-    for _ in range(times):
-        t = _table(np.pad(out, radius, mode="edge"))
-        out = (t[size:, size:] - t[:-size, size:] - t[size:, :-size] + t[:-size, :-size]) / size**2
-    return out
+    t = _table(np.pad(m.astype(float), radius, mode="edge"))
+    return (t[size:, size:] - t[:-size, size:] - t[size:, :-size] + t[:-size, :-size]) / size**2
 
 
-def local_maxima(score: np.ndarray, reach: int) -> list[tuple[int, int]]:
-    """Cells that no cell within `reach` exceeds; of equal ones the first in row order stays."""
-    out = []
-    n, k = score.shape
-    for i in range(n):
-        for j in range(k):
-            part = score[max(0, i - reach) : i + reach + 1, max(0, j - reach) : j + reach + 1]
-            if score[i, j] > 0 and score[i, j] >= part.max() and not any(abs(i - a) <= reach and abs(j - b) <= reach for a, b in out):
-                out.append((i, j))
-    return out
+def box_radii(sigma: int, boxes: int = 3) -> list[int]:
+    """Radii of boxes that one after the other come near a Gaussian: odd widths around the ideal one, the smaller first.
+
+    As many have the smaller width as bring the variance, (width^2 - 1) / 12 each, nearest from above.
+    """
+    variance = 12 * sigma * sigma
+    low = math.isqrt(variance // boxes + 1)
+    low -= low % 2 == 0
+    smaller = (boxes * (low + 1) * (low + 3) - variance) // (4 * low + 4)
+    return [(low if k < smaller else low + 2) // 2 for k in range(boxes)]
+
+
+def gauss_blur(m: np.ndarray, sigma: int) -> np.ndarray:
+    for radius in box_radii(sigma):
+        m = box_blur(m, radius)
+    return m
+
+
+def _largest_around(m: np.ndarray, reach: int) -> np.ndarray:
+    for axis in (0, 1):
+        pad = [(reach, reach) if k == axis else (0, 0) for k in (0, 1)]
+        m = np.lib.stride_tricks.sliding_window_view(np.pad(m, pad, constant_values=-1), 2 * reach + 1, axis).max(-1)
+    return m
+
+
+def local_peaks(raw: np.ndarray, normed: np.ndarray, window: int, max_p: float) -> list[tuple[int, int, float, float]]:
+    """(row, column, observed, p) of a map's peaks, the most significant first; of equal ones the higher score, then row order.
+
+    Observed are the contacts within `window` of a cell. Expected is the bias of a place: observed over the normalised map, blurred, with as
+    many contacts in all. A peak has the highest 2 (sqrt observed - sqrt expected) within `window`, ties by coins with a fixed seed; p is its
+    Poisson tail times the number of peaks. Cells within `window` of the border are compared with, but are no peaks.
+    """
+    observed = np.rint(box_blur(raw, window) * (2 * window + 1) ** 2)
+    smooth = gauss_blur(normed, window)
+    total = observed.sum()
+    if total <= 0 or smooth.sum() <= 0:
+        return []
+    smooth = smooth * (total / smooth.sum())
+    known = smooth > 1e-9 * smooth.max()
+    observed = np.where(known, observed, 0.0)
+    expected = np.where(known, observed / np.where(known, smooth, 1.0), 0.0)
+    if expected.sum() <= 0:
+        return []
+    expected *= total / expected.sum()
+    score = 2 * (np.sqrt(observed) - np.sqrt(expected))
+    coins = np.random.default_rng(0).random(score.shape)
+    order = np.empty(score.size, np.int64)
+    order[np.lexsort((coins.ravel(), np.round(score, 9).ravel()))] = np.arange(score.size)
+    order = order.reshape(score.shape)
+    peak = (order == _largest_around(order, window)) & (observed > 0)
+    inside = np.zeros_like(peak)
+    inside[window : len(raw) - window, window : len(raw) - window] = True
+    i, j = np.nonzero(peak & inside)
+    p = upper_tails(observed[i, j].astype(np.int64), expected[i, j]) * len(i)
+    ranked = sorted((float(p[k]), -float(score[i[k], j[k]]), int(i[k]), int(j[k]), float(observed[i[k], j[k]])) for k in range(len(i)) if p[k] <= max_p)
+    return [(a, b, o, q) for q, _, a, b, o in ranked]

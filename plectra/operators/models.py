@@ -1,4 +1,4 @@
-"""Operators with a dense or sequential kernel: loops, localisation; and the difference of compartments.
+"""Operators with a dense or sequential kernel: loops; and the difference of compartments.
 
 Each runs the kernel once a chromosome, tile or window, inside a grouped pandas function; groups are bounded by tile sizes.
 """
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from plectra.kernels import peaks as K
 from plectra.operators.binning import mirrored
+from plectra.operators.intervals import islands
+from plectra.plans.storage import discard, stored
 
 #: Rows of expectations of the second generation of loop calls, and those for expectations under one.
 ROWS, ROWS_BELOW = 50, 11
@@ -111,17 +113,35 @@ def loop_enriched(kernel: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def loop_coalesce(pixels: DataFrame, res: int, radius: int) -> DataFrame:
-    """(chr, x, y, radius, pixels, observed, i, j) of greedy clusters of called pixels; (i, j) is the strongest pixel's bin."""
+    """(chr, x, y, radius, pixels, observed, i, j) of greedy clusters of called pixels; (i, j) is the strongest pixel's bin.
+
+    Groups are islands: pixels whose circles of `radius` overlap along x. Clusters grow, so each group tells the span that its
+    circles covered; groups whose spans overlap are one in the next turn, until none do. No circle ever reached another
+    group's pixel then, so the clusters are those of the whole chromosome in one pass. Spans are a row a group.
+    """
+    half = res // 2
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         i, j, o = (rows[c].to_numpy() for c in ("i", "j", "observed"))
         found = K.clusters(i * res, j * res, o, radius)
-        half = res // 2
-        out = [(rows["chr"].iloc[0], cx + half, cy + half, reach, len(m), o[m[0]], i[m[0]], j[m[0]]) for m, cx, cy, reach in found]
-        return pd.DataFrame(out, columns=["chr", "x", "y", "radius", "pixels", "observed", "i", "j"])
-
-    schema = "chr long, x long, y long, radius long, pixels long, observed double, i long, j long"
-    return pixels.groupBy("chr").applyInPandas(run, schema)
+        chr_, group = rows["chr"].iloc[0], rows["group__"].iloc[0]
+        out = [(chr_, c.x + half, c.y + half, c.radius, len(c.members), o[c.members[0]], i[c.members[0]], j[c.members[0]], group, *c.span) for c in found]
+        return pd.DataFrame(out, columns=["chr", "x", "y", "radius", "pixels", "observed", "i", "j", "group__", "x1", "x2"])
+
+    schema = "chr long, x long, y long, radius long, pixels long, observed double, i long, j long, group__ long, x1 long, x2 long"
+    keys = ["chr", "x1", "x2"]
+    at = pixels.select("chr", "i", "j", "observed", (F.col("i") * res - radius).alias("x1"), (F.col("i") * res + radius).alias("x2"))
+    grouped = stored(at.join(islands(at).withColumnRenamed("island__", "group__"), keys).drop("x1", "x2"))
+    while True:
+        found = stored(grouped.groupBy("chr", "group__").applyInPandas(run, schema))
+        spans = found.groupBy("chr", "group__").agg(F.min("x1").alias("x1"), F.max("x2").alias("x2"))
+        turned = stored(spans.join(islands(spans), keys).select("chr", "group__", "island__"))
+        if turned.count() == turned.select("chr", "island__").distinct().count():
+            discard(grouped, turned)
+            return found.drop("group__", "x1", "x2")
+        new = stored(grouped.join(turned, ["chr", "group__"]).drop("group__").withColumnRenamed("island__", "group__"))
+        discard(grouped, found, turned)
+        grouped = new
 
 
 def loop_filter(enriched: DataFrame, sides: float = 1.5, corner: float = 1.75, donut_corner: float = 2.0, fdr_sum: float | None = None) -> DataFrame:
@@ -237,28 +257,6 @@ def directionality(cells: DataFrame, gap: int = 7) -> DataFrame:
     return both.where("a + b > 0").select("chr", "bin_size", "i", "d", ((F.col("a") - F.col("b")) / (F.col("a") + F.col("b"))).alias("value"))
 
 
-def localize(windows: DataFrame, half: int, peaks: int = 1, reach: int = 2, radius: int = 1, max_p: float = 0.5) -> DataFrame:
-    """Best local maxima inside each feature's window: (chr1, chr2, m1, m2, rank, i, j, observed, p).
-
-    windows: cells (chr1, chr2, m1, m2, i, j, counts) around a feature, as aggregate peak analysis extracts them.
-    The score is 2 (sqrt o - sqrt e) of blurred counts over the window's mean; p is a Poisson tail, Bonferroni-corrected.
-    """
-    n = 2 * half + 1
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        m = np.zeros((n, n))
-        m[rows["i"].to_numpy(), rows["j"].to_numpy()] = rows["counts"].to_numpy()
-        smooth, mean = K.blur(m, radius), max(m.mean(), 1e-9)
-        found = K.local_maxima(2 * (np.sqrt(np.maximum(smooth, 0)) - np.sqrt(mean)), reach)
-        ranked = sorted((min(1.0, len(found) * K.upper_tail(int(round(m[i, j])), mean)), i, j) for i, j in found)
-        keys = [int(rows[k].iloc[0]) for k in ("chr1", "chr2", "m1", "m2")]
-        out = [(*keys, k + 1, i, j, float(m[i, j]), p) for k, (p, i, j) in enumerate(r for r in ranked[:peaks] if r[0] <= max_p)]
-        return pd.DataFrame(out, columns=["chr1", "chr2", "m1", "m2", "rank", "i", "j", "observed", "p"])
-
-    schema = "chr1 long, chr2 long, m1 long, m2 long, rank long, i long, j long, observed double, p double"
-    return windows.groupBy("chr1", "chr2", "m1", "m2").applyInPandas(run, schema)
-
-
 def thinned(contacts: DataFrame, share: float, seed: int = 0) -> DataFrame:
     """Binomial thinning of counts, seeded by each cell's key, so that a repeated task draws the same."""
 

@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plectra.operators import apa as A
 from plectra.operators import balancing as W
 from plectra.operators import binning as B
 from plectra.operators import correlation as C
 from plectra.operators import domains as O
 from plectra.operators import expected as E
+from plectra.operators import localizer as L
 from plectra.operators import models as M
 from plectra.operators import norm as N
 from plectra.operators import views as V
 from plectra.plans import fixtures as fx
 from plectra.plans.book import Book, rounded
-from plectra.plans.q_maps import contacts
+from plectra.plans.q_maps import contacts, held
 from plectra.plans.storage import stored
 
 BOOK = Book()
@@ -109,10 +109,12 @@ FROM contacts JOIN (VALUES (5000, 10, 4, 7, 20000), (10000, 10, 2, 5, 20000), (2
 _q("loop_pvalue", lambda s, c: rounded(M.loop_pvalues(_kernel(s, c)), "p_bl", "p_donut", "p_h", "p_v"), None, (2500,))
 
 
-def _loops(s, d):
-    return A.windows(contacts(s, d, sizes=(2500,)), fx.feat_a(s, d), 2500, 5)
+def _localized(s, d, **settings):
+    cells = held(s, d, sizes=(2500,))
+    vectors = N.vanilla_coverage(cells).select("chr", "bin", "value")
+    return rounded(L.localize(cells, fx.feat_a(s, d), 2500, vectors, **settings), "p", digits=9)
 
 
-BOOK.add("loc_run", lambda s, d: rounded(M.localize(_loops(s, d), 5, peaks=2), "p"))
-BOOK.add("top_peaks", lambda s, d: rounded(M.localize(_loops(s, d), 5, peaks=1, max_p=1.0), "p"))
+BOOK.add("loc_run", lambda s, d: _localized(s, d, peaks=2))
+BOOK.add("top_peaks", lambda s, d: _localized(s, d, max_p=1.0))
 _q("flt_subsample_counts", lambda s, c: M.thinned(c, 0.5), None, (5000,))

@@ -36,7 +36,7 @@ def test_clusters_take_pixels_in_order(seed):
                 reach = 250 + round(max(math.hypot(x[p] - cx, y[p] - cy) for p in m))
         rest = [k for k in rest if k not in m]
         want.append(([int(p) for p in m], cx, cy, int(reach)))
-    assert peaks.clusters(x, y, o, 250) == want
+    assert [c[:4] for c in peaks.clusters(x, y, o, 250)] == want
 
 
 def test_thresholds_of_benjamini_and_hochberg(spark):
@@ -74,3 +74,19 @@ def test_a_loop_needs_pixels_or_low_rates(spark):
     columns = "chr long, i long, j long, observed double, bl double, donut double, h double, v double, fdr_bl double, fdr_donut double, fdr_h double, fdr_v double"
     got = models.loop_calls(spark.createDataFrame(rows, columns), 10, 20, fdr_sum=0.02).collect()
     assert sorted((r.i, r.j, r.pixels) for r in got) == [(1, 5, 1), (30, 40, 2)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_islands_cluster_like_the_whole_chromosome(spark, seed):
+    """Chains of pixels let clusters grow out of their first islands."""
+    rng = np.random.default_rng(seed)
+    spots = [(int(a), int(a) + int(b), int(o)) for a, b, o in zip(rng.integers(0, 900, 120), rng.integers(0, 12, 120), rng.integers(1, 30, 120), strict=True)]
+    chain = [(1000, 1000 + 2 * k, 60 - k) for k in range(10)] + [(1009, 1010, 5)]
+    rows = sorted({(c, i, j): (c, i, j, float(o)) for c in (1, 2) for i, j, o in spots + chain}.values())
+    got = models.loop_coalesce(spark.createDataFrame(rows, "chr long, i long, j long, observed double"), 10, 30).collect()
+    want = []
+    for c in (1, 2):
+        i, j, o = (np.array(v) for v in list(zip(*[r for r in rows if r[0] == c], strict=True))[1:])
+        want += [(c, k.x + 5, k.y + 5, k.radius, len(k.members), o[k.members[0]]) for k in peaks.clusters(i * 10, j * 10, o, 30)]
+    assert sorted((r.chr, r.x, r.y, r.radius, r.pixels, r.observed) for r in got) == sorted(want)
+    assert max(w[4] for w in want) > 10  # the last pixel is farther off along x than two circles reach
