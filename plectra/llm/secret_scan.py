@@ -4,8 +4,9 @@ Three patterns give the base spans. A worklist then unwraps layers until nothing
 escapes, Unicode and HTML escapes (both rewritten in place, so each character keeps its own place in the
 original), base64 runs (both alphabets, from their start and from behind each separator in them), and compressed
 bytes (gzip, zlib, bzip2, xz, any number of times and members) that base64, percent or byte escapes hold; what such a
-run holds maps to the run's whole span. Bytes are read as UTF-8 or UTF-16. Layers already seen are skipped, so cycles
-end. Every layer is scanned again, and what it shows is reported at the place in the original text that it came from.
+run holds maps to the run's span from where it was decoded. Bytes are read as UTF-8 or UTF-16. Of the places in a run that lie
+whole base64 groups apart and read alike, the first is decoded: the others' bytes are its ends. So work is linear in
+a layer's length. Layers already seen are skipped, so cycles end. Every layer is scanned again, and what it shows is reported at the place in the original text that it came from.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import html
 import lzma
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,6 +50,55 @@ _MAGIC = {b"\x1f\x8b": "gzip", b"BZ": "bz2", b"\xfd7": "xz", b"x\x01": "zlib", b
 Place = tuple[int, int]
 
 
+class Pieces:
+    """Where the characters of a rewritten layer come from, a piece for each stretch left as it was and each escape.
+
+    Piece k holds the characters from begins[k] on. They are those of the original from first[k] on, if last[k] is -1; else each of
+    them comes from the span first[k] to last[k]. Both ends of spans grow along the layer.
+    """
+
+    def __init__(self) -> None:
+        self.begins: list[int] = []
+        self.first: list[int] = []
+        self.last: list[int] = []
+        self.length = 0
+
+    def add(self, length: int, first: int, last: int = -1) -> None:
+        if length:
+            self.begins.append(self.length)
+            self.first.append(first)
+            self.last.append(last)
+            self.length += length
+
+    def place(self, at: int) -> Place:
+        k = bisect_right(self.begins, at) - 1
+        if self.last[k] >= 0:
+            return self.first[k], self.last[k]
+        here = self.first[k] + at - self.begins[k]
+        return here, here + 1
+
+    def span(self, a: int, b: int) -> Place:
+        """Of the characters a to b, b left out."""
+        return self.place(a)[0], self.place(b - 1)[1]
+
+    def copy_to(self, out: Pieces, a: int, b: int) -> None:
+        """Appends the places of the characters a to b."""
+        k = bisect_right(self.begins, a) - 1
+        while a < b:
+            end = min(b, self.begins[k + 1] if k + 1 < len(self.begins) else self.length)
+            if self.last[k] >= 0:
+                out.add(end - a, self.first[k], self.last[k])
+            else:
+                out.add(end - a, self.first[k] + a - self.begins[k])
+            a, k = end, k + 1
+
+
+def _whole(text: str) -> Pieces:
+    out = Pieces()
+    out.add(len(text), 0)
+    return out
+
+
 def patterns(text: str) -> list[tuple[str, int, int]]:
     """Base spans (kind, start, end): leftmost, non-overlapping within a kind, too short ones dropped."""
     out = []
@@ -73,24 +124,24 @@ def _unescaped(m: re.Match) -> str:
     return bytes.fromhex(s.replace("\\u", "")).decode("utf-16-be", "replace")
 
 
-def _rewritten(text: str, at: Place | list[Place] | None, pattern: re.Pattern, decode) -> tuple[str, Place | list[Place]] | None:
-    """The text with all escapes of a kind replaced, and each character's span in the original (one for all, where they share it)."""
+def _rewritten(text: str, at: Place | Pieces, pattern: re.Pattern, decode) -> tuple[str, Place | Pieces] | None:
+    """The text with all escapes of a kind replaced, and its characters' places in the original (one for all, where they share it)."""
+    if not pattern.search(text):
+        return None
     if isinstance(at, tuple):
         new = pattern.sub(decode, text)
         return (new, at) if new != text else None
     parts: list[str] = []
-    places: list[Place] = []
+    places = Pieces()
     last = 0
-    here = at if at is not None else [(i, i + 1) for i in range(len(text))]
     for m in pattern.finditer(text):
         plain = decode(m)
         parts += [text[last : m.start()], plain]
-        places += here[last : m.start()]
-        places += [(here[m.start()][0], here[m.end() - 1][1])] * len(plain)
+        at.copy_to(places, last, m.start())
+        places.add(len(plain), *at.span(m.start(), m.end()))
         last = m.end()
-    if not last:
-        return None
-    return "".join((*parts, text[last:])), places + here[last:]
+    at.copy_to(places, last, len(text))
+    return "".join((*parts, text[last:])), places
 
 
 def _opener(kind: str):
@@ -99,7 +150,15 @@ def _opener(kind: str):
     return bz2.BZ2Decompressor() if kind == "bz2" else lzma.LZMADecompressor()
 
 
-def _expanded(data: bytes, most: int) -> tuple[bytes | None, bool]:
+def _opens(data: memoryview) -> bool:
+    """Whether a compressed layer begins here, rather than a text or noise with the same first bytes."""
+    try:
+        return bool(_opener(_MAGIC[bytes(data[:2])]).decompress(data, 1))
+    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+        return False
+
+
+def _expanded(data: bytes | memoryview, most: int) -> tuple[bytes | None, bool]:
     """(bytes of all members of a compressed layer or None, whether they are all)."""
     out: list[bytes] = []
     size = 0
@@ -119,12 +178,16 @@ def _expanded(data: bytes, most: int) -> tuple[bytes | None, bool]:
     return (b"".join(out) if out else None), True
 
 
-def _readable(data: bytes) -> str | None:
-    """The bytes as a text, if it is one for the most part."""
-    kind = "utf-8"
+def _encoding(data: bytes) -> str:
     if len(data) >= 8 and (zeros := data.count(0)) * 4 >= len(data):
-        kind = "utf-16-le" if data[1::2].count(0) * 2 > zeros else "utf-16-be"
-    text = data.decode(kind, "replace")
+        return "utf-16-le" if data[1::2].count(0) * 2 > zeros else "utf-16-be"
+    return "utf-8"
+
+
+def _readable(data: bytes | memoryview) -> str | None:
+    """The bytes as a text, if it is one for the most part."""
+    data = bytes(data)
+    text = data.decode(_encoding(data), "replace")
     odd = sum(1 for _ in _ODD.finditer(text))
     return text if text and odd * 10 <= len(text) else None
 
@@ -138,17 +201,36 @@ def _decoded(run: str) -> bytes | None:
         return None
 
 
-def _base64_bytes(layer: str) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, bytes) of base64 runs, and of what stands behind a separator in one, that seem to hold something."""
+def _base64_bytes(layer: str) -> Iterator[tuple[int, int, memoryview, str | None]]:
+    """(start, end, bytes, encoding) of what base64 runs hold, from their start or from behind a separator; no encoding for compressed bytes.
+
+    A start counts if its first bytes are a compressed layer's, or read as a text. All compressed ones are given. Of those that read as text in
+    one encoding, end at one place and lie a multiple of four characters apart, the first is given: its bytes end in those of the others.
+    """
     ends: dict[int, int] = {}  # the longest run from each start
     for pattern in _BASE64:
         for m in pattern.finditer(layer):
             for at in (m.start(), *(m.start() + x.end() for x in _BEHIND.finditer(m[0]))):
                 ends[at] = max(m.end(), ends.get(at, 0))
-    for at, end in ends.items():
+    whole: dict[tuple[int, int], tuple[int, bytes]] = {}  # the bytes of a run's groups from their first start on
+    told: set[tuple[int, int, str]] = set()
+    for at, end in sorted(ends.items()):
         head = _decoded(layer[at : min(end, at + HEAD)])
-        if head and (_MAGIC.get(head[:2]) or _readable(head)) and (data := _decoded(layer[at:end])):
-            yield at, end, data
+        if not head:
+            continue
+        packed, kind = head[:2] in _MAGIC, _encoding(head)
+        reads = (end, at % 4, kind) not in told and _readable(head) is not None
+        if not packed and not reads:
+            continue
+        if (end, at % 4) not in whole:
+            whole[end, at % 4] = at, _decoded(layer[at:end]) or b""
+        first, data = whole[end, at % 4]
+        rest = memoryview(data)[(at - first) // 4 * 3 :]
+        if packed and _opens(rest):
+            yield at, end, rest, None
+        elif reads:
+            told.add((end, at % 4, kind))
+            yield at, end, rest, kind
 
 
 def scan(text: str) -> tuple[list[tuple[str, int, int]], set[tuple[str, int, int]], int]:
@@ -158,21 +240,17 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], set[tuple[str, int, int
     unfinished = 0
     left = UNPACKED
     seen = {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
-    work: list[tuple[str, Place | list[Place] | None]] = [(text, None)]
+    work: list[tuple[str, Place | Pieces]] = [(text, _whole(text))]
 
-    def push(layer: str, places: Place | list[Place]) -> None:
-        ends = (places, places) if isinstance(places, tuple) else (places[0], places[-1])
+    def push(layer: str, places: Place | Pieces) -> None:
+        ends = places if isinstance(places, tuple) else (places.place(0), places.place(len(layer) - 1))
         key = hashlib.blake2b(repr(ends).encode() + layer.encode("utf-8", "surrogatepass"), digest_size=16).digest()
         if key not in seen:
             seen.add(key)
             work.append((layer, places))
 
-    def spanned(at: Place | list[Place] | None, a: int, b: int) -> Place:
-        if at is None:
-            return a, b
-        if isinstance(at, tuple):
-            return at
-        return min(x for x, _ in at[a:b]), max(y for _, y in at[a:b])
+    def spanned(at: Place | Pieces, a: int, b: int) -> Place:
+        return at if isinstance(at, tuple) else at.span(a, b)
 
     def opened(data: bytes, place: Place) -> None:
         """Unwraps compressed layers until there are none, or one comes again, and takes what is a text."""
@@ -194,7 +272,7 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], set[tuple[str, int, int
 
     while work:
         layer, at = work.pop()
-        if at is not None:
+        if layer is not text:
             for kind, a, b in patterns(layer):
                 every.add((kind, *spanned(at, a, b)))
         if "%" in layer and (new := _rewritten(layer, at, _PERCENT, _unquoted)) and new[0]:
@@ -206,8 +284,11 @@ def scan(text: str) -> tuple[list[tuple[str, int, int]], set[tuple[str, int, int
                 data = bytes.fromhex(m[0].replace("%", "").replace("\\x", ""))
                 if _MAGIC.get(data[:2]):
                     opened(data, spanned(at, m.start(), m.end()))
-        for a, b, data in _base64_bytes(layer):
-            opened(data, spanned(at, a, b))
+        for a, b, data, encoding in _base64_bytes(layer):
+            if encoding is None:
+                opened(data, spanned(at, a, b))
+            elif inner := str(data, encoding, "replace"):
+                push(inner, spanned(at, a, b))
     return base, every, unfinished
 
 

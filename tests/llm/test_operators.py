@@ -5,6 +5,7 @@ import collections
 import gzip
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -306,6 +307,52 @@ def test_secret_scan_finds_wrapped_layers():
     assert secret_scan.scan(bomb)[2] == 1
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_secret_places_against_a_list_of_places(seed):
+    """Places of rewritten layers, a span a character, over several rewritings."""
+    rng = random.Random(seed)
+    text = "".join(rng.choice(["a", "b=", "%41", "%2541", "%25", "\\u0025", "41", "&#37;", "&lt;", "é", "\\x25", " "]) for _ in range(200))
+    layer, at, plain = text, secret_scan._whole(text), [(i, i + 1) for i in range(len(text))]
+    for turn in range(8):
+        pattern, decode = ((secret_scan._PERCENT, secret_scan._unquoted), (secret_scan._ESCAPE, secret_scan._unescaped))[turn % 2]
+        new = secret_scan._rewritten(layer, at, pattern, decode)
+        if new is None:
+            continue
+        want, last, out = [], 0, ""
+        for m in pattern.finditer(layer):
+            out += layer[last : m.start()] + decode(m)
+            want += plain[last : m.start()] + [(plain[m.start()][0], plain[m.end() - 1][1])] * len(decode(m))
+            last = m.end()
+        plain, out = want + plain[last:], out + layer[last:]
+        layer, at = new
+        assert layer == out and [at.place(k) for k in range(len(layer))] == plain
+        assert at.span(0, len(layer)) == (min(p[0] for p in plain), max(p[1] for p in plain))
+
+
+def test_secret_scan_of_long_texts_is_linear():
+    rng = random.Random(1)
+    segments = "/".join(base64.b64encode(bytes(rng.choice(b"abcdefgh ") for _ in range(14))).decode().rstrip("=") for _ in range(50_000))
+    secret = base64.b64encode(b"password=hunter2hunter2").decode()
+    text = f"{segments}/{secret} and {secret}"
+    began = time.perf_counter()
+    every = secret_scan.scan(text)[1]
+    assert time.perf_counter() - began < 20
+    assert ("assign", len(text) - len(secret), len(text)) in every
+    end = len(text) - len(secret) - 5
+    assert any(a <= end - len(secret) and b == end for _, a, b in every)
+    noise = "x" * 5_000_000 + "%" + "y" * 5_000_000 + "token%3Dabcdefgh"
+    assert secret_scan.scan(noise)[1] == {("assign", 10_000_001, len(noise))}
+
+
+def test_secret_scan_behind_separators():
+    """Every start in a run is decoded, or its bytes are part of an earlier start's."""
+    key = "AKIA" + "Q" * 16
+    for before in ("files/", "a/b/c/", "data-x_", "image/png/", "aGVsbG8gd29ybGQgaGVsbG8/"):
+        for packed in (key.encode(), gzip.compress(key.encode()), f"BZ {key}".encode(), key.encode("utf-16-le")):
+            text = before + base64.b64encode(packed).decode()
+            assert any(kind == "access" and b == len(text) for kind, _, b in secret_scan.scan(text)[1]), (before, packed)
+
+
 def test_secret_base_spans_against_plain_regexes(documents, odd, empty):
     kinds = (
         ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6),
