@@ -196,6 +196,12 @@ def loop_low_coverage(pixels: DataFrame, bad_bins: DataFrame, reach: int = 5) ->
     return out
 
 
+def bins_without_value(vectors: DataFrame, chroms: DataFrame, bin_size: int) -> DataFrame:
+    """(chr, bin) of a bin size's bins with no value of the vectors (chr, bin, value), or NaN."""
+    every = chroms.select(F.col("idx").alias("chr"), F.explode(F.expr(f"sequence(0L, (len - 1) div {bin_size})")).alias("bin"))
+    return every.join(vectors.where("value is not null and not isnan(value)").select("chr", "bin"), ["chr", "bin"], "left_anti")
+
+
 def loop_pvalues(kernel: DataFrame) -> DataFrame:
     """(chr, i, j, observed, p_bl, p_donut, p_h, p_v): Poisson upper tails of the four expectations."""
 

@@ -123,10 +123,55 @@ def library_size_of(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return pairs.sparkSession.createDataFrame([(row.n_unique, row.n_duplicates, size)], "n_unique long, n_duplicates long, library_size long")
 
 
-def merge_stats(parts: list[DataFrame], key: str = "threshold", largest: tuple[str, ...] = ()) -> DataFrame:
-    """Field-wise sums of several statistics tables; fields in `largest` take their maximum."""
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    fields = [c for c in every.columns if c != key]
-    return every.groupBy(key).agg(*((F.max(c) if c in largest else F.sum(c)).alias(c) for c in fields))
+#: How lines of a statistics file name what they count, in the order in which they are looked for, any letter case.
+LINES = [
+    ("n_no_chimera", "No chimera found:"),
+    ("n_three_or_more", "3 or more alignments"),
+    ("n_ligation", "Ligation Motif Present:"),
+    ("n_unique", "Total Unique:"),
+    ("n_duplicates", "Total Duplicates:"),
+    ("n_intra_fragment", "Intra-fragment Reads:"),
+    ("n_below_mapq", "Below MAPQ Threshold:"),
+    ("n_contacts", "Hi-C Contacts:"),
+    ("three_bias", "3' Bias (Long Range):"),
+    ("pair_percents", "Pair Type %(L-I-O-R):"),
+    ("convergence", "L-I-O-R Convergence:"),
+    ("n_inter", "Inter-chromosomal:"),
+    ("n_intra", "Intra-chromosomal:"),
+    ("n_under_500", "<500BP:"),
+    ("n_500_5k", "500BP-5kB:"),
+    ("n_5k_20k", "5kB-20kB:"),
+    ("n_over_20k", "Long Range (>20Kb):"),
+]
+#: What pair_percents is where all four orientations have 25 % in every file, and where they have not.
+EVEN, UNEVEN = 25, -1
+
+
+def statistics_lines(stats: DataFrame) -> DataFrame:
+    """(*other columns, value): a file's lines of each row of `pair_statistics`, numbers with commas and their share of the pairs."""
+    texts = dict(LINES)
+    shares = [F.concat(F.round(F.col(f"n_{o}") * 100 / F.greatest(F.col("n_over_20k"), F.lit(1))).cast("int").cast("string"), F.lit("%")) for o in ("left", "inner", "outer", "right")]
+    lines = [F.concat(F.lit(f"{texts['pair_percents']} "), F.concat_ws(" - ", *shares))]
+    for name in (c for c, _ in LINES if c in stats.columns):
+        share = F.format_string("%.2f", F.col(name) * 100 / F.greatest(F.col("n_unique"), F.lit(1)))
+        lines.append(F.concat(F.lit(f"{texts[name]} "), F.format_number(F.col(name), 0), F.lit(" ("), share, F.lit("%)")))
+    counts = [c for c in stats.columns if not c.startswith("n_")]
+    return stats.select(*counts, F.explode(F.array(*lines)).alias("value"))
+
+
+def merge_statistics(lines: DataFrame) -> DataFrame:
+    """(statistic, value) of the lines of any number of statistics files (value string): sums, but the largest convergence; pair_percents as above.
+
+    Lines count whose text is known, with one colon and a number behind it (to a bracket; commas do not matter); those with N/A do not.
+    """
+    low = F.lower("value")
+    named = F.coalesce(*(F.when(F.contains(low, F.lit(text.lower())), F.lit(name)) for name, text in LINES))
+    halves = F.split("value", ":")
+    behind = F.element_at(halves, 2)
+    known = lines.where(F.contains("value", F.lit(":"))).select(named.alias("statistic"), F.when(F.size(halves) == 2, behind).alias("text")).where("statistic is not null and text is not null and not contains(lower(text), 'n/a')")
+    number = F.expr("try_cast(trim(replace(split(text, '[(]')[0], ',', '')) as bigint)")
+    even = F.when(F.size(F.split("text", "25%")) == 5, EVEN).otherwise(UNEVEN)
+    values = known.withColumn("n", F.when(F.col("statistic") == "pair_percents", even).otherwise(number)).where("n is not null")
+    merged = values.groupBy("statistic").agg(F.sum("n").alias("total"), F.max("n").alias("most"), F.min("n").alias("least"))
+    chosen = F.when(F.col("statistic") == "convergence", F.col("most")).when(F.col("statistic") == "pair_percents", F.col("least")).otherwise(F.col("total"))
+    return merged.select("statistic", chosen.cast("long").alias("value"))

@@ -10,6 +10,7 @@ from plectra.operators import stats as S
 from plectra.operators import lift as L
 from plectra.plans import fixtures as fx
 from plectra.plans.book import Book
+from plectra.plans.storage import scratch_dir
 
 BOOK = Book()
 COLS = "chr1, chr2, pos1, pos2, mapq1, mapq2, strand1, strand2, score"
@@ -80,6 +81,20 @@ _q("stat_lior_convergence", lambda s, p: S.lior_convergence(p), None)
 _q("stat_library_size", lambda s, p: S.library_size_of(p, ["chr1", "pos1", "chr2", "pos2", "strand1", "strand2"]), None)
 _q("stat_duplicates", lambda s, p: S.duplicate_counts(p, ["chr1", "pos1", "chr2", "pos2", "strand1", "strand2"]), """, g AS (SELECT chr1, pos1, chr2, pos2, strand1, strand2, count(*) AS c FROM pairs GROUP BY ALL)
 SELECT CAST(sum(c) AS BIGINT) AS n_total, count(*) AS n_unique, CAST(sum(c - 1) AS BIGINT) AS n_duplicates FROM g""")
-_q("stat_merge", lambda s, p: S.merge_stats([S.pair_statistics(_with_frags(s, p.where("mapq1 % 2 = 0")), (30,)), S.pair_statistics(_with_frags(s, p.where("mapq1 % 2 = 1")), (30,))]).select("threshold", "n_unique", "n_contacts"), _FRAGS + """
-SELECT CAST(30 AS INT) AS threshold, count(*) AS n_unique, CAST(count_if(NOT (chr1 = chr2 AND frag1 = frag2) AND least(mapq1, mapq2) >= 30) AS BIGINT) AS n_contacts FROM fr""")
+
+
+def _merged_statistics(s, p):
+    """Statistics of two halves of the pairs, written as text files, read back and merged."""
+    path = scratch_dir(s)
+    for half in (0, 1):
+        S.statistics_lines(S.pair_statistics(_with_frags(s, p.where(f"mapq1 % 2 = {half}")), (30,))).select("value").write.text(f"{path}/{half}")
+    return S.merge_statistics(s.read.text([f"{path}/0", f"{path}/1"]))
+
+
+_q("stat_merge", _merged_statistics, _FRAGS + """, st AS (SELECT *, least(mapq1, mapq2) >= 30 AS good, chr1 = chr2 AND frag1 = frag2 AS same_frag, abs(pos1 - pos2) AS d, CASE WHEN strand1 = strand2 THEN CASE WHEN strand1 THEN 'r' ELSE 'l' END WHEN CASE WHEN pos1 < pos2 THEN strand1 ELSE strand2 END THEN 'i' ELSE 'o' END AS o FROM fr),
+ct AS (SELECT *, NOT same_frag AND good AS hit, NOT same_frag AND good AND chr1 = chr2 AS own FROM st),
+ev AS (SELECT CASE WHEN bool_and(round(n * 100.0 / greatest(t, 1)) = 25) THEN 25 ELSE -1 END AS e FROM (SELECT h, q.o, count_if(own AND d >= 20000 AND ct.o = q.o) AS n, count_if(own AND d >= 20000) AS t FROM (SELECT *, mapq1 % 2 AS h FROM ct) ct, (SELECT unnest(['l', 'i', 'o', 'r']) AS o) q GROUP BY h, q.o))
+SELECT statistic, CAST(value AS BIGINT) AS value FROM (SELECT unnest(['n_unique', 'n_intra_fragment', 'n_below_mapq', 'n_contacts', 'n_inter', 'n_intra', 'n_under_500', 'n_500_5k', 'n_5k_20k', 'n_over_20k']) AS statistic,
+ unnest([count(*), count_if(same_frag), count_if(NOT same_frag AND NOT good), count_if(hit), count_if(hit AND chr1 <> chr2), count_if(own), count_if(own AND d < 500), count_if(own AND d >= 500 AND d < 5000), count_if(own AND d >= 5000 AND d < 20000), count_if(own AND d >= 20000)]) AS value FROM ct
+UNION ALL SELECT 'pair_percents', e FROM ev)""")
 _q("filter_pairs_build", lambda s, p: P.filter_pairs(p, mapq=10, chroms=[1, 2], diagonal=True, alignment="tandem"), f"SELECT {COLS} FROM pairs WHERE chr1 = chr2 AND chr1 IN (1,2) AND strand1 = strand2 AND least(mapq1, mapq2) >= 10")

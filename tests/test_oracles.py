@@ -35,7 +35,7 @@ SOME = [
     "flt_mapq", "prj_whole_genome_pos", "join_frag", "join_site_distance", "stat_pairs", "agg_bin_contacts", "agg_whole_genome", "flt_region",
     "agg_expected_scale", "norm_vc", "q_oeratio_p1", "q_logvs", "mat_spmv", "mat_pearson", "iv_intersect", "iv_retain_best", "iv_merge",
     "f2d_symdiff", "set_compare_lists", "f2d_loop_domain", "apa_stats", "trk_tumbling_bin", "asm_lift", "track_lift", "src_pairs_medium", "src_bedpe", "entry_region_oe",
-    "motif_unique", "motif_inferred", "chrom_column_sum", "chk_validate", "mat_elementwise", "apa_stack", "apa_resample", "sink_npy", "sink_matrix_txt", "src_wig", "asm_toggle",
+    "motif_unique", "motif_inferred", "chrom_column_sum", "chk_validate", "mat_elementwise", "apa_stack", "apa_resample", "sink_npy", "sink_matrix_txt", "src_wig", "asm_toggle", "stat_merge",
 ]
 
 
