@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plectra.llm import tokens
-from plectra.llm.common import scratch_dir, small_batches, stored
+from plectra.llm.common import discard, scratch_dir, small_batches, stored
 
 END = 2
 #: Tokens after which a block is closed, and tokens meant for one file.
@@ -132,8 +132,11 @@ def write_tokens(docs: DataFrame, path: str | None = None, vocabulary: str | Non
     spark.createDataFrame(table, "rank int, token long").coalesce(1).write.parquet(f"{path}/ranks")
     files = max(1, -(-sum(r.c for r in used) // FILE))
     laid = coded.where("counts is null").select("id", "ids").repartitionByRange(files, "id", F.xxhash64("ids")).sortWithinPartitions("id", F.xxhash64("ids"))
-    rows = laid.mapInArrow(_blocks(spark.sparkContext.broadcast(rank_of), kind), "part int, block int, ids array<long>, lengths array<long>, control binary, data binary")
+    ranks = spark.sparkContext.broadcast(rank_of)
+    rows = laid.mapInArrow(_blocks(ranks, kind), "part int, block int, ids array<long>, lengths array<long>, control binary, data binary")
     rows.write.option("compression", "none").parquet(f"{path}/blocks")
+    ranks.destroy()
+    discard(coded)
     return path
 
 
