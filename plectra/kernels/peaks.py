@@ -141,6 +141,11 @@ def clusters(x: np.ndarray, y: np.ndarray, observed: np.ndarray, radius: int) ->
     return out
 
 
+def coalesce(x: np.ndarray, y: np.ndarray, observed: np.ndarray, res: int, radius: int) -> list[tuple[int, int, int, int, float]]:
+    """(middle of the centre's bin x, y, radius, pixels, observed) of greedy clusters."""
+    return [(c.x + res // 2, c.y + res // 2, c.radius, len(c.members), float(observed[c.members[0]])) for c in clusters(x, y, observed, radius)]
+
+
 def upper_tails(k: np.ndarray, lam: np.ndarray) -> np.ndarray:
     """P(X >= k) of Poisson variables; NaN where the mean is not finite.
 
