@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plectra.operators import scans as S
+from plectra.plans.storage import stored
 
 #: Bits of the shortest bucket of the overlap join, about the length of usual intervals.
 LEAST_BITS = 11
@@ -129,11 +130,48 @@ def retain_multi(base: DataFrame, motifs: DataFrame) -> DataFrame:
     return _counted_hits(base, motifs).where("n > 1").select("chr", "x1", "x2", "score").distinct()
 
 
+def _blocks(df: DataFrame, x1: str, x2: str) -> DataFrame:
+    """Rows by the aligned blocks of 2^l__ bases, numbered block__, that make up a closed interval: two a level at most."""
+    levels = df.withColumn("l__", F.explode(F.sequence(F.lit(0), F.ceil(F.log2((F.col(x2) - F.col(x1) + 1).cast("double"))).cast("int"))))
+    low, high = F.expr(f"-shiftright(-cast({x1} as long), l__)"), F.expr(f"shiftright(cast({x2} as long) + 1, l__)")
+    pieces = F.array(F.when(low % 2 != 0, low), F.when(high % 2 != 0, high - 1))
+    return levels.where(low < high).withColumn("block__", F.explode(pieces)).where("block__ is not null")
+
+
+def _levels_of(df: DataFrame, x: str, last: int) -> DataFrame:
+    """Rows by the block of each level up to `last` that holds x."""
+    return df.withColumn("l__", F.explode(F.sequence(F.lit(0), F.lit(last)))).withColumn("block__", F.expr(f"shiftright(cast({x} as long), l__)"))
+
+
+def _last_level(df: DataFrame, x1: str, x2: str) -> int:
+    longest = df.agg(F.max(F.expr(f"{x2} - {x1} + 1")).alias("n")).first().n
+    return max(1, longest or 1).bit_length()
+
+
+def best_overlapping(base: DataFrame, motifs: DataFrame) -> DataFrame:
+    """(chr, b1, b2) of distinct base loci with the columns of their best motif (ties: smaller start, then end, then larger other columns).
+
+    Motifs are numbered by rank. One that overlaps a locus begins in it or holds its first base: the highest rank of those
+    that begin in each aligned block answers for the blocks of a locus, the highest rank of those that have a block among
+    their own answers for the blocks around its first base. Rows grow with the levels of lengths, not with the pairs.
+    """
+    more = [c for c in motifs.columns if c not in ("chr", "x1", "x2", "score")]
+    loci = stored(base.select("chr", F.col("x1").alias("b1"), F.col("x2").alias("b2")).where("b1 <= b2").distinct())
+    ranked = S.ranged(motifs.where("x1 <= x2").groupBy("chr", "x1", "x2", *more).agg(F.max("score").alias("score")), [], ["score", -F.col("x1"), -F.col("x2"), *more])
+    top = F.max("at__").alias("at__")
+    begin = _levels_of(ranked.groupBy("chr", "x1").agg(top), "x1", _last_level(loci, "b1", "b2"))
+    hold = _blocks(ranked.groupBy("chr", "x1", "x2").agg(top), "x1", "x2")
+    keys = ["chr", "begins", "l__", "block__"]
+    tops = begin.withColumn("begins", F.lit(True)).select(*keys, "at__").unionByName(hold.withColumn("begins", F.lit(False)).select(*keys, "at__")).groupBy(*keys).agg(top)
+    inside = _blocks(loci, "b1", "b2").withColumn("begins", F.lit(True))
+    around = _levels_of(loci, "b1", _last_level(ranked, "x1", "x2")).withColumn("begins", F.lit(False))
+    best = inside.unionByName(around.select(*inside.columns)).join(tops, keys).groupBy("chr", "b1", "b2").agg(top)
+    return best.join(ranked.select("at__", "x1", "x2", "score", *more), "at__").select("chr", "b1", "b2", "x1", "x2", "score", *more)
+
+
 def retain_best(base: DataFrame, motifs: DataFrame) -> DataFrame:
-    """The best motif of each base locus (ties: smaller start, then end), by a partial maximum."""
-    order = F.struct("score", (-F.col("x1")).alias("o1"), (-F.col("x2")).alias("o2"), "x1", "x2")
-    best = hits(base, motifs).groupBy("chr", "b1", "b2").agg(F.max(order).alias("m"))
-    return best.select("chr", "m.x1", "m.x2", "m.score").distinct()
+    """The best motif of each base locus (ties: smaller start, then end)."""
+    return best_overlapping(base, motifs.select("chr", "x1", "x2", "score")).select("chr", "x1", "x2", "score").distinct()
 
 
 def unique_in_bin(motifs: DataFrame, size: int) -> DataFrame:
