@@ -104,30 +104,49 @@ def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
     return hit.select("chr", F.greatest("x1", "y1").alias("x1"), F.least("x2", "y2").alias("x2")).distinct()
 
 
+def _touching(rows: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct rows (chr, x1, x2, ...) that overlap any of b; b is merged first, so it adds few rows."""
+    other = stored(merge(b)).select("chr", F.col("x1").alias("y1"), F.col("x2").alias("y2"))
+    return overlap_join(rows.distinct(), other).select(*rows.columns).distinct()
+
+
 def keep_intersecting(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Distinct intervals of a that overlap any of b, unchanged; b is merged first, so it adds few rows."""
-    other = merge(b).select("chr", F.col("x1").alias("y1"), F.col("x2").alias("y2"))
-    return overlap_join(a.select("chr", "x1", "x2").distinct(), other).select("chr", "x1", "x2").distinct()
+    """Distinct intervals of a that overlap any of b, unchanged."""
+    return _touching(a.select("chr", "x1", "x2"), b)
+
+
+def counted(base: DataFrame, motifs: DataFrame) -> DataFrame:
+    """(chr, b1, b2, n): distinct base loci with how many motifs overlap them.
+
+    Those are the motifs that begin up to b2 without those that end before b1, so two running counts do without the pairs.
+    """
+    loci = base.select("chr", F.col("x1").alias("b1"), F.col("x2").alias("b2")).where("b1 is not null and b2 is not null").distinct()
 
+    def places(df: DataFrame, first: Column, last: Column) -> DataFrame:
+        both = F.array(F.struct(F.lit(True).alias("begins"), first.alias("at")), F.struct(F.lit(False).alias("begins"), last.alias("at")))
+        return df.select("chr", F.explode(both).alias("p")).groupBy("chr", "p.begins", "p.at").agg(F.count("*").alias("n"))
 
-def hits(base: DataFrame, motifs: DataFrame) -> DataFrame:
-    """Motifs (chr, x1, x2, score) by the base locus (b1, b2) that they overlap."""
-    loci = base.select("chr", F.col("x1").alias("b1"), F.col("x2").alias("b2")).distinct()
-    return overlap_join(motifs.select("chr", "x1", "x2", "score"), loci, other=("b1", "b2"))
+    seen = places(motifs.where("x1 is not null and x2 is not null"), F.col("x1"), F.col("x2")).withColumn("asks", F.lit(False))
+    asked = places(loci, F.col("b2"), F.col("b1") - 1).withColumns({"n": F.lit(0).cast("long"), "asks": F.lit(True)})
+    running = stored(S.cumulative(seen.unionByName(asked), ["chr", "begins"], ["at", "asks"], "sum__", F.col("n")).where("asks"))
+    begun = running.where("begins").select("chr", F.col("at").alias("b2"), F.col("sum__").alias("begun"))
+    ended = running.where("not begins").select("chr", (F.col("at") + 1).alias("b1"), F.col("sum__").alias("ended"))
+    return loci.join(begun, ["chr", "b2"]).join(ended, ["chr", "b1"]).select("chr", "b1", "b2", F.expr("begun - ended").alias("n"))
 
 
-def _counted_hits(base: DataFrame, motifs: DataFrame) -> DataFrame:
-    """hits() with how many motifs the base locus has."""
-    return hits(base, motifs).withColumn("n", F.count("*").over(Window.partitionBy("chr", "b1", "b2")))
+def _at_counted(base: DataFrame, motifs: DataFrame, which: str) -> DataFrame:
+    loci = stored(counted(base, motifs).where(which)).select("chr", F.col("b1").alias("x1"), F.col("b2").alias("x2"))
+    return _touching(motifs.select("chr", "x1", "x2", "score"), loci)
 
 
 def retain_unique(base: DataFrame, motifs: DataFrame) -> DataFrame:
     """Motifs that are the only one at a base locus."""
-    return _counted_hits(base, motifs).where("n = 1").select("chr", "x1", "x2", "score").distinct()
+    return _at_counted(base, motifs, "n = 1")
 
 
 def retain_multi(base: DataFrame, motifs: DataFrame) -> DataFrame:
-    return _counted_hits(base, motifs).where("n > 1").select("chr", "x1", "x2", "score").distinct()
+    """Motifs at a base locus with several."""
+    return _at_counted(base, motifs, "n > 1")
 
 
 def _blocks(df: DataFrame, x1: str, x2: str) -> DataFrame:

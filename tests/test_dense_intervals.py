@@ -42,3 +42,13 @@ def test_best_of_a_crowd(spark, joined, starts):
     want = {max((m for m in a if overlap(m, at)), key=lambda m: (m[3] or 0, -m[1], -m[2]), default=None) for at in b}
     assert got == want - {None}
     assert sum(joined) <= len(a) + len(b)
+
+
+@pytest.mark.parametrize("starts", [60, 4000])
+def test_single_and_several_motifs_of_a_locus(spark, joined, starts):
+    a, b = made(300, 3, starts, 30, [1.0, 2.0]), made(150, 4, starts, 40)
+    base, motifs = spark.createDataFrame(b, LOCI), spark.createDataFrame(a + a[:5], LOCI + ", score double")
+    hits = {at: [m for m in a + a[:5] if overlap(m, at)] for at in b}
+    assert {tuple(r) for r in I.retain_unique(base, motifs).collect()} == {m for found in hits.values() if len(found) == 1 for m in found}
+    assert {tuple(r) for r in I.retain_multi(base, motifs).collect()} == {m for found in hits.values() if len(found) > 1 for m in found}
+    assert sum(joined) <= 2 * (len(a) + len(b))
