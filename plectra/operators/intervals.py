@@ -98,10 +98,29 @@ def expand_small(loci: DataFrame, least: int) -> DataFrame:
 
 
 def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Distinct overlaps (chr, max start, min end)."""
-    other = b.select("chr", F.col("x1").alias("y1"), F.col("x2").alias("y2"))
-    hit = overlap_join(a.select("chr", "x1", "x2"), other)
-    return hit.select("chr", F.greatest("x1", "y1").alias("x1"), F.least("x2", "y2").alias("x2")).distinct()
+    """Distinct overlaps (chr, max start, min end) of intervals with x1 <= x2, without the pairs that make them.
+
+    An overlap that begins with one list's start s and ends with the other's end e needs the furthest end at s and the
+    earliest start at e alone; one that is a whole interval needs the furthest end of the other list's starts up to s. So each
+    place is put out once, however many pairs have it.
+    """
+    own = {"a": a.select("chr", F.col("x1").alias("s"), F.col("x2").alias("e")), "b": b.select("chr", F.col("x1").alias("s"), F.col("x2").alias("e"))}
+    own = {k: stored(df.where("chr is not null and s is not null and e is not null").distinct()) for k, df in own.items()}
+    both = own["a"].withColumn("in_a", F.lit(True)).unionByName(own["b"].withColumn("in_a", F.lit(False)))
+    starts = both.groupBy("chr", "s").agg(F.max(F.expr("if(in_a, e, null)")).alias("end_a"), F.max(F.expr("if(in_a, null, e)")).alias("end_b"))
+    starts = S.ranged(starts, ["chr"], ["s"])
+    for k in own:
+        starts = S.prefix(starts, ["chr"], f"furthest_{k}", "max", F.col(f"end_{k}"), True)
+    starts = stored(starts.drop("part__", "at__"))
+    ends = stored(both.groupBy("chr", "e").agg(F.min(F.expr("if(in_a, s, null)")).alias("start_a"), F.min(F.expr("if(in_a, null, s)")).alias("start_b")))
+    reach = starts.select("chr", "s", F.greatest("end_a", "end_b").alias("r"), "end_a", "end_b")
+    met = overlap_join(reach, ends.withColumn("e2", F.col("e")), ("s", "r"), ("e", "e2"))
+    out = met.where("(end_a >= e and start_b <= s) or (end_b >= e and start_a <= s)").select("chr", F.col("s").alias("x1"), F.col("e").alias("x2"))
+    for k, other in (("a", "b"), ("b", "a")):
+        whole = own[k].join(starts, ["chr", "s"]).join(ends, ["chr", "e"]).where(f"furthest_{other} >= e")
+        new = whole.where(f"not coalesce(end_{other} >= e, false) and not coalesce(start_{other} <= s, false)")
+        out = out.unionByName(new.select("chr", F.col("s").alias("x1"), F.col("e").alias("x2")))
+    return out
 
 
 def _touching(rows: DataFrame, b: DataFrame) -> DataFrame:

@@ -52,3 +52,12 @@ def test_single_and_several_motifs_of_a_locus(spark, joined, starts):
     assert {tuple(r) for r in I.retain_unique(base, motifs).collect()} == {m for found in hits.values() if len(found) == 1 for m in found}
     assert {tuple(r) for r in I.retain_multi(base, motifs).collect()} == {m for found in hits.values() if len(found) > 1 for m in found}
     assert sum(joined) <= 2 * (len(a) + len(b))
+
+
+@pytest.mark.parametrize("starts", [60, 4000])
+def test_overlaps_of_crowds(spark, joined, starts):
+    a, b = made(300, 5, starts, 25) * 3, made(200, 6, starts, 60) * 3
+    got = sorted(tuple(r) for r in I.intersect(spark.createDataFrame(a, LOCI), spark.createDataFrame(b, LOCI)).collect())
+    want = {(x[0], max(x[1], y[1]), min(x[2], y[2])) for x in set(a) for y in set(b) if overlap(x, y)}
+    assert got == sorted(want)
+    assert sum(joined) <= 4 * len(want)
