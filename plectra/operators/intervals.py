@@ -123,6 +123,12 @@ def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
     return out
 
 
+def common(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(chr, x1, x2): the stretches of bases that both lists cover. Merged lists have no more overlaps than intervals."""
+    hit = overlap_join(stored(merge(a)), stored(merge(b)).withColumnsRenamed({"x1": "y1", "x2": "y2"}))
+    return hit.select("chr", F.greatest("x1", "y1").alias("x1"), F.least("x2", "y2").alias("x2"))
+
+
 def _touching(rows: DataFrame, b: DataFrame) -> DataFrame:
     """Distinct rows (chr, x1, x2, ...) that overlap any of b; b is merged first, so it adds few rows."""
     other = stored(merge(b)).select("chr", F.col("x1").alias("y1"), F.col("x2").alias("y2"))

@@ -49,7 +49,7 @@ _BEST = """(SELECT s.chr, s.x1 AS b1, s.x2 AS b2, m.x1, m.x2, m.score, m.strand,
  FROM {} s JOIN motif m ON s.chr = m.chr AND m.score > 0 AND m.x1 <= s.x2 AND s.x1 <= m.x2)"""
 BOOK.add(
     "motif_unique",
-    lambda s, d: MO.unique_motifs(_anchors(s, d), _peaks(s, d, 5000), [fx.loci_b(s, d), I.intersect(fx.loci_a(s, d), fx.loci_b(s, d))], _motif_list(s, d)),
+    lambda s, d: MO.unique_motifs(_anchors(s, d), _peaks(s, d, 5000), [fx.loci_b(s, d), I.common(fx.loci_a(s, d), fx.loci_b(s, d))], _motif_list(s, d)),
     _ANCHORS.replace("1250", "5000") + f""", site AS (SELECT DISTINCT chr, x1, x2 FROM cn WHERE n = 1 AND EXISTS (SELECT 1 FROM loci_b b WHERE b.chr = cn.chr AND b.x1 <= cn.x2 AND cn.x1 <= b.x2)
  AND EXISTS (SELECT 1 FROM loci_a a JOIN loci_b b ON a.chr = b.chr AND a.x1 <= b.x2 AND b.x1 <= a.x2 WHERE a.chr = cn.chr AND greatest(a.x1, b.x1) <= cn.x2 AND cn.x1 <= least(a.x2, b.x2)))
 SELECT DISTINCT chr, x1, x2, score, strand FROM {_BEST.format("site")} WHERE r = 1""",

@@ -61,3 +61,20 @@ def test_overlaps_of_crowds(spark, joined, starts):
     want = {(x[0], max(x[1], y[1]), min(x[2], y[2])) for x in set(a) for y in set(b) if overlap(x, y)}
     assert got == sorted(want)
     assert sum(joined) <= 4 * len(want)
+
+
+def test_common_stretches_need_no_pairs(spark, joined):
+    a, b = made(200, 7, 500, 9), made(200, 8, 500, 9)
+    got = I.common(spark.createDataFrame(a, LOCI), spark.createDataFrame(b, LOCI)).collect()
+    covered = lambda rows: {(c, x) for c, x1, x2 in rows for x in range(x1, x2 + 1)}
+    assert covered([tuple(r) for r in got]) == covered(a) & covered(b)
+    assert sum(joined) <= 400
+
+
+def test_best_motif_at_sites_of_a_crowd(spark, joined):
+    a, sites = made(200, 9, 60, 20, [-1.0, 1.0, 3.0]), made(100, 10, 60, 20)
+    motifs = spark.createDataFrame(a, LOCI + ", score double").withColumn("strand", F.col("x1") % 2 == 0)
+    got = {tuple(r)[:4] for r in MO.best_at(spark.createDataFrame(sites, LOCI), motifs).collect()}
+    want = {max((m for m in a if m[3] > 0 and overlap(m, at)), key=lambda m: (m[3], -m[1], -m[2]), default=None) for at in sites}
+    assert got == want - {None}
+    assert sum(joined) <= 300
