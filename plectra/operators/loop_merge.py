@@ -47,9 +47,9 @@ def merge_resolutions(lists: dict[int, DataFrame], second: bool = False) -> Data
 
     First generation: 5 and 10 kb, then what 25 kb has alone; other sizes count only where none of these is there, and are then
     put together as they are. Second generation: 1, 2 and 5 kb, as many as there are of them, then what 10 kb has alone.
-    Loops of one place and size count once; empty lists confirm nothing and take nothing away.
+    Loops of one place and size count once, with their smallest count; empty lists confirm nothing and take nothing away.
     """
-    own = {size: stored(df.select(*COORDS, "observed", F.lit(size).cast("long").alias("bin_size")).dropDuplicates(COORDS)) for size, df in lists.items()}
+    own = {size: stored(df.groupBy(*COORDS).agg(F.min("observed").alias("observed")).withColumn("bin_size", F.lit(size).cast("long"))) for size, df in lists.items()}
     if second:
         merged = _second({s: df for s, df in own.items() if s in (1000, 2000, 5000)})
         last, radius = own.get(10_000), 10_000
