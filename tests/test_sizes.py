@@ -18,3 +18,10 @@ def test_a_repeated_loop_has_its_smallest_count(spark, second):
     lists = {fine: spark.createDataFrame([(*loop, 500.0), (*loop, 3.0)], COORDS).coalesce(1), coarse: spark.createDataFrame([(*far, 1.0)], COORDS)}
     got = loop_merge.merge_resolutions(lists, second).collect()
     assert [(r.chr1, r.start1, r.bin_size) for r in got] == [(2, 0, coarse)]
+
+
+def test_the_expectation_is_of_all_cells(spark, sf_dir):
+    got = registry.QUERIES["q_expected"](spark, sf_dir)
+    keys = q_maps.KEYS.split(", ")
+    assert {r.bin_size for r in got.select("bin_size").distinct().collect()} == set(fx.SIZES)
+    assert q_maps.contacts(spark, sf_dir).select(keys).exceptAll(got.select(keys)).count() == 0
