@@ -25,3 +25,10 @@ def test_the_expectation_is_of_all_cells(spark, sf_dir):
     keys = q_maps.KEYS.split(", ")
     assert {r.bin_size for r in got.select("bin_size").distinct().collect()} == set(fx.SIZES)
     assert q_maps.contacts(spark, sf_dir).select(keys).exceptAll(got.select(keys)).count() == 0
+
+
+def test_pair_files_follow_the_partitions(spark, sf_dir):
+    got = registry.QUERIES["src_pairs_dcic"](spark, sf_dir)
+    parts = fx.pairs(spark, sf_dir).rdd.getNumPartitions()
+    assert {f.rsplit("/", 1)[-1] for f in got.inputFiles()} == {"head.pairs"} | {f"p{k}.pairs" for k in range(parts)}
+    assert got.count() == fx.pairs(spark, sf_dir).count()
