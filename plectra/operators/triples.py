@@ -2,48 +2,57 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-#: Bases of first positions that islands are gathered over into one group.
-GATHERED = 100_000
+from plectra.operators import scans as S
 
 
 def without_duplicates(triples: DataFrame, tolerance: int = 20) -> DataFrame:
-    """Runs of triples, in order of all three positions, fused into their centroids.
+    """Runs of triples, in order of all three positions, fused into their centroids; triples without a position are left out.
 
     A triple joins the run before it if each position is less than `tolerance` from the run's centroid, the
-    integer mean of the distinct positions so far. As a run's first positions never exceed the next one's, it ends
-    wherever neighbours are `tolerance` apart: groups are the islands that begin within GATHERED bases, not chromosomes.
+    integer mean of the distinct positions so far. An equal triple changes nothing. The last triple of a run is less than
+    `tolerance` from the centroid, so a run surely ends where a position of neighbours differs by twice that. Ranges of the
+    order are tasks, from the first such place in each on to the first in a later one; they stream, and hold one run at a time.
     """
-    order = Window.partitionBy("chr").orderBy("x1", "x2", "x3")
-    gap = F.col("x1") - F.lag("x1").over(order)
-    flagged = triples.select("chr", "x1", "x2", "x3").withColumn("fresh__", F.when(gap.isNull() | (gap >= tolerance), F.col("x1")))
-    begin = F.max("fresh__").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    islands = flagged.withColumn("group__", F.floor(begin / GATHERED))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, ...]] = []
+    whole = triples.select("chr", "x1", "x2", "x3").where("x1 is not null and x2 is not null and x3 is not null")
+    rows = S.ranged(whole.distinct(), ["chr"], ["x1", "x2", "x3"])
+    # In this order the largest triple before a triple is the one next to it.
+    rows = S.prefix(rows, ["chr"], "last__", "max", F.struct("x1", "x2", "x3"), False)
+    apart = F.col("last__").isNull()
+    for x in ("x1", "x2", "x3"):
+        apart |= F.abs(F.col(x) - F.col(f"last__.{x}")) >= 2 * tolerance
+    owned = S.prefix(rows, ["chr"], "owner__", "max", F.when(apart, F.col("part__")), True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([row[k] for row in out], pa.int64()) for k in range(4)], names=["chr", "x1", "x2", "x3"])
+
         seen: list[set[int]] = []
         centre: tuple[int, ...] = ()
-        for point in sorted(zip(rows["x1"].tolist(), rows["x2"].tolist(), rows["x3"].tolist(), strict=True)):
-            if centre and all(abs(p - c) < tolerance for p, c in zip(point, centre, strict=True)):
-                for values, p in zip(seen, point, strict=True):
-                    values.add(p)
-                centre = tuple(sum(v) // len(v) for v in seen)
-            else:
-                if centre:
-                    out.append(centre)
-                centre, seen = point, [{p} for p in point]
-        out.append(centre)
-        found = pd.DataFrame(np.array(out, np.int64), columns=["x1", "x2", "x3"])
-        found.insert(0, "chr", rows["chr"].iloc[0])
-        return found
-
-    return islands.groupBy("chr", "group__").applyInPandas(run, "chr long, x1 long, x2 long, x3 long")
+        block: tuple = ()
+        for batch in batches:
+            out: list[tuple] = []
+            owner, chrom, *point = (c.to_pylist() for c in batch.columns)
+            for here, at in zip(zip(owner, chrom, strict=True), zip(*point, strict=True), strict=True):
+                if here == block and all(abs(p - c) < tolerance for p, c in zip(at, centre, strict=True)):
+                    for values, p in zip(seen, at, strict=True):
+                        values.add(p)
+                    centre = tuple(sum(v) // len(v) for v in seen)
+                    continue
+                if block:
+                    out.append((block[1], *centre))
+                block, centre, seen = here, at, [{p} for p in at]
+            yield found(out)
+        if block:
+            yield found([(block[1], *centre)])
+
+    dealt = owned.select("owner__", "chr", "x1", "x2", "x3", "at__").repartition("owner__").sortWithinPartitions("owner__", "at__").drop("at__")
+    return dealt.mapInArrow(run, "chr long, x1 long, x2 long, x3 long")
 
 
 def dense_cubes(triples: DataFrame, size: int = 300_000, apart: int = 10) -> DataFrame:

@@ -32,3 +32,27 @@ def test_pair_files_follow_the_partitions(spark, sf_dir):
     parts = fx.pairs(spark, sf_dir).rdd.getNumPartitions()
     assert {f.rsplit("/", 1)[-1] for f in got.inputFiles()} == {"head.pairs"} | {f"p{k}.pairs" for k in range(parts)}
     assert got.count() == fx.pairs(spark, sf_dir).count()
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_crowded_triples_are_no_group_of_a_chromosome(spark, parts):
+    rng = np.random.default_rng(parts)
+    points = sorted({tuple(int(v) for v in p) for p in rng.integers(0, [400, 60, 60], (900, 3))})
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    df = spark.createDataFrame([(c, *p) for p in points for c in (1, 2)], "chr long, x1 long, x2 long, x3 long")
+    found = triples.without_duplicates(df.union(df))
+    got = sorted(tuple(r) for r in found.collect())
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want, centre, seen = [], None, None
+    for p in points:
+        if centre and all(abs(a - b) < 20 for a, b in zip(p, centre, strict=True)):
+            seen = [s | {v} for s, v in zip(seen, p, strict=True)]
+            centre = tuple(sum(s) // len(s) for s in seen)
+        else:
+            want += [centre] if centre else []
+            centre, seen = p, [{v} for v in p]
+    assert got == sorted((c, *p) for p in [*want, centre] for c in (1, 2))
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
