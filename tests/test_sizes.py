@@ -56,3 +56,8 @@ def test_crowded_triples_are_no_group_of_a_chromosome(spark, parts):
             centre, seen = p, [{v} for v in p]
     assert got == sorted((c, *p) for p in [*want, centre] for c in (1, 2))
     assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+
+
+def test_cells_of_all_sizes_read_the_pairs_once(spark, sf_dir):
+    plan = q_maps.contacts(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1
