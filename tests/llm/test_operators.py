@@ -526,6 +526,27 @@ def test_every_linked_line_of_the_documents_goes(documents):
     assert {(r.doc, r.line) for r in line_dedup.repeated_lines(documents).collect()} == brute_removed(rows)
 
 
+def test_a_block_puts_out_each_pair_once(spark):
+    """A crowd of near copies: one window gives at most so many pairs a member, the last join each pair of other roots from one block alone."""
+    base = [f"word{i:02d}{'x' * (i % 7)}" for i in range(40)]
+    rows = [(i, " ".join(w if (j * 7 + i) % 40 > 5 else f"other{i:02d}{j}" for j, w in enumerate(base))) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = line_dedup._hashed(docs, line_dedup.LEAST).withColumn("blocks", line_dedup._blocks(F.col("codes"), F.col("n")))
+    traits = [line_dedup._bitmap(i).alias(m) for i, m in enumerate(line_dedup.BITMAPS)]
+    nodes = line_dedup.stored(lines.select("key", F.col("key").alias("root"), "n", *traits, "blocks", F.explode("blocks").alias("block")))
+    of = collections.defaultdict(set)
+    for r in nodes.select("block", "key").collect():
+        of[r.block].add(r.key)
+    sharing = collections.Counter((a, b) for keys in of.values() for a in keys for b in keys if a < b)
+    assert max(sharing.values()) > 1
+    got = collections.Counter((r.a, r.b) for r in line_dedup._strangers(nodes).collect())
+    assert got and set(got) <= set(sharing) and set(got.values()) == {1}
+    met = line_dedup._met(nodes.drop("root", "blocks"), [F.col("key")], 1).select("key", "members", "met").collect()
+    assert max(len(r.met) for r in met) <= 2 and max(r.members for r in met) >= line_dedup.CROWD
+    gone = {(r.doc, r.line) for r in line_dedup.repeated_lines(docs).collect()}
+    assert gone == brute_removed(rows)
+
+
 def test_short_repeats_go_and_their_documents_stay(spark, tmp_path):
     import corpus_pipeline
 
