@@ -547,6 +547,24 @@ def test_a_block_puts_out_each_pair_once(spark):
     assert gone == brute_removed(rows)
 
 
+def test_the_last_join_puts_out_links_alone(spark):
+    """Lines that are shifted by a fifth of their words lack few words of each other, so bitmaps pass them, but need two edits a word."""
+    base = [f"word{i:03d}".translate(str.maketrans("0123456789", "abcdefghij")) for i in range(120)]
+    rows = [(i, " ".join(base[4 * i : 4 * i + 20])) for i in range(25)] + [(30, " ".join(base[:9] + ["other"] + base[10:20]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = line_dedup._hashed(docs, line_dedup.LEAST).withColumn("blocks", line_dedup._blocks(F.col("codes"), F.col("n")))
+    traits = [line_dedup._bitmap(i).alias(m) for i, m in enumerate(line_dedup.BITMAPS)]
+    own = lines.select("doc", "key", F.col("key").alias("root"), "n", *traits, "blocks", line_dedup._symbols(F.col("codes")).alias("symbols"), F.explode("blocks").alias("block"))
+    nodes = line_dedup.stored(own)
+    of = {r.key: r.doc for r in nodes.select("key", "doc").distinct().collect()}
+    assert line_dedup._strangers(nodes.drop("doc", "symbols")).count() > 10
+    assert [{of[r.a], of[r.b]} for r in line_dedup._strangers(nodes.drop("doc")).collect()] == [{0, 30}]
+    members = nodes.drop("doc", "symbols")
+    sought = line_dedup._with_strangers(members)
+    assert set(sought.columns) == set(members.columns) and sought.count() == sought.distinct().count() < members.count()
+    assert {(r.doc, r.line) for r in line_dedup.repeated_lines(docs).collect()} == brute_removed(rows) == {(30, 0)}
+
+
 def test_short_repeats_go_and_their_documents_stay(spark, tmp_path):
     import corpus_pipeline
 
