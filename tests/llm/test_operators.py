@@ -565,6 +565,30 @@ def test_the_last_join_puts_out_links_alone(spark):
     assert {(r.doc, r.line) for r in line_dedup.repeated_lines(docs).collect()} == brute_removed(rows) == {(30, 0)}
 
 
+def test_a_common_phrase_deals_no_words(spark, monkeypatch):
+    """Many unlike lines with one long phrase share too few blocks to be linked: none of them is read again or gets bitmaps; near copies among them are found."""
+    random.seed(5)
+    word = lambda: "".join(random.choice("abcdefghij") for _ in range(5))
+    rows = [(i, "commonphrases everywhereinall documentshere " + " ".join(word() for _ in range(9))) for i in range(80)]
+    rows.append((80, rows[3][1].replace(rows[3][1].split(" ")[7], "other")))
+    met, read = [], []
+    dealt, texts = line_dedup._met, line_dedup._texts
+
+    def spy_met(members, *a):
+        met.append(members.count())
+        return dealt(members, *a)
+
+    def spy_texts(docs, places, keys):
+        read.append(keys.count())
+        return texts(docs, places, keys)
+
+    monkeypatch.setattr(line_dedup, "_met", spy_met)
+    monkeypatch.setattr(line_dedup, "_texts", spy_texts)
+    gone = {(r.doc, r.line) for r in line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert gone == brute_removed(rows) == {(80, 0)}
+    assert sum(met) == 0 and sum(read) == 2
+
+
 def test_short_repeats_go_and_their_documents_stay(spark, tmp_path):
     import corpus_pipeline
 
